@@ -7,18 +7,20 @@ prediction is rejected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hash buckets, embedding width and n-gram lengths.
 BUCKETS, WIDTH, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
-#: Documents of each language that training reads at most; this bounds what the driver holds.
-PER_LANG = 400
+#: Documents of each language that training reads, about; twice this bounds what the driver holds. Steps of id hashes.
+PER_LANG, SCALE = 400, 1_000_000_000
 EPOCHS, BATCH, RATE = 6, 32, 2.0
 #: Rejected are scores below what all but this share of held-back documents reach, but never those over REJECT_MOST.
 REJECT_SHARE, REJECT_MOST = 0.001, 0.3
@@ -143,15 +145,19 @@ def fit(rows: list[tuple[str, str]], seed: int = 42) -> Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
-    """Fits a model on at most per_lang documents of each language, those with the smallest id hashes.
+    """Fits a model on about per_lang documents of each language (all of a smaller one), chosen by their ids' hashes.
 
-    Rows whose text or language is null take no part. Only ids go through the choice; then the chosen texts are read.
+    Languages are counted, then one pass reads the chosen texts; twice per_lang a language bounds what the driver gets.
+    Rows whose id, text or language is null take no part.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_tm_id"), F.col(lang_col).cast("string").alias("_tm_lang"), F.col(text_col).alias("_tm_text"))
-    order = Window.partitionBy("_tm_lang").orderBy(F.xxhash64("_tm_id"), "_tm_id")
-    chosen = known.select("_tm_id", "_tm_lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang)
-    ids = [r[0] for r in chosen.select("_tm_id").distinct().collect()]
-    rows = known.filter(F.col("_tm_id").isin(ids)).select("_tm_text", "_tm_lang").collect() if ids else []
+    known = known.withColumn("_tm_at", F.pmod(F.xxhash64("_tm_id"), F.lit(SCALE)))
+    sizes = known.groupBy("_tm_lang").agg(F.count("*").alias("n")).collect()
+    share = [F.lit(r["_tm_lang"]) == F.col("_tm_lang") for r in sizes]
+    chosen = [c & (F.col("_tm_at") < min(SCALE, math.ceil(SCALE * per_lang / r["n"]))) for c, r in zip(share, sizes)]
+    if not chosen:
+        return fit([])
+    rows = known.filter(reduce(lambda a, b: a | b, chosen)).select("_tm_text", "_tm_lang").limit(2 * per_lang * len(chosen)).collect()
     return fit([(r[0], r[1]) for r in rows])
 
 

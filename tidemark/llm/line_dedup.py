@@ -64,6 +64,7 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, window: int = W
     found = found.filter(((n >= LEAST_LINES) & (words >= LEAST_WORDS)) | (words >= LONG_LINE)).select("_tm_id", "_tm_hash", "c", F.xxhash64("body").alias("chunk"))
     found, _ = saved(found, "chunks")
     again = found.groupBy("chunk").agg(F.count("*").alias("times")).filter("times > 1").select("chunk")
+    again, _ = saved(again, "again")  # so that Spark can split the join's partitions
     maybe = found.join(again, "chunk").groupBy("_tm_id", "_tm_hash").agg(F.sort_array(F.collect_set("c")).alias("some"))
     same = [rows["_tm_id"].eqNullSafe(maybe["_tm_id"]), rows["_tm_hash"] == maybe["_tm_hash"]]
     texts = rows.join(maybe, same).select(rows["_tm_id"], rows["_tm_hash"], F.split("text", "\n").alias("lines"), F.explode("some").alias("c")).select("_tm_id", "_tm_hash", "c", part(F.col("c")).alias("body"))

@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     first = member.join(classes, member["node"] == classes["fp"]).groupBy("root").agg(F.min("first").alias("component"))
     linked = member.join(first, "root").select(F.col("node").alias("fp"), "component")
-    of_class = classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    of_class, _ = saved(classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")), "members")
     return rows.join(of_class, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "text_hash", "component_id")
 
 
