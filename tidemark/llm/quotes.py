@@ -30,23 +30,21 @@ def own_text(lines: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(own, r"^([ \t]*\n)+", ""), r"\s+$", "")
 
 
-def _passages(lines: Column) -> Column:
-    """(level, text) of each run of lines of one level; blank lines part runs and belong to none; texts normalised.
+def _passages(rows: DataFrame) -> DataFrame:
+    """Adds level and passage, a row for each run of `lines` of one level; blank lines part runs and belong to none.
 
-    A run begins and ends where the level of the line before or after differs.
+    A run begins and ends where the level of the line before or after differs. Levels and edges are columns of their
+    own, so that no lambda computes them again for each line.
     """
+    n = F.size("lines")
     level_of = lambda x: F.when(F.trim(F.regexp_replace(x["body"], r"\s", " ")) == "", F.lit(-1)).otherwise(x["level"])
-    levels = F.transform(lines, level_of)
-    begins = F.filter(
-        F.sequence(F.lit(1), F.size(lines)),
-        lambda i: (F.element_at(levels, i) >= 0) & ((i == 1) | (F.element_at(levels, i) != F.element_at(levels, F.greatest(i - 1, F.lit(1))))),
-    )
-    ends = F.filter(
-        F.sequence(F.lit(1), F.size(lines)),
-        lambda i: (F.element_at(levels, i) >= 0) & ((i == F.size(lines)) | (F.element_at(levels, i) != F.element_at(levels, F.least(i + 1, F.size(lines))))),
-    )
-    body = lambda a, b: normalised(F.array_join(F.transform(F.slice(lines, a, b - a + 1), lambda x: x["body"]), "\n"))
-    return F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda s: F.struct(F.element_at(levels, s["a"]).alias("level"), body(s["a"], s["b"]).alias("passage")))
+    at = lambda i: F.element_at("levels", i)
+    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (at(i) >= 0) & ((i == 1) | (at(i) != at(F.greatest(i - 1, F.lit(1))))))
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (at(i) >= 0) & ((i == n) | (at(i) != at(F.least(i + 1, n)))))
+    edged = rows.withColumn("levels", F.transform("lines", level_of)).withColumns({"begins": begins, "ends": ends})
+    runs = edged.select(*rows.columns, "levels", F.explode(F.arrays_zip("begins", "ends")).alias("run"))
+    body = normalised(F.array_join(F.transform(F.slice("lines", F.col("run.begins"), F.col("run.ends") - F.col("run.begins") + 1), lambda x: x["body"]), "\n"))
+    return runs.select(*[c for c in rows.columns if c != "lines"], at(F.col("run.begins")).alias("level"), body.alias("passage"))
 
 
 def numbered(rows: DataFrame, order: list[str], out: str, name: str) -> DataFrame:
@@ -119,8 +117,9 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rows = numbered(base, ["key", "turn", "role", "raw"], "g", "messages")
     begin = rows.groupBy("key").agg(F.min("g").alias("zero"))
     rows, _ = saved(rows.join(begin, "key"), "numbered")
-    passages = rows.select("key", "conv_id", "turn", "g", F.explode(_passages(_lines(F.col("raw")))).alias("p")).select("key", "conv_id", "turn", "g", "p.*", F.xxhash64("p.passage").alias("hash"))
-    quoted, _ = saved(passages.filter("level > 0"), "quoted")
+    passages = _passages(rows.select("key", "conv_id", "turn", "g", _lines(F.col("raw")).alias("lines"))).withColumn("hash", F.xxhash64("passage"))
+    quoting = rows.filter(F.col("raw").rlike(r"(^|[\r\n])[ \t]*>")).select("key", "conv_id", "turn", "g", _lines(F.col("raw")).alias("lines"))
+    quoted, _ = saved(_passages(quoting).filter("level > 0").withColumn("hash", F.xxhash64("passage")), "quoted")
     originals, _ = saved(passages.filter("level = 0").join(quoted.select("hash").distinct(), "hash", "left_semi"), "originals")
     here = originals.groupBy("key", "hash", "passage").agg(F.min("g").alias("origin"))
     place = F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id", "turn", "g", "key")
