@@ -67,7 +67,9 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, window: int = W
     again, _ = saved(again, "again")  # so that Spark can split the join's partitions
     maybe = found.join(again, "chunk").groupBy("_tm_id", "_tm_hash").agg(F.sort_array(F.collect_set("c")).alias("some"))
     same = [rows["_tm_id"].eqNullSafe(maybe["_tm_id"]), rows["_tm_hash"] == maybe["_tm_hash"]]
-    texts = rows.join(maybe, same).select(rows["_tm_id"], rows["_tm_hash"], F.split("text", "\n").alias("lines"), F.explode("some").alias("c")).select("_tm_id", "_tm_hash", "c", part(F.col("c")).alias("body"))
+    # What repeats grows with the input, so documents meet it in a shuffle join at every size, never a broadcast one.
+    texts = rows.join(maybe.hint("merge"), same).select(rows["_tm_id"], rows["_tm_hash"], F.split("text", "\n").alias("lines"), F.explode("some").alias("c")).select("_tm_id", "_tm_hash", "c", part(F.col("c")).alias("body"))
+    texts, _ = saved(texts, "texts")  # bodies of repeated hashes alone; read twice
     place = F.struct(F.col("_tm_id").isNotNull().alias("known"), "_tm_id", "_tm_hash", "c")
     # Grouped by the bytes; the text itself goes no further, each group is named by two hashes and its length.
     name = [F.xxhash64("body").alias("chunk"), F.md5(F.col("body").cast("binary")).alias("digest"), F.length("body").alias("size")]
@@ -88,7 +90,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone, _ = saved(repeated_chunks(docs, id_col, text_col), "gone")
     marked = docs.withColumn("_tm_key", F.xxhash64(text_col))
-    joined = marked.join(gone, marked[id_col].eqNullSafe(gone["_tm_id"]) & (marked["_tm_key"] == gone["_tm_hash"]) & F.col(text_col).isNotNull(), "left")
+    joined = marked.join(gone.hint("merge"), marked[id_col].eqNullSafe(gone["_tm_id"]) & (marked["_tm_key"] == gone["_tm_hash"]) & F.col(text_col).isNotNull(), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda _, i: ~F.exists("_tm_drop", lambda c: (i + 1 >= c["first"]) & (i + 1 <= c["last"])))
     hit = F.col("_tm_drop").isNotNull()
