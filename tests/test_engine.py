@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dialect
-from tidemark.operators import column_lineage, diff, graph, history, ledger, scoring, stages
+from tidemark.operators import column_lineage, diff, graph, history, ledger, remediation, scoring, stages
 from tidemark.sources import estate
 from tidemark.streaming import velocity
 
@@ -154,3 +154,33 @@ def test_scoring(spark):
     data = spark.createDataFrame([(i, "ab"[i % 2], float(i % 7), int(i % 2 == 0 and i % 7 > 2)) for i in range(200)], "i int, c string, v double, y int")
     scored = scoring.score(scoring.fit(data, ["c"], ["v"], "y"), data)
     assert scored.filter("(decision = 'FLAG') <> (y = 1)").count() < 10
+
+
+def test_candidates_against_difflib(spark):
+    from difflib import SequenceMatcher, get_close_matches
+
+    names = ["DW.FACT_LOAN", "MART.FACT_LOANS", "RAW.FACT_LOAN", "DW.DIM_DATE", "DW.DIM_DATES", "X.AB", "X.ABC", "X.A", "X.BA", "DW.CUSTOMER", "DW.CUSTOMERS_ALL", "STG.FACT_LAON"]
+    wanted = ["OLD.FACT_LOAN", "OLD.DIM_DAT", "OLD.AB", "OLD.CUSTOMRE", "OLD.ZZZ", "DW.FACT_LOAN"]
+    as_rows = lambda ns: spark.createDataFrame([(n,) for n in ns], "fqn string")
+    got = {(r["fqn"], r["candidate"].split(".")[1]) for r in remediation.near_candidates(as_rows(wanted), as_rows(names)).collect()}
+    want = {(w, m) for w in wanted for m in get_close_matches(w.split(".")[1], {n.split(".")[1] for n in names if n != w}, n=3, cutoff=0.75)}
+    assert got == want and SequenceMatcher(None, "AB", "ABC").ratio() >= 0.75
+    best = [r["candidate"] for r in remediation.candidates(as_rows(["OLD.FACT_LOAN"]), as_rows(names)).orderBy("rank").collect()]
+    assert best == ["DW.FACT_LOAN", "RAW.FACT_LOAN", "MART.FACT_LOANS"]
+    assert remediation.candidates(as_rows([]), as_rows(names)).count() == 0
+
+
+def test_wedge_fills_and_costs(spark):
+    quadrant = spark.createDataFrame([("a", 9, 1), ("b", 8, 3)], "fqn string, value int, risk int")
+    names = spark.createDataFrame([(c,) for c in "abcdefghijklmn"], "fqn string")
+    feeds = spark.createDataFrame([("job", "a"), ("job", "b"), ("idle", "z")], "fqn string, touches string")
+    scope = remediation.wedge(quadrant, names, feeds)
+    assert rows(scope) == [("a", "chosen"), ("b", "chosen"), *[(c, "filled") for c in "cdefghij"], ("job", "feeding")]
+    cost = remediation.wedge_cost(scope, edges(spark, "ab", "yz"), spark.createDataFrame([("c",)], "fqn string")).first()
+    assert tuple(cost) == (11, 1, 1, 29.5, 18.2, "medium")
+
+
+def test_aliases(spark):
+    e = spark.createDataFrame([("a", "x", "R", 0.5), ("b", "x", "R", 0.9), ("a", "c", "R", 1.0), ("q", "q", "R", 1.0)], "src string, dst string, kind string, confidence double")
+    aliases = spark.createDataFrame([("a", "z", 1), ("a", "b", 2), ("c", "b", 1)], "alias string, target string, seq int")
+    assert rows(remediation.apply_aliases(e, aliases)) == [("b", "x", "R", 0.9), ("q", "q", "R", 1.0)]
