@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dialect
-from tidemark.operators import column_lineage, diff, graph, history, ledger, remediation, scoring, stages
+from tidemark.operators import column_lineage, diff, facts, graph, history, ledger, remediation, scoring, stages
 from tidemark.sources import estate
 from tidemark.streaming import velocity
 
@@ -184,3 +184,25 @@ def test_aliases(spark):
     e = spark.createDataFrame([("a", "x", "R", 0.5), ("b", "x", "R", 0.9), ("a", "c", "R", 1.0), ("q", "q", "R", 1.0)], "src string, dst string, kind string, confidence double")
     aliases = spark.createDataFrame([("a", "z", 1), ("a", "b", 2), ("c", "b", 1)], "alias string, target string, seq int")
     assert rows(remediation.apply_aliases(e, aliases)) == [("b", "x", "R", 0.9), ("q", "q", "R", 1.0)]
+
+
+def test_facts(spark):
+    runs = spark.createDataFrame([("j1", "a.json", "Completed", [], "2026-01-02"), ("j2", "a.json", "completed", ["s1", "s2"], "2026-01-01"), ("j3", "b.json", None, None, None)], "job string, artifact string, status string, failed_steps array<string>, ran_on string")
+    assert {(r["type"], r["fqn"], r["snippet"]) for r in facts.run_facts(runs).collect()} == {
+        ("runtime_failure", "j2", "COMPLETED (failed steps: s1, s2) on run 2026-01-01 via a.json"),
+        ("runtime_failure", "j3", "UNKNOWN on run unknown via b.json"),
+        ("operational", "a.json", "2 jobs ran, 2 completed (2026-01-01)"),
+        ("operational", "b.json", "1 jobs ran, 0 completed (unknown run)"),
+    }
+    views = spark.createDataFrame([("v", "s" * 130, False), ("w", "EXEC(x)", True)], "fqn string, sql string, unresolved boolean")
+    assert {(r["fqn"], len(r["snippet"]), r["confidence"]) for r in facts.view_facts(views).collect()} == {("v", 121, 0.9), ("w", 7, 0.5)}
+    procedures = spark.createDataFrame([("p", True, True, "high"), ("q", False, True, "low")], "fqn string, has_cursor boolean, has_dynamic boolean, complexity string")
+    assert sorted(r["confidence"] for r in facts.procedure_failures(procedures).collect()) == [0.85, 0.9]
+    flows = spark.createDataFrame([("j", "REJECT", "AUDIT.X", "f")], "job string, route string, target string, artifact string")
+    assert facts.rejects(flows).first()["snippet"] == "REJECT route -> AUDIT.X"
+    calls = spark.createDataFrame([("a", "b", "SP_CALLS"), ("a", "c", "VIEW_DEPENDS")], "src string, dst string, kind string")
+    assert [r["fqn"] for r in facts.dependencies(calls).collect()] == ["a -> b"]
+    jobs = spark.createDataFrame([("j", "s", "t", "ssis")], "fqn string, source string, target string, dialect string")
+    assert facts.job_facts(jobs).first()["snippet"] == "s → t (ssis)"
+    times = spark.createDataFrame([("x", "02:00", "daily")], "fqn string, expr string, frequency string")
+    assert facts.schedule_facts(times).first()["snippet"] == "02:00 daily"
