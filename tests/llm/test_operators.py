@@ -316,6 +316,8 @@ def test_packing(spark, sf_dir):
     assert padding < 1024 * 4
     assert all(sum(w for _, w in s) <= packing.STEP_TOKENS for s in steps.values())
     assert packing.pack_documents(df.filter("false")).count() == 0
+    blank = " " * 1_000_000 + "b"
+    assert packing.encoder(tokenizer_path(TOKENIZER))(blank).tolist() == encode(blank, add_special_tokens=False).ids
 
 
 # 7
@@ -381,12 +383,13 @@ def brute_chunks(docs):
     for i, t in docs:
         lines = (t or "").split("\n")
         h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        long = [len([w for w in re.split("[ \t\r]+", x) if w]) >= 50 for x in lines] + [False]
         first = 0
         for n in range(len(lines)):
             r = 0
             for back in range(line_dedup.WINDOW - 1, -1, -1):
                 r = (r * 31 + (h[n - back] if n - back >= 0 else 0)) % (1 << 32)
-            if r % line_dedup.EXPECTED == 0 or n == len(lines) - 1:
+            if r % line_dedup.EXPECTED == 0 or n == len(lines) - 1 or long[n] or long[n + 1]:
                 body = "\n".join(lines[first : n + 1])
                 words = len([w for w in re.split("[ \t\r\n]+", body) if w])
                 parts.append((i, first, n, body, t and ((n - first + 1 >= 2 and words >= 10) or words >= 50)))
@@ -405,14 +408,16 @@ def test_line_dedup_against_brute_force(spark):
     shared = [line(1000 + k) for k in range(12)]
     docs = [(i, "\n".join([line(i * 100 + k) for k in range(int(rng.integers(1, 9)))] + (shared if i % 3 else []) + [line(i * 100 + 50 + k) for k in range(3)])) for i in range(40)]
     docs += [(40, docs[0][1]), (41, "one " * 60), (42, "x\n" + "one " * 60), (43, ""), (44, "one " * 60)]
+    docs += [(60 + i, f"{line(9000 + i)}\n{'two ' * 49}end\n{line(9100 + i)}") for i in range(20)]  # a passage among lines of each document's own
     df = spark.createDataFrame([(i, t, "z") for i, t in docs] + [(45, None, "z")], "doc_id long, text string, last string").repartition(4)
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, count_cols=("kept", "gone"), drop_empty=False).collect()}
     want = brute_chunks(docs)
     assert {i: got[i]["text"] for i, _ in docs} == want and got[45]["text"] is None
     assert sum(r["gone"] for r in got.values()) > 200
     kept = line_dedup.dedup_lines(df)
-    assert kept.columns == df.columns and {r[0] for r in kept.select("doc_id").collect()} == {*range(46)} - {i for i, t in docs if t and not want[i]}
+    assert kept.columns == df.columns and {r[0] for r in kept.select("doc_id").collect()} == {*range(46), *range(60, 80)} - {i for i, t in docs if t and not want[i]}
     assert not want[44] and want[41]
+    assert sum("two " in want[60 + i] for i in range(20)) == 1
     again = line_dedup.dedup_lines(documents(spark, ODD)).collect()
     assert len(again) == len(ODD) + 2
     assert line_dedup.dedup_lines(df.filter("false")).count() == 0

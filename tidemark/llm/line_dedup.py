@@ -1,7 +1,7 @@
 """Line deduplication by content-defined chunks, in DataFrame functions only.
 
 A rolling hash over the hashes of the last lines decides where a chunk of lines ends, so that boundaries move with the
-text. Chunks that occur more than once in the corpus, byte for byte, stay at their first place and go elsewhere.
+text; a long line is a chunk of its own, as a passage is. Chunks that occur more than once in the corpus, byte for byte, stay at their first place and go elsewhere.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def chunks(lines: Column, hashes: Column, window: int = WINDOW, expected: int = EXPECTED) -> Column:
-    """(first, last) lines of the chunks, from 1; hashes: line_hash of each line.
+def chunks(lines: Column, hashes: Column, long: Column, window: int = WINDOW, expected: int = EXPECTED) -> Column:
+    """The last lines of the chunks, from 1; hashes: line_hash of each line, long: whether it is a long one.
 
-    A chunk ends after the last line and after each line whose rolling hash, over it and the lines before it in the
-    window, leaves 0 over `expected`.
+    A chunk ends after the last line, after each line whose rolling hash, over it and the lines before it in the window,
+    leaves 0 over `expected`, and on both sides of a long line.
     """
     n = F.size(lines)
 
@@ -37,7 +37,7 @@ def chunks(lines: Column, hashes: Column, window: int = WINDOW, expected: int =
         for back in range(window - 1, -1, -1):
             here = F.when(i > back, F.element_at(hashes, F.greatest(i - back, F.lit(1)))).otherwise(F.lit(0).cast("long"))
             rolled = (rolled * BASE + here) % MODULUS
-        return (i == n) | (rolled % expected == 0)
+        return (i == n) | F.element_at(long, i) | F.element_at(long, F.least(i + 1, n)) | (rolled % expected == 0)
 
     return F.filter(F.sequence(F.lit(1), n), ends)
 
@@ -50,6 +50,11 @@ def _words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[ \\t\\r\\n]+"), lambda w: w != ""))
 
 
+def is_long(line: Column) -> Column:
+    """Whether a line has LONG_LINE words; one that is too short for them isn't split."""
+    return (F.length(line) >= 2 * LONG_LINE - 1) & (_words(line) >= LONG_LINE)
+
+
 def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, expected: int = EXPECTED) -> DataFrame:
     """The chunks to remove: _tm_id, _tm_hash (of the text) and _tm_drop, an array of (first, last).
 
@@ -57,7 +62,8 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, window: int = W
     by it, which compares their bytes. A chunk's first place, by id, text hash and line, stays.
     """
     rows = docs.select(F.col(id_col).alias("_tm_id"), F.xxhash64(text_col).alias("_tm_hash"), F.col(text_col).alias("text")).filter(F.col("text") != "")
-    cut = rows.withColumn("lines", F.split("text", "\n")).withColumn("hashes", F.transform("lines", line_hash)).withColumn("last", chunks(F.col("lines"), F.col("hashes"), window, expected))
+    cut = rows.withColumn("lines", F.split("text", "\n")).withColumn("hashes", F.transform("lines", line_hash)).withColumn("long", F.transform("lines", is_long))
+    cut = cut.withColumn("last", chunks(F.col("lines"), F.col("hashes"), F.col("long"), window, expected))
     part = lambda c: F.array_join(F.slice("lines", c["first"], c["last"] - c["first"] + 1), "\n")
     found = cut.select("_tm_id", "_tm_hash", "lines", F.explode(_spans(F.col("last"))).alias("c")).select("_tm_id", "_tm_hash", "c", part(F.col("c")).alias("body"))
     words, n = _words(F.col("body")), F.col("c.last") - F.col("c.first") + 1
@@ -110,10 +116,11 @@ def oracle() -> str:
         rolled = f"(({rolled}) * {BASE} + CASE WHEN i > {back} THEN hashes[i - {back}] ELSE 0 END) % {MODULUS}"
     return f"""
 WITH rows AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''),
-hashed AS (SELECT doc_id, lines, list_transform(lines, lambda l: ('0x' || substr(md5(l), 1, 8))::BIGINT) AS hashes FROM rows),
-placed AS (SELECT doc_id, lines, hashes, unnest(range(1, len(lines) + 1)) AS i FROM hashed),
+hashed AS (SELECT doc_id, lines, list_transform(lines, lambda l: ('0x' || substr(md5(l), 1, 8))::BIGINT) AS hashes,
+  list_transform(lines, lambda l: len(list_filter(regexp_split_to_array(l, '[ \\t\\r\\n]+'), lambda w: w <> '')) >= {LONG_LINE}) AS long FROM rows),
+placed AS (SELECT doc_id, lines, hashes, long, unnest(range(1, len(lines) + 1)) AS i FROM hashed),
 ends AS (SELECT doc_id, i AS last, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), 0) + 1 AS first
-  FROM placed WHERE i = len(lines) OR ({rolled}) % {EXPECTED} = 0),
+  FROM placed WHERE i = len(lines) OR long[i] OR long[i + 1] OR ({rolled}) % {EXPECTED} = 0),
 bodies AS (SELECT doc_id, first, last, array_to_string(lines[first:last], chr(10)) AS body FROM ends JOIN rows USING (doc_id)),
 sized AS (SELECT *, len(list_filter(regexp_split_to_array(body, '[ \\t\\r\\n]+'), lambda w: w <> '')) AS words FROM bodies),
 eligible AS (SELECT * FROM sized WHERE (last - first + 1 >= {LEAST_LINES} AND words >= {LEAST_WORDS}) OR words >= {LONG_LINE}),

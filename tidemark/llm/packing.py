@@ -11,6 +11,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,13 @@ def encoder(path: str):
     """The ids of a text under a tokenizers file with byte-level BPE, by tiktoken's faster engine over its ranks.
 
     The vocabulary and merges must be such that ids follow the merge order; special tokens in a text count as such.
+    The engine's regular expressions give up on runs of about a million white-space characters; such texts go to the
+    tokenizers library.
     """
     import json
 
     import tiktoken
+    from tokenizers import Tokenizer
 
     from .bpe import PATTERN, _byte_alphabet
 
@@ -44,7 +48,15 @@ def encoder(path: str):
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     found = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: found.encode_to_numpy(text, allowed_special="all")
+    slower = cache(lambda: Tokenizer.from_file(path))
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return found.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.array(slower().encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 class _Pool:
