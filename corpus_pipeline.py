@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, line_dedup, packing, secret_scan, simhash
+from tidemark.llm import langid, line_dedup, near_copies, packing, secret_scan
 from tidemark.llm.common import saved
 
 
@@ -25,8 +25,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    return simhash.keep_first(docs)
+    """Of each group of near copies (five-word shingles, similarity of 0.8 and more) the document with the smallest id."""
+    return near_copies.keep_first(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,50 @@
+"""The pipeline's near copies against brute force over all pairs."""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def brute_shingles(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_dedup_stage_against_brute_force(spark, sf_dir):
+    rng = np.random.default_rng(5)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(120).collect()]
+    for t in [t for t in texts if t and 60 <= len(t.split()) <= 3000]:
+        for share in (0.005, 0.01, 0.015, 0.02, 0.03):
+            words = t.split(" ")
+            for i in rng.choice(len(words), max(1, round(share * len(words))), replace=False):
+                words[i] = f"other{i}"
+            texts.append(" ".join(words))
+    chain = [f"w{i}" for i in range(400)]  # each is alike to the next alone
+    texts += [" ".join(chain[20 * k : 20 * k + 250]) for k in range(6)]
+    texts += ["", None, "one two three", "one two  THREE", "one two four"]
+    sets, parent = [brute_shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            both = len(a & b)
+            if a == b or both and both * 5 >= (len(a) + len(b) - both) * 4:
+                pairs += 1
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    assert pairs > 200
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, extra int")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root(i) for i in range(len(texts))})

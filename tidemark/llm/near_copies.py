@@ -1,0 +1,150 @@
+"""Near copies by exact similarity: min-hash bands find pairs, word shingles confirm them, links make components.
+
+A pair of documents is linked when the sets of their word shingles have a Jaccard similarity of LEAST or more. Two such
+documents share a band of min-hashes with a probability of 1 - (1 - LEAST ** ROWS) ** BANDS, 0.99994 at LEAST and more above it;
+documents that share a band but are less alike are compared and stay apart.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+
+from .common import saved
+from .simhash import components
+
+#: Words in a shingle, and the least similarity as numerator and denominator.
+WORDS, LEAST = 5, (4, 5)
+#: Bands of min-hashes, and min-hashes in each.
+BANDS, ROWS, SEED = 32, 6, 42
+#: Shingles that are permuted at once, members that one copy of a hub's text is compared with, and growth of pivots.
+CHUNK, MEMBERS, GROWTH = 2_048, 64, 8
+
+_RNG = np.random.default_rng(SEED)
+_FACTORS, _OFFSETS = (_RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 values of the word shingles; A-Z are lower-cased, fewer than k words are one shingle."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest, n = b" ".join(words), xxhash.xxh64_intdigest, max(1, len(words) - k + 1)
+    ends = list(accumulate(map(len, words), lambda a, m: a + 1 + m))
+    starts = [0, *(e + 1 for e in ends)][:n]
+    ends = ends[len(words) - n :] if len(words) >= k else [len(joined)]
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, n))
+
+
+def _signature(text: bytes | None) -> list[int]:
+    import xxhash
+
+    found = shingles(text)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), CHUNK):
+        np.minimum(least, (_FACTORS * found[None, at : at + CHUNK] + _OFFSETS).min(axis=1), out=least)
+    bands = [xxhash.xxh64_intdigest(b.tobytes(), seed) for seed, b in enumerate(least.reshape(BANDS, ROWS))]
+    return [xxhash.xxh64_intdigest(found.tobytes(), SEED), *bands]
+
+
+def signature(text: Column) -> Column:
+    """Longs: a hash of the text's set of shingles, then one of each band; null and wordless texts have the empty set."""
+
+    @arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        rows = np.array([_signature(t) for t in texts.cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, BANDS + 1)
+        offsets = np.arange(0, rows.size + 1, BANDS + 1, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.view(np.int64).ravel()))
+
+    return of(text)
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether two texts' sets of shingles have a Jaccard similarity of LEAST or more."""
+
+    @arrow_udf("boolean")
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        known = lru_cache(64)(shingles)  # a hub's text comes again and again
+        out = []
+        for x, y in zip(left.cast(pa.binary()), right.cast(pa.binary())):
+            p, q = known(x.as_py()), known(y.as_py())
+            short = min(len(p), len(q)) * LEAST[1] < max(len(p), len(q)) * LEAST[0]
+            both = 0 if short else len(np.intersect1d(p, q, assume_unique=True))
+            out.append(not short and both * LEAST[1] >= (len(p) + len(q) - both) * LEAST[0])
+        return pa.array(out, pa.bool_())
+
+    return of(a, b)
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of pairs (a, b) of sets those that are alike. Texts meet their pairs in shuffle joins, a hub's text in several copies."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    first = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "th")).alias("w")).select("node", F.col("w.id").alias("_tm_id"), F.col("w.th").alias("_tm_th"))
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    same = marked["id"].eqNullSafe(first["_tm_id"]) & (marked["th"] == first["_tm_th"])
+    texts, _ = saved(marked.join(first, same).select("node", "text"), "texts")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
+    members = pairs.join(hubs, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).select("a", "b", "copy")
+    held = texts.join(hubs, texts["node"] == hubs["a"]).select("a", F.col("text").alias("left"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    right = members.join(texts.hint("merge"), members["b"] == texts["node"]).select("a", "b", "copy", F.col("text").alias("right"))
+    return right.join(held.hint("merge"), ["a", "copy"]).filter(alike(F.col("left"), F.col("right"))).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, component): id and XXH64 of the text of each document, and its component of linked documents.
+
+    Documents with equal sets of shingles are one node. Within a bucket, the nodes with an equal band, pairs are not all
+    made: its nodes are compared with its least one, then those of another component with the next few, and so on with
+    more until all pairs of a bucket are compared or known to be connected.
+    """
+    signed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), signature(F.col(text_col)).alias("s"))
+    signed, _ = saved(signed, "signatures")
+    rows = signed.select("id", "th", F.element_at("s", 1).alias("node"))
+    nodes = signed.groupBy(F.element_at("s", 1).alias("node")).agg(F.any_value("s").alias("s"))
+    bands = nodes.select("node", F.explode(F.slice("s", 2, BANDS)).alias("bucket"))
+    least = bands.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("bucket", "pivot")
+    buckets, _ = saved(bands.join(least, "bucket").select("bucket", "node", "pivot"), "buckets")
+    pairs, _ = saved(buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links, _ = saved(_confirmed(pairs, rows, docs, id_col, text_col), "links")
+    compared, ranked, upto = pairs, None, 1
+    while True:
+        found, _ = saved(components(links), "components")
+        of = lambda df: df.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if ranked is None:
+            labelled, _ = saved(of(buckets).select("bucket", "node", "root"), "labelled")
+            open_ = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket")
+            nth = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+            ranked, _ = saved(labelled.join(open_, "bucket").select("bucket", "node").withColumn("nth", nth), "ranked")
+        if ranked.agg(F.max("nth")).first()[0] is None or upto >= ranked.agg(F.max("nth")).first()[0]:
+            break
+        upto *= GROWTH
+        left = of(ranked.filter(F.col("nth") <= upto)).select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("nth").alias("na"))
+        right = of(ranked).select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("nth").alias("nb"))
+        apart = left.join(right, "bucket").filter("na < nb and ra <> rb").select("a", "b").distinct()
+        pairs, _ = saved(apart.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = compared.unionByName(pairs)
+        more, _ = saved(_confirmed(pairs, rows, docs, id_col, text_col), "links")
+        links = links.unionByName(more)
+    return rows.join(found, "node", "left").select("id", "th", F.coalesce("root", "node").alias("component"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near copies: of each component the one with the smallest id (then text hash) stays.
+
+    All columns are kept. Of rows that repeat both id and text one stays. Documents with a null id lose to those that
+    have one. Null and wordless texts are copies of each other.
+    """
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th"))
+    best = near_copies(docs, id_col, text_col).groupBy("component").agg(F.min(order).alias("w")).select(F.col("w.id").alias("_tm_id"), F.col("w.th").alias("_tm_th")).distinct()
+    marked = docs.withColumn("_tm_hash", F.xxhash64(F.col(text_col)))
+    same = marked[id_col].eqNullSafe(best["_tm_id"]) & (marked["_tm_hash"] == best["_tm_th"])
+    nth = F.row_number().over(Window.partitionBy(id_col, "_tm_hash").orderBy(F.lit(1)))
+    return marked.join(best, same, "left_semi").withColumn("_tm_nth", nth).filter("_tm_nth = 1").drop("_tm_hash", "_tm_nth")
