@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 GENESIS = "GENESIS"
+#: Of no chain. A type, so that it is the same object after pickling.
+_START = type
 
 
 def link_hash(previous: Column, payload: Column) -> Column:
@@ -13,20 +20,36 @@ def link_hash(previous: Column, payload: Column) -> Column:
     return F.sha2(F.concat(previous, F.lit(":"), F.sha2(payload.cast("binary"), 256)).cast("binary"), 256)
 
 
+def _links(at: int):
+    """Adds prev_hash and event_hash to rows sorted by chain (column 0); column `at` has the payloads' own hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last = _START, None
+        for batch in batches:
+            before, after = [], []
+            for key, own in zip(batch.column(0).to_pylist(), batch.column(at).to_pylist()):
+                if here is _START or not (key == here or (key != key and here != here)):
+                    here, last = key, GENESIS
+                before.append(last)
+                last = None if last is None or own is None else hashlib.sha256(f"{last}:{own}".encode()).hexdigest()
+                after.append(last)
+            columns = [batch.column(i) for i in range(at)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*batch.schema.names[:at], "prev_hash", "event_hash"])
+
+    return run
+
+
 def build(events: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
     """Adds prev_hash and event_hash, each event's hash covering the one before it in its chain.
 
-    A chain is sequential by nature: its events are folded in one array in order. Chains run in parallel; one chain's
-    events must fit in a task.
+    A chain is sequential by nature: payloads are hashed in parallel, then each chain's events stream through one task in
+    order, which holds no more than the last hash. Chains run in parallel.
     """
-    rows = events.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(payload).alias("payload")))).alias("events"))
-    start = F.struct(F.lit(GENESIS).alias("last"), F.array().cast("array<struct<at:bigint,payload:string,prev_hash:string,event_hash:string>>").alias("done"))
-
-    def step(state: Column, e: Column) -> Column:
-        now = link_hash(state["last"], e["payload"])
-        return F.struct(now.alias("last"), F.concat(state["done"], F.array(F.struct(e["at"].alias("at"), e["payload"].alias("payload"), state["last"].alias("prev_hash"), now.alias("event_hash")))).alias("done"))
-
-    return rows.select(chain, F.inline(F.aggregate("events", start, step)["done"])).select(chain, F.col("at").alias(order), F.col("payload").alias(payload), "prev_hash", "event_hash")
+    rows = events.select(chain, order, payload)
+    hashed = rows.withColumn("_tm_own", F.sha2(F.col(payload).cast("binary"), 256))
+    dealt = hashed.repartition(chain).sortWithinPartitions(chain, order, payload)
+    schema = StructType([*rows.schema.fields, StructField("prev_hash", StringType()), StructField("event_hash", StringType())])
+    return dealt.mapInArrow(_links(len(rows.columns)), schema)
 
 
 def verify(ledger: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
