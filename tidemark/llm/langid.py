@@ -1,8 +1,10 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, trained by SGD in numpy.
 
 A text's byte n-grams, within and across word ends, are hashed to buckets; the mean of their embeddings goes through a
-softmax. Held-back training documents set a temperature, so that scores are probabilities, and the score under which a
-prediction is rejected.
+softmax. Held-back training documents set a temperature, so that scores are probabilities. A softmax is sure of what it
+has never seen, too, so rejection has a measure of its own: how usual a text's n-grams are in the predicted language, as
+the mean logarithm of their shares in training, in standard deviations of held-back texts of its length. Its threshold
+is calibrated on held-back clean passages and on passages that are no language of the model.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,13 @@ from pyspark.sql import functions as F
 BUCKETS, WIDTH, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 #: Documents of each language that training reads, about; twice this bounds what the driver holds. Steps of id hashes.
 PER_LANG, SCALE = 400, 1_000_000_000
+#: Languages that are learnt at most.
+LANGS = 256
 EPOCHS, BATCH, RATE = 6, 32, 2.0
-#: Rejected are scores below what all but this share of held-back documents reach, but never those over REJECT_MOST.
-REJECT_SHARE, REJECT_MOST = 0.001, 0.3
+#: Share of held-back clean passages that may be rejected, and standard deviations that a text may always be off.
+REJECT_SHARE, TOLERANCE = 0.001, 6.0
+#: Up to so many n-grams a text's mean gets steadier with its length.
+STEADY = 2_000
 UNKNOWN = "und"
 #: Bytes of a text whose n-grams are counted at once.
 CHUNK = 1 << 20
@@ -52,14 +57,21 @@ def counts(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """embeddings: buckets x width, weights: width x languages, bias; languages sorted; temperature and threshold."""
+    """embeddings: buckets x width, weights: width x languages, bias; languages sorted; temperature.
+
+    usual: languages x buckets, logarithms of shares in training. level and spread: mean and standard deviation of how
+    usual held-back texts of each language are (spread: of one n-gram). floor: standard deviations that texts may be off.
+    """
 
     langs: list[str]
     embeddings: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    usual: np.ndarray | None = None
+    level: np.ndarray | None = None
+    spread: np.ndarray | None = None
+    floor: float = -TOLERANCE
 
     def logits(self, bags: np.ndarray) -> np.ndarray:
         """bags: rows of bucket shares."""
@@ -70,10 +82,15 @@ class Model:
         if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         bag = counts(text)
-        p = softmax(self.logits((bag / bag.sum()).astype(np.float32)[None]) / self.temperature)[0]
+        n = int(bag.sum())
+        share = (bag / n).astype(np.float32)
+        p = softmax(self.logits(share[None]) / self.temperature)[0]
         best = int(np.argmax(p))
-        score = min(1.0, float(p[best]))
-        return self.langs[best], score, score < self.threshold
+        return self.langs[best], min(1.0, float(p[best])), bool(self.oddness(share, n, best) < self.floor)
+
+    def oddness(self, share: np.ndarray, n: int, lang: int) -> float:
+        """How usual a text of n n-grams is in a language, in standard deviations from the mean of its own texts."""
+        return float((share @ self.usual[lang] - self.level[lang]) * math.sqrt(min(n, STEADY)) / self.spread[lang])
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -103,12 +120,12 @@ def fit(rows: list[tuple[str, str]], seed: int = 42) -> Model:
             if any(map(str.isalpha, p)):
                 c = counts(p)
                 at = np.flatnonzero(c)
-                sets[i % 5 == 4].append((at, (c[at] / c.sum()).astype(np.float32), langs.index(lang), whole == 0))
+                sets[i % 5 == 4].append((at, (c[at] / c.sum()).astype(np.float32), langs.index(lang), whole == 0, int(c.sum()), p))
     learn, hold = sets[0], sets[1] or sets[0]
 
     def dense(some: list) -> tuple[np.ndarray, np.ndarray]:
         bags = np.zeros((len(some), BUCKETS), np.float32)
-        for row, (at, share, _, _) in zip(bags, some):
+        for row, (at, share, *_) in zip(bags, some):
             row[at] = share
         return bags, np.array([s[2] for s in some])
 
@@ -130,39 +147,86 @@ def fit(rows: list[tuple[str, str]], seed: int = 42) -> Model:
             model.bias -= 0.1 * rate * error.sum(axis=0)
             model.embeddings -= rate * 50 * (bags.T @ back)  # bags hold shares, so this gradient is small
             step += 1
-    x, truth, whole = [], [], []
+    x, truth = [], []
     for at in range(0, len(hold), 256):
         bags, t = dense(hold[at : at + 256])
         x.append(model.logits(bags))
         truth.append(t)
-        whole += [s[3] for s in hold[at : at + 256]]
-    x, truth, whole = np.concatenate(x), np.concatenate(truth), np.array(whole)
+    x, truth = np.concatenate(x), np.concatenate(truth)
     loss = lambda t: -np.log(np.maximum(softmax(x / t)[np.arange(len(truth)), truth], 1e-12)).mean()
     model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
-    sure = softmax(x / model.temperature).max(axis=1)
-    model.threshold = float(min(REJECT_MOST, np.quantile(sure[whole], REJECT_SHARE)))
+    _calibrate(model, learn, hold, rng)
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
+def foreign(text: str, rng: np.random.Generator) -> list[str]:
+    """Three texts of no language of the model: letters in another order, random letters, and another script."""
+    words = text.split()[:200]
+    letters = np.array([c for w in words for c in w])
+    sizes = np.cumsum([len(w) for w in words])[:-1]
+    mixed = ["".join(w) for w in np.split(rng.permutation(letters), sizes)]
+    junk = ["".join(w) for w in np.split(rng.choice(list("bcdfghjklmnpqrstvwxzaeiouy0123456789"), len(letters)), sizes)]
+    first = int(rng.choice([0x370, 0x400, 0x5D0, 0x627, 0x904, 0x3041, 0x4E00, 0xAC00]))
+    other = ["".join(chr(first + int(i)) for i in rng.integers(0, 24, len(w))) for w in words]
+    return [" ".join(p) for p in (mixed, junk, other)]
+
+
+def _calibrate(model: Model, learn: list, hold: list, rng: np.random.Generator) -> None:
+    """Sets usual, level, spread and floor from sparse bags (buckets, shares, language, whether a whole text, n, text).
+
+    The floor is where REJECT_SHARE of the held-back passages would go, or further off where texts of no language of the
+    model leave a gap: half-way into it. It is never nearer than half of TOLERANCE.
+    """
+    langs = len(model.langs)
+    seen = np.full((langs, BUCKETS), 0.05)
+    for at, share, lang, _, n, _ in learn:
+        seen[lang, at] += share * n
+    model.usual = np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
+    value = lambda at, share, lang: float(share @ model.usual[lang, at])
+    model.level, model.spread = np.zeros(langs), np.ones(langs)
+    own = lambda some, lang: [(value(at, share, lang), n) for at, share, x, _, n, _ in some if x == lang]
+    for lang in range(langs):
+        rows = np.array(own(hold, lang) or own(learn, lang))
+        model.level[lang] = np.median(rows[:, 0])
+        off = (rows[:, 0] - model.level[lang]) * np.sqrt(np.minimum(rows[:, 1], STEADY))
+        model.spread[lang] = max(1e-6, 1.4826 * np.median(np.abs(off)))  # of most texts, whatever junk a few are
+    odd = lambda at, share, n, lang: float((value(at, share, lang) - model.level[lang]) * math.sqrt(min(n, STEADY)) / model.spread[lang])
+    clean = np.array([odd(at, share, n, lang) for at, share, lang, _, n, _ in hold])
+    alien = []
+    for _, _, _, whole, _, text in hold:
+        for t in foreign(text, rng) if whole else []:
+            if any(map(str.isalpha, t)):
+                c = counts(t)
+                share = (c / c.sum()).astype(np.float32)
+                best = int(np.argmax(model.logits(share[None])[0]))
+                alien.append(model.oddness(share, int(c.sum()), best))
+    least = float(np.quantile(clean, REJECT_SHARE))
+    gap = float(np.quantile(alien, 0.99)) if alien else -math.inf
+    model.floor = min(-TOLERANCE / 2, (least + gap) / 2 if gap < least and math.isfinite(gap) else least)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, most: int = LANGS) -> Model:
     """Fits a model on about per_lang documents of each language (all of a smaller one), chosen by their ids' hashes.
 
-    Languages are counted, then one pass reads the chosen texts; twice per_lang a language bounds what the driver gets.
-    Rows whose id, text or language is null take no part.
+    The `most` languages of most documents are learnt (ties: by name); that and twice per_lang for each bound what the
+    driver gets. Rows whose id, text or language is null take no part.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_tm_id"), F.col(lang_col).cast("string").alias("_tm_lang"), F.col(text_col).alias("_tm_text"))
     known = known.withColumn("_tm_at", F.pmod(F.xxhash64("_tm_id"), F.lit(SCALE)))
-    sizes = known.groupBy("_tm_lang").agg(F.count("*").alias("n")).collect()
-    share = [F.lit(r["_tm_lang"]) == F.col("_tm_lang") for r in sizes]
-    chosen = [c & (F.col("_tm_at") < min(SCALE, math.ceil(SCALE * per_lang / r["n"]))) for c, r in zip(share, sizes)]
-    if not chosen:
+    sizes = known.groupBy("_tm_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_tm_lang").limit(most).collect()
+    if not sizes:
         return fit([])
-    rows = known.filter(reduce(lambda a, b: a | b, chosen)).select("_tm_text", "_tm_lang").limit(2 * per_lang * len(chosen)).collect()
+    share = {r["_tm_lang"]: min(SCALE, math.ceil(SCALE * per_lang / r["n"])) for r in sizes}
+    upto = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("_tm_lang")]
+    rows = known.filter(F.col("_tm_at") < upto).select("_tm_text", "_tm_lang").limit(2 * per_lang * len(sizes)).collect()
     return fit([(r[0], r[1]) for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, score (0 to 1) and rejected; `und`, 0 and true for null texts and those without a letter."""
+    """Adds the column _tm_found: lang_pred, score (0 to 1) and rejected.
+
+    They are `und`, 0 and true for null texts and those without a letter.
+    """
 
     @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
     def of(texts: pa.Array) -> pa.Array:
@@ -170,7 +234,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         lang, score, rejected = zip(*found) if found else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_tm_found", of(F.col(text_col))).select(*docs.columns, "_tm_found.*")
+    return docs.withColumn("_tm_found", of(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -185,15 +249,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     any labelled row all predictions are `und`. Repeated rows stay repeated, other columns are ignored.
     """
     model = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
-    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("_tm_text"))
-    return predict(rows, model, "_tm_text").drop("_tm_text")
+    rows = docs.select(F.col(id_col), held_out(id_col).alias("_tm_held"), F.col(text_col).alias("_tm_text"))
+    return predict(rows, model, "_tm_text").select(F.col(id_col), F.col("_tm_held").alias("held_out"), "_tm_found.*")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language is not rejected, with their own columns."""
+    """The documents whose language is not rejected, with their own columns, whatever their names; repeated rows stay."""
     model = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
-    marked = docs.withColumn("_tm_seen", F.col(text_col))
-    return predict(marked, model, "_tm_seen").filter(~F.col("rejected")).select(*docs.columns)
+    return predict(docs, model, text_col).filter(~F.col("_tm_found.rejected")).select(*docs.columns)
 
 
 def accuracy(predicted: Iterator[tuple[str, str]]) -> float:
