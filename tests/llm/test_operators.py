@@ -42,7 +42,7 @@ def test_search_matches_brute_force(spark):
     rows.append(rows[50])
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = defaultdict(list)
-    for r in aq.search(df, F.col("vec_id") % 50 == 0, rerank=200).orderBy("query_id", "rank").collect():
+    for r in aq.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     x64 = x.astype(np.float64)
     want = aq.brute_force(np.arange(600), x64, np.arange(600) % 50 == 0)
@@ -63,6 +63,33 @@ def test_search_of_nothing_and_of_few(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few.collect()] == [(0, 1, 1)]
 
 
+def test_search_of_extreme_numbers_and_several_lengths(spark):
+    rows = [(0, [1e-170, 2e-170]), (1, [1e200, 2e200]), (2, [5e-324, 0.0]), (3, [1.7e308, 1.7e308]), (50, [0.5, 1.0, 0.0]), (51, [1.0, 2.0, 0.0]), (52, [0.0, 0.0, 1e-200]), (100, [])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, score int, id string")
+    got = defaultdict(list)
+    for r in aq.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 12)))
+    assert dict(got) == {0: [(1, 1.0), (3, round(3 / 10**0.5, 12)), (2, round(1 / 5**0.5, 12))], 50: [(51, 1.0), (52, 0.0)]}
+
+
+def test_recall_on_a_large_table_without_structure():
+    """More vectors than training sees; the margin lets all true neighbours through to the exact comparison."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((30_000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = aq.fit(x[1_000:5_000])
+    spare = aq.margin(model, x[:1_000], 5)
+    codes, norms = model.encode(x)
+    exact, tables = x[5_000:5_050] @ x.T, model.tables(x[5_000:5_050])
+    near = sum(tables[:, b, :][:, codes[:, b]] for b in range(codes.shape[1])) / norms
+    at = np.arange(50)
+    exact[at, at + 5_000] = -2
+    edge = np.sort(near, axis=1)[:, -6:-5] - spare
+    best = np.argsort(-exact, axis=1)[:, :5]
+    assert np.mean(np.take_along_axis(near, best, 1) >= edge) >= 0.97
+    assert np.mean(near >= edge) < 0.2
+
+
 def test_recall_on_the_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/embeddings.parquet")
     rows = df.select("vec_id", "embedding").collect()
@@ -195,6 +222,28 @@ def test_secret_spans(spark):
     assert secret_scan.scan(df.filter("false")).count() == 0
 
 
+def test_secrets_in_other_forms():
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrapped = "\n".join(b64(RSA)[i : i + 64] for i in range(0, len(b64(RSA)), 64))
+    kinds = lambda t: {k for k, _, _ in sum(secret_scan.find(t), [])}
+    assert "hex_key" in kinds(f"x {RSA.hex().upper()} y") and "hex_key" in kinds(f"0x{RSA.hex()}")
+    assert "der_key" in kinds(f"key:\n{wrapped}\nand more words follow here")
+    escaped = f"-----BEGIN PRIVATE KEY-----\n{b64(PKCS8)}\n-----END PRIVATE KEY-----".replace("\n", "\\n")
+    assert "pem_key" in kinds(f'{{"key": "{escaped}"}}')
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'AB' * 16}\n\n{b64(bytes(64))}\n-----END RSA PRIVATE KEY-----"
+    assert "pem_key" in kinds(locked) and "pem_key" not in kinds(locked.replace("Proc-Type", "Other"))
+    assert kinds("-----BEGIN PRIVATE KEY-----\nnothing of the kind\n-----END PRIVATE KEY-----") == set()
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "-----BEGIN PRIVATE KEY-----", "a" * 50 + "\n", "token ", "secret=", "AKIA", "ab12", "eyJh.eyJh.", "A"])
+def test_secret_scan_takes_linear_time(unit):
+    import time
+
+    began = time.perf_counter()
+    secret_scan.find(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 20
+
+
 def test_secret_spans_of_the_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = {r["doc_id"]: hashlib.sha256(base_by_rule(r["text"]).encode()).hexdigest() for r in df.collect()}
@@ -222,6 +271,20 @@ def test_warc_round_trip(spark):
         assert (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", first[b or ""]) if revisit else ("response", None))
     assert warc.round_trip(df.filter("false")).count() == 0
     assert {r[0] for r in warc.roles(df, least=5).filter("html = 'x'").select("record_type").collect()} == {"response"}
+    clash = df.withColumns({"record_type": F.lit(1), "refers_to": F.lit("a"), "payload_bytes": F.lit(2), "id": F.lit(3)})
+    assert sorted(map(repr, warc.round_trip(clash).collect())) == sorted(map(repr, warc.round_trip(df).collect()))
+
+
+def test_warc_reader_takes_linear_time():
+    import os
+    import time
+
+    import zstandard as zstd
+
+    frame = zstd.ZstdCompressor().compress(warc.write_record(1, None, os.urandom(3_000)))
+    began = time.perf_counter()
+    assert sum(1 for _ in warc.read_archive(frame * 20_000)) == 20_000
+    assert time.perf_counter() - began < 20
 
 
 def test_warc_reader_rejects_broken_archives():
@@ -309,6 +372,36 @@ def test_quotes_against_recursion(spark):
     assert dict(got) == brute_quotes(messages)
 
 
+def test_quotes_of_very_long_messages(spark):
+    n = 1_000_000
+    texts = ["> " * n + "deep", "\n" * n + "own", "\t" * n, "x" + " " * n + "y" + " " * n, ">" * n, "\n".join(f"> {i}\nanswer {i}" for i in range(20_000))]
+    got = {r["turn"]: r for r in quotes.link(spark.createDataFrame([(1, i, "u", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[i]["text"] for i in range(5)] == ["", "own", "", "x" + " " * n + "y", ""]
+    assert (got[0]["quotes"], got[5]["quotes"], got[5]["text"].count("\n")) == (1, 20_000, 19_999)
+
+
+def test_quotes_count_what_is_linked(spark):
+    """quotes, linked and foreign against sets of passages, over conversations that quote each other."""
+    rng = np.random.default_rng(9)
+    said = [f"Passage {i} of many words" for i in range(30)]
+    rows = []
+    for conv in range(8):
+        for turn in range(6):
+            blocks = [said[int(rng.integers(30))]]
+            for _ in range(int(rng.integers(0, 4))):
+                blocks += ["", "> " + (said[int(rng.integers(30))].upper() if rng.random() < 0.8 else f"unheard {rng.integers(1 << 30)}"), ""]
+            rows.append((conv, turn, "u", "\n".join(blocks)))
+    first = defaultdict(list)
+    for conv, turn, _, text in rows:
+        first[text.split("\n")[0].lower()].append((conv, turn))
+    for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        text = next(t for c, n, _, t in rows if (c, n) == (r["conv_id"], r["turn"]))
+        quoted = [x[2:].lower() for x in text.split("\n") if x.startswith("> ")]
+        own = [q for q in quoted if any(p[0] == r["conv_id"] and p[1] < r["turn"] for p in first[q])]
+        far = [q for q in quoted if q not in own and any(p[0] != r["conv_id"] for p in first[q])]
+        assert (r["quotes"], r["linked"], r["foreign"]) == (len(quoted), len(own) + len(far), len(far))
+
+
 def test_quotes_of_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, "u", "Shared passage here"), (2, 0, "u", "hello"), (2, 1, "a", ">> shared  PASSAGE here\n> nobody said it\nanswer"), (None, None, None, None), (3, 5, "u", "> Shared passage here"), (3, 5, "u", "> Shared passage here")]
@@ -360,6 +453,19 @@ def test_packing(spark, sf_dir):
 # 7
 
 
+def brute_feature(padded):
+    """The dimensions and thumbnail hash of a stored payload, from its bytes alone."""
+    n = len(padded) // 64
+    across = min(n, max(jpeg.ACROSS, -(-n // 8191)))
+    down = -(-n // across)
+    dc = [int(jpeg.COEFFICIENT[padded[64 * b]]) if b < n else 0 for b in range(across * down)]
+    total = [[min(255.0, max(0.0, 128 + dc[y * across + x] / 8)) for x in range(across)] for y in range(down)]
+    cut = lambda size: [(i * size // 8, max(i * size // 8 + 1, (i + 1) * size // 8)) for i in range(8)]
+    small = np.array([[np.rint(np.mean([np.mean([total[y][x] for y in range(a, b)]) for x in range(c, d)])) for c, d in cut(across)] for a, b in cut(down)])
+    bits = "".join("1" if v > small.mean() else "0" for v in small.ravel())
+    return f"{across * 8}x{down * 8}:{int(bits, 2):016x}"
+
+
 def test_jpeg_round_trip_and_features(spark):
     df = documents(spark, ODD)
     got = {r["doc_id"]: r for r in jpeg.features(jpeg.to_media(df)).collect()}
@@ -368,13 +474,14 @@ def test_jpeg_round_trip_and_features(spark):
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert r["feature"] == brute_feature(padded) and (r["width"], r["height"]) == tuple(map(int, r["feature"].split(":")[0].split("x")))
     assert got[0]["media_sha256"] == got[1]["media_sha256"]
     every = bytes(range(256)) * 400
     file = jpeg.store([every])[0]
     image = jpeg.parse(file)
     assert jpeg.payload(image, jpeg.coefficients([image])[0]) == every
     for cut in (file[:-2], file[:300], file[:100], b"", file[:-40] + file[-2:]):
-        with pytest.raises((ValueError, IndexError, KeyError)):
+        with pytest.raises(jpeg.JpegError):
             image = jpeg.parse(cut)
             jpeg.coefficients([image])
 

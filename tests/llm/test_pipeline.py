@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -25,6 +26,23 @@ def test_stages_keep_columns_and_clean_documents(spark, sf_dir):
     assert packed.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).filter("`sum(length)` <> `max(doc_tokens)`").count() == 0
 
 
+def test_run_on_odd_and_empty_tables(spark, sf_dir, tmp_path):
+    """run() itself: nulls anywhere, repeated rows, very long texts, clashing names, and no rows at all."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = " ".join(r[0] for r in docs.filter("lang = 'en'").select("text").limit(40).collect())
+    odd = [(None, "the of and", None, None, None), (90_001, None, "en", "s", 0), (90_002, "", "en", "s", 0), (90_003, "   ", None, "s", 3), (90_004, words * 3, "en", "s", 1), (90_004, words * 3, "en", "s", 1)]
+    every = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    names = ("score", "rejected", "lang_pred", "fp", "node", "component", "lines", "hashes", "length", "record_type")
+    every.withColumns({c: F.lit("x") for c in names}).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    per = {r["doc_id"]: (r["n"], r["t"]) for r in got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()}
+    assert all(n == t for n, t in per.values())
+    assert not {90_001, 90_002, 90_003} & set(per) and per[90_004][0] > 1_000
+    assert len(per) > 0.7 * docs.count()
+    docs.filter("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_match_duckdb(spark, sf_dir, name):
     con = duckdb.connect()

@@ -2,8 +2,9 @@
 look-up-table scores and exact reranking.
 
 A unit vector is approximated by a sum of one codeword of each book. The codes and the sum's norm are all that a scan
-reads: a query's scores are sums over a table of its inner products with all codewords. The best approximate
-candidates are reranked by their exact cosine.
+reads: a query's scores are sums over a table of its inner products with all codewords. All candidates whose approximate
+score comes within a margin of the k-th best one are reranked by their exact cosine; the margin is what held-back vectors
+of the sample show as errors, so that the number of candidates follows from the data and has no cap.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import Scratch, saved
 
-#: Codebooks, codewords in each, kept partial sums while encoding, and candidates that are reranked.
-BOOKS, WORDS, BEAM, RERANK = 8, 256, 4, 160
+#: Codebooks, codewords in each, and kept partial sums while encoding.
+BOOKS, WORDS, BEAM = 16, 256, 4
+#: Share of near pairs whose error the margin covers, on either side.
+COVERED = 0.995
 #: Vectors that training reads at most, passes of k-means for each book, and joint refinements of all books.
 SAMPLE, PASSES, REFINE = 16_384, 8, 1
 #: Codes and queries in a block; each pair of blocks is one piece of work.
@@ -93,57 +96,82 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 42) -
         for a in range(books):
             np.add.at(sums, at[:, a], x)
         start = model.books.reshape(books * words, -1)
-        solved = np.linalg.solve(pairs + np.eye(len(pairs), dtype=np.float32), sums + start)  # drawn to where it was
+        pairs[np.diag_indices(len(pairs))] += 1  # drawn to where it was
+        solved = np.linalg.solve(pairs, sums + start)
         model = Codebooks(solved.reshape(model.books.shape).astype(np.float32))
     return model
 
 
+def margin(model: Codebooks, x: np.ndarray, k: int) -> float:
+    """How far below the k-th best approximate score a true neighbour's may be, from unit vectors that training didn't see."""
+    asked = x[:256]
+    exact = asked @ x.T
+    codes, norms = model.encode(x)
+    tables, near = model.tables(asked), np.zeros(exact.shape, np.float32)
+    for b in range(codes.shape[1]):
+        near += tables[:, b, :][:, codes[:, b]]
+    near /= norms
+    own = np.arange(len(asked))
+    exact[own, own] = near[own, own] = -2
+    k = min(k, len(x) - 1)
+    best = np.argpartition(-exact, k - 1, axis=1)[:, :k]
+    lost = np.take_along_axis(exact, best, 1) - np.take_along_axis(near, best, 1)
+    kth = -np.partition(-near, k - 1, axis=1)[:, k - 1] + np.partition(-exact, k - 1, axis=1)[:, k - 1]
+    return float(max(0, np.quantile(lost, COVERED)) + max(0, np.quantile(kth, COVERED)))
+
+
 def _valid(vector: Column) -> Column:
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     return vector.isNotNull() & F.forall(vector, finite) & F.exists(vector, lambda v: v != 0)
 
 
-def _norm(vector: Column) -> Column:
-    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v))
+def _scaled(vector: Column) -> Column:
+    """The vector times a power of two that brings its largest component near 1, so that no square over- or underflows."""
+    most = F.array_max(F.transform(vector, F.abs))
+    power = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(most)).cast("double")))
+    return F.transform(vector, lambda v: v * F.pow(F.lit(2.0), power))
 
 
-def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k largest of each row; of equal ones at the edge the first columns."""
-    n = scores.shape[1]
-    if n <= k:
-        return np.divmod(np.arange(scores.size), n)
-    edge = np.partition(scores, n - k, axis=1)[:, n - k : n - k + 1]
-    above = scores > edge
-    ties = scores == edge
-    room = k - above.sum(axis=1, keepdims=True)
-    return np.nonzero(above | ties & (np.cumsum(ties, axis=1) <= room))
+def _norm(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, books: int = BOOKS) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", books: int = BOOKS) -> DataFrame:
     """The k vectors of largest cosine found for each row that `queries` selects: query_id, rank, vec_id and score.
 
-    Candidates are all rows but those of the query's own id. score is the exact cosine in double precision; of equal
-    scores the smaller id comes first. Null, zero or non-finite vectors, and null ids, take no part; rows that repeat id
-    and vector count once; vectors of another length than the most common one's are no candidates of it. Equal vectors
-    are indexed once and their smallest k + 1 ids stand for all of them, which loses nothing. An empty table gives no
-    rows; extra columns are ignored.
+    Candidates are all rows of the query's vector length but those of its own id. score is the exact cosine in double
+    precision; of equal scores the smaller id comes first. Null, empty, zero or non-finite vectors, and null ids, take
+    no part; rows that repeat id and vector count once. Equal vectors (up to a power of two) are indexed once and their
+    smallest k + 1 ids stand for all of them, which loses nothing. An empty table gives no rows; extra columns are
+    ignored. README.md states the recall measured at several sizes.
     """
     spark = vectors.sparkSession
     ids = vectors.schema[id_col].dataType.simpleString()
     plain = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(F.col(vector_col).cast("array<double>"), lambda v: v + F.lit(0.0)).alias("v"), queries.alias("asks")).filter(_valid(F.col("v")))
-    plain, _ = saved(plain.withColumn("key", F.xxhash64("v")).dropDuplicates(["id", "v"]), "vectors")
-    lengths = plain.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if lengths is None:
-        return spark.createDataFrame([], f"query_id {ids}, rank int, vec_id {ids}, score double")
-    plain = plain.filter(F.size("v") == lengths["d"])
+    with Scratch(spark) as work:
+        plain = work.saved(plain.withColumn("v", _scaled(F.col("v"))).withColumn("key", F.xxhash64("v")).dropDuplicates(["id", "v"]), "vectors")
+        found = None
+        for (d,) in plain.select(F.size("v")).distinct().collect():
+            one = _search(plain.filter(F.size("v") == d), k, ids, books, work)
+            found = one if found is None else found.unionByName(one)
+        if found is None:
+            return spark.createDataFrame([], f"query_id {ids}, rank int, vec_id {ids}, score double")
+        return saved(found, "neighbours")[0]
+
+
+def _search(plain: DataFrame, k: int, ids: str, books: int, work: Scratch) -> DataFrame:
+    """search() over valid vectors of one length: id, v, asks and key."""
     nth = F.row_number().over(Window.partitionBy("key", "v").orderBy("id"))
-    members, _ = saved(plain.withColumn("nth", nth).filter(F.col("nth") <= k + 1).select("key", "v", "id", "nth"), "members")
+    members = work.saved(plain.withColumn("nth", nth).filter(F.col("nth") <= k + 1).select("key", "v", "id", "nth"), "members")
     single = members.filter("nth = 1").select(F.col("id").alias("rep"), "v", F.xxhash64("id").alias("at"))
     n = single.count()
     part = min(1.0, SAMPLE / n)
     unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
     sample = single.filter(F.pmod("at", F.lit(1_000_000)) < int(part * 1_000_000) + 1).limit(2 * SAMPLE).select("v").toPandas()["v"]
-    model = fit(unit(np.stack(sample.to_list()).astype(np.float64)).astype(np.float32), books)
+    sample = unit(np.stack(sample.to_list()).astype(np.float64)).astype(np.float32)
+    held = max(k + 2, len(sample) // 4) if len(sample) > 4 * WORDS else 0
+    model = fit(sample[held:], books)
+    spare = margin(model, sample[:held] if held else sample, k) if len(sample) > 1 else 0.0
     blocks = -(-n // CODE_BLOCK)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +181,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
                 codes, norms = model.encode(unit(x).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], names=["rep", "code", "norm"])
 
-    codes, _ = saved(single.select("rep", "v").mapInArrow(encode, f"rep {ids}, code binary, norm float"), "codes")
-    asked, _ = saved(plain.filter("asks").groupBy("key", "v").agg(F.min("id").alias("query")), "queries")
+    codes = work.saved(single.select("rep", "v").mapInArrow(encode, f"rep {ids}, code binary, norm float"), "codes")
+    asked = work.saved(plain.filter("asks").groupBy("key", "v").agg(F.min("id").alias("query")), "queries")
     askers = -(-max(1, asked.count()) // QUERY_BLOCK)
     grid = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     left = grid(codes, "c", blocks, "q", askers).groupBy("c", "q")
     right = grid(asked.select("query", "v"), "q", askers, "c", blocks).groupBy("c", "q")
+    # Of the k best classes one may be the query's own.
+    least = k + 1
 
     def score(codes: pa.Table, asked: pa.Table) -> pa.Table:
         names = ["query", "rep", "near"]
@@ -166,30 +196,26 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
             return pa.table({"query": codes.column("rep").slice(0, 0), "rep": codes.column("rep").slice(0, 0), "near": pa.array([], pa.float32())})
         codes = codes.sort_by("rep")
         c = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(codes.num_rows, -1)
-        norms = codes.column("norm").to_numpy()
+        norms = np.maximum(codes.column("norm").to_numpy(), np.float32(1e-12))
         v = unit(asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(asked.num_rows, -1))
         found = []
         for at in range(0, asked.num_rows, 128):
             tables = model.tables(v[at : at + 128])
-            best_score = best_row = None
+            total = np.zeros((len(tables), len(c)), np.float32)
             for row in range(0, len(c), CHUNK):
-                part = c[row : row + CHUNK]
-                total = np.zeros((len(tables), len(part)), np.float32)
-                for b in range(part.shape[1]):
-                    total += tables[:, b, :][:, part[:, b]]
-                total /= norms[row : row + CHUNK]
-                rows = np.broadcast_to(np.arange(row, row + len(part)), total.shape)
-                if best_score is not None:
-                    total, rows = np.concatenate([best_score, total], axis=1), np.concatenate([best_row, rows], axis=1)
-                i, j = _top(total, rerank)
-                best_score, best_row = (a[i, j].reshape(len(tables), -1) for a in (total, rows))
-            found.append((np.repeat(np.arange(at, at + len(tables)), best_row.shape[1]), best_row.ravel(), best_score.ravel()))
+                for b in range(c.shape[1]):
+                    total[:, row : row + CHUNK] += tables[:, b, :][:, c[row : row + CHUNK, b]]
+            total /= norms
+            edge = np.partition(total, len(c) - least, axis=1)[:, len(c) - least, None] - spare if len(c) > least else -np.inf
+            i, j = np.nonzero(total >= edge)
+            found.append((i + at, j, total[i, j]))
         q, r, s = map(np.concatenate, zip(*found))
-        return pa.table([asked.column("query").take(q), codes.column("rep").take(r), pa.array(s, pa.float32())], names=names)
+        return pa.table([asked.column("query").take(pa.array(q)), codes.column("rep").take(pa.array(r)), pa.array(s, pa.float32())], names=names)
 
-    near = left.cogroup(right).applyInArrow(score, f"query {ids}, rep {ids}, near float")
-    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "rep"))
-    near, _ = saved(near.withColumn("nth", first).filter(F.col("nth") <= rerank).select("query", "rep"), "near")
+    near = work.saved(left.cogroup(right).applyInArrow(score, f"query {ids}, rep {ids}, near float"), "near")
+    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near")))
+    edges = near.withColumn("nth", first).filter(F.col("nth") == least).select("query", (F.col("near") - F.lit(spare)).alias("edge"))
+    near = near.join(edges, "query", "left").filter(F.col("edge").isNull() | (F.col("near") >= F.col("edge"))).select("query", "rep")
     # Exact: cosines of distinct vectors, then the ids that have them, then the rows that ask.
     of_query = asked.select("query", F.col("v").alias("qv"))
     of_rep = members.filter("nth = 1").select(F.col("id").alias("rep"), "key", F.col("v").alias("rv"))

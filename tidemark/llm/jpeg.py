@@ -1,8 +1,8 @@
 """Baseline JPEG: bytes as coefficients, marker parsing, Huffman decoding of scans, DC-only luminance thumbnails.
 
 A payload is stored losslessly as the quantised coefficients of a grey image, 64 bytes to a block. Each block is its
-own restart interval. The decoder reads any baseline file; it walks all restart intervals of all scans in lockstep, so
-that each numpy operation decodes one symbol of every interval at once.
+own restart interval. The decoder reads baseline files whose components share one interleaved scan; it walks all restart
+intervals of many files in lockstep, so that each numpy operation decodes one symbol of every interval at once.
 """
 
 from __future__ import annotations
@@ -139,40 +139,51 @@ class Image:
     note: bytes
 
 
+class JpegError(ValueError):
+    """A file that is broken, or no baseline JPEG with one interleaved scan."""
+
+
 def parse(data: bytes) -> Image:
-    """Reads the markers of a baseline JPEG with one interleaved scan; ValueError where it is none."""
+    """Reads the markers of a baseline JPEG with one interleaved scan; JpegError where it is none."""
+    try:
+        return _parse(data)
+    except (ValueError, IndexError, KeyError) as error:
+        raise error if isinstance(error, JpegError) else JpegError(str(error)) from error
+
+
+def _parse(data: bytes) -> Image:
     if data[:2] != b"\xff\xd8":
-        raise ValueError("no start of image")
+        raise JpegError("no start of image")
     at, quant, huffman, every, frame, note = 2, {}, {}, 0, None, b""
     while True:
         if at + 4 > len(data) or data[at] != 0xFF:
-            raise ValueError(f"no marker at {at}")
+            raise JpegError(f"no marker at {at}")
         marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4])
         if marker == 0xFF:  # fill byte
             at += 1
             continue
         body = data[at + 4 : at + 2 + size]
         if size < 2 or len(body) != size - 2:
-            raise ValueError(f"segment {marker:x} is cut off")
+            raise JpegError(f"segment {marker:x} is cut off")
         at += 2 + size
         if marker == 0xDB:
             while body:
                 wide = body[0] >> 4
                 n = 65 + 64 * wide
                 if wide > 1 or len(body) < n:
-                    raise ValueError("bad quantisation table")
+                    raise JpegError("bad quantisation table")
                 quant[body[0] & 15] = np.frombuffer(body[1:n], ">u2" if wide else np.uint8).astype(np.int64)
                 body = body[n:]
         elif marker == 0xC4:
             while body:
                 n = 17 + sum(body[1:17])
                 if len(body) < n:
-                    raise ValueError("bad Huffman table")
+                    raise JpegError("bad Huffman table")
                 huffman[body[0] >> 4, body[0] & 15] = (bytes(body[1:17]), bytes(body[17:n]))
                 body = body[n:]
         elif marker == 0xC0:
             if body[0] != 8:
-                raise ValueError("samples aren't of 8 bits")
+                raise JpegError("samples aren't of 8 bits")
             frame = (int.from_bytes(body[3:5]), int.from_bytes(body[1:3]), [(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * body[5], 3)])
         elif marker == 0xDD:
             every = int.from_bytes(body)
@@ -181,9 +192,9 @@ def parse(data: bytes) -> Image:
         elif marker == 0xDA:
             break
         elif marker in range(0xC1, 0xD0):
-            raise ValueError("not baseline")
+            raise JpegError("not baseline")
     if frame is None or not frame[0] or not frame[1] or body[0] != len(frame[2]):
-        raise ValueError("no frame, or a scan of some components only")
+        raise JpegError("no frame, or a scan of some components only")
     chosen = {body[i]: body[i + 1] for i in range(1, 1 + 2 * body[0], 2)}
     tables = tuple((huffman[0, chosen[c[0]] >> 4], huffman[1, chosen[c[0]] & 15]) for c in frame[2])
     rest = np.frombuffer(data, np.uint8, offset=at)
@@ -193,7 +204,9 @@ def parse(data: bytes) -> Image:
     restart = (rest[ends + 1] & 0xF8) == 0xD0
     stop = int(np.argmin(restart)) if not restart.all() else -1
     if stop < 0 or rest[ends[stop] + 1] != 0xD9:
-        raise ValueError("no end of image")
+        raise JpegError("no end of image")
+    if ((rest[ends[:stop] + 1] & 7) != np.arange(stop) % 8).any():
+        raise JpegError("restart markers are out of order")
     kept = np.ones(int(ends[stop]), bool)
     kept[ff[(after == 0) & (ff < ends[stop])] + 1] = False
     kept[ends[:stop]] = kept[ends[:stop] + 1] = False
@@ -244,7 +257,7 @@ def coefficients(images: list[Image]) -> list[list[np.ndarray]]:
             total = -(-m.width // (8 * wide)) * -(-m.height // (8 * high))
             each = m.every or total
             if len(m.sizes) != -(-total // each):
-                raise ValueError("restart markers are missing")
+                raise JpegError("restart markers are missing")
             units += [each] * (len(m.sizes) - 1) + [total - each * (len(m.sizes) - 1)]
             owner.append((i, len(m.sizes)))
         size = np.concatenate([images[i].sizes for i in own])
@@ -265,7 +278,7 @@ def coefficients(images: list[Image]) -> list[list[np.ndarray]]:
             skip, value, used = (t[got] for t in table)
             bit[lane] = at + used
             if not used.all():
-                raise ValueError("no such Huffman code")
+                raise JpegError("no such Huffman code")
             for k in np.flatnonzero(skip == _LONG):  # rare: large coefficients under long codes
                 n, raw, b = int(value[k]) & 15, 0, int(at[k] + used[k])
                 for j in range(b, b + n):
@@ -290,13 +303,13 @@ def coefficients(images: list[Image]) -> list[list[np.ndarray]]:
                         place += 1
                         continue
                     if ((place > 63) & (place < _END)).any():
-                        raise ValueError("a run passes the end of its block")
+                        raise JpegError("a run passes the end of its block")
                     on = place < 64
                     found[c][row[on], place[on]] = value[on]
                     on = place < 63
                     lane, row, place = lane[on], row[on], place[on] + 1
         if (bit > stop).any():
-            raise ValueError("a scan is cut off")
+            raise JpegError("a scan is cut off")
         at = 0
         for i, n in owner:
             count = int(units[at : at + n].sum())
@@ -308,7 +321,7 @@ def coefficients(images: list[Image]) -> list[list[np.ndarray]]:
 def payload(image: Image, blocks: list[np.ndarray]) -> bytes:
     """The payload of a file that store() made."""
     if not image.note.startswith(NOTE):
-        raise ValueError("no stored payload")
+        raise JpegError("no stored payload")
     n = int(image.note[len(NOTE) :])
     return _BYTE[blocks[0].ravel()[:n] + 128].tobytes()
 

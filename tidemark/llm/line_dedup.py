@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, saved
+from .common import Scratch, part, saved
 
 #: Classes of boundaries; each has every CLASSES-th place, about.
 CLASSES = 2
@@ -52,11 +52,6 @@ def chunks(hashes: Column, words: Column, classes: int = CLASSES) -> Column:
     return F.transform(found, lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("first"), (F.shiftright(c, 32) + c.bitwiseAND(F.lit((1 << 32) - 1))).cast("int").alias("last")))
 
 
-def part(array: Column, first: Column, last: Column) -> Column:
-    """The elements from first to last, in time of their number; slice would read the whole array in a lambda."""
-    return F.when(first <= last, F.transform(F.sequence(first, last), lambda i: F.element_at(array, i))).otherwise(F.slice(array, 1, 0))
-
-
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, work: Scratch, classes: int = CLASSES) -> DataFrame:
     """The lines to remove: _tm_id, _tm_hash (of the text) and _tm_drop, a sorted array of disjoint (first, last).
 

@@ -7,10 +7,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, saved
+from .common import Scratch, part, saved
 
-#: What marks a quoted line: `>` once for each level, white space allowed around them.
-PREFIX = r"^([ \t]*>)+[ \t]?"
+#: What marks a quoted line: `>` once for each level, white space allowed around them. Possessive, for Java's regular
+#: expressions recurse once for each repeat of a group else.
+PREFIX = r"^(?:[ \t]*+>)++[ \t]?"
 
 
 def _lines(text: Column) -> Column:
@@ -27,7 +28,7 @@ def normalised(text: Column) -> Column:
 def own_text(lines: Column) -> Column:
     """The lines that quote nothing, without blank lines at either end."""
     own = F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
-    return F.regexp_replace(F.regexp_replace(own, r"^([ \t]*\n)+", ""), r"\s+$", "")
+    return F.rtrim(F.regexp_replace(own, r"^(?:[ \t]*+\n)++", ""), F.lit(" \t\n\r\f\u000b"))
 
 
 def _passages(rows: DataFrame) -> DataFrame:
@@ -42,18 +43,18 @@ def _passages(rows: DataFrame) -> DataFrame:
     begins = F.filter(F.sequence(F.lit(1), n), lambda i: (at(i) >= 0) & ((i == 1) | (at(i) != at(F.greatest(i - 1, F.lit(1))))))
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: (at(i) >= 0) & ((i == n) | (at(i) != at(F.least(i + 1, n)))))
     edged = rows.withColumn("levels", F.transform("lines", level_of)).withColumns({"begins": begins, "ends": ends})
-    runs = edged.select(*rows.columns, "levels", F.explode(F.arrays_zip("begins", "ends")).alias("run"))
-    body = normalised(F.array_join(F.transform(F.slice("lines", F.col("run.begins"), F.col("run.ends") - F.col("run.begins") + 1), lambda x: x["body"]), "\n"))
-    return runs.select(*[c for c in rows.columns if c != "lines"], at(F.col("run.begins")).alias("level"), body.alias("passage"))
+    body = lambda r: normalised(F.array_join(F.transform(part(F.col("lines"), r["begins"], r["ends"]), lambda x: x["body"]), "\n"))
+    runs = F.transform(F.arrays_zip("begins", "ends"), lambda r: F.struct(at(r["begins"]).alias("level"), body(r).alias("passage")))
+    return edged.select(*[c for c in rows.columns if c != "lines"], F.explode(runs).alias("run")).select(*[c for c in rows.columns if c != "lines"], "run.level", "run.passage")
 
 
-def numbered(rows: DataFrame, order: list[str], out: str, name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], out: str, name: str, save=None) -> DataFrame:
     """Adds each row's place, from 0, in the order over all rows, with no group in one task.
 
     Rows are sorted over range partitions, which also part a large group, and numbered by partition and row; counts of
-    the partitions give what comes before each.
+    the partitions give what comes before each. save: where the sorted rows go, to stay by default.
     """
-    placed, _ = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_tm_at", F.monotonically_increasing_id()), name)
+    placed = (save or (lambda df, as_: saved(df, as_)[0]))(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_tm_at", F.monotonically_increasing_id()), name)
     part, row = F.shiftright("_tm_at", 33), F.col("_tm_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("_tm_part")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_tm_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -81,18 +82,16 @@ def _runs(messages: DataFrame) -> DataFrame:
 _STEPS = "array<struct<a:bigint,b:bigint>>"
 
 
-def _paths(runs: DataFrame) -> DataFrame:
+def _paths(runs: DataFrame, save) -> DataFrame:
     """(run, path) from (run, up, step): the steps from a conversation's first run down to each run.
 
     Each round doubles how far up a path reaches, so rounds are as many as the binary digits of the deepest nesting.
     """
     none = F.array().cast(_STEPS)
-    now, path = saved(runs.select("run", "up", F.when(F.col("up").isNull(), none).otherwise(F.array("step")).alias("path")), "paths")
+    now = save(runs.select("run", "up", F.when(F.col("up").isNull(), none).otherwise(F.array("step")).alias("path")), "paths")
     while now.filter("up is not null").limit(1).count():
         above = now.select(F.col("run").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
-        following, new_path = saved(now.join(above, "up", "left").select("run", F.col("next").alias("up"), F.concat(F.coalesce("head", none), "path").alias("path")), "paths")
-        forget(spark=now.sparkSession, path=path)
-        now, path = following, new_path
+        now = save(now.join(above, "up", "left").select("run", F.col("next").alias("up"), F.concat(F.coalesce("head", none), "path").alias("path")), "paths")
     return now.select("run", "path")
 
 
@@ -113,14 +112,22 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     Null texts are empty; null conversations form one; messages without a turn come first; of repeated turns the order
     is by role and text. No rows give none; other columns are ignored.
     """
+    with Scratch(messages.sparkSession) as work:
+        told = _told(messages, work.saved, conv_col, turn_col, role_col, text_col)
+        placed = numbered(told, ["key", "path", "g"], "after", "told")
+    return placed.select("conv_id", (F.col("after") - F.col("zero")).alias("position"), "turn", "role", "text", "reply_to", "quotes", "linked", "foreign")
+
+
+def _told(messages: DataFrame, save, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """The messages with what they quote and reply to, and their path in reply order."""
     base = messages.select(F.coalesce(F.col(conv_col).cast("string"), F.lit("")).alias("key"), F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("raw"))
-    rows = numbered(base, ["key", "turn", "role", "raw"], "g", "messages")
+    rows = numbered(base, ["key", "turn", "role", "raw"], "g", "messages", save)
     begin = rows.groupBy("key").agg(F.min("g").alias("zero"))
-    rows, _ = saved(rows.join(begin, "key"), "numbered")
+    rows = save(rows.join(begin, "key"), "numbered")
     passages = _passages(rows.select("key", "conv_id", "turn", "g", _lines(F.col("raw")).alias("lines"))).withColumn("hash", F.xxhash64("passage"))
     quoting = rows.filter(F.col("raw").rlike(r"(^|[\r\n])[ \t]*>")).select("key", "conv_id", "turn", "g", _lines(F.col("raw")).alias("lines"))
-    quoted, _ = saved(_passages(quoting).filter("level > 0").withColumn("hash", F.xxhash64("passage")), "quoted")
-    originals, _ = saved(passages.filter("level = 0").join(quoted.select("hash").distinct(), "hash", "left_semi"), "originals")
+    quoted = save(_passages(quoting).filter("level > 0").withColumn("hash", F.xxhash64("passage")), "quoted")
+    originals = save(passages.filter("level = 0").join(quoted.select("hash").distinct(), "hash", "left_semi"), "originals")
     here = originals.groupBy("key", "hash", "passage").agg(F.min("g").alias("origin"))
     place = F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id", "turn", "g", "key")
     # The first conversation that has a passage, and the first other one: the original of all who aren't in the first.
@@ -133,11 +140,9 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     begins = (F.col("g") == F.col("zero")) | (F.col("parent") != F.col("g") - 1)
     replied = rows.join(linked, "g", "left").withColumn("parent", F.coalesce("parent", F.when(F.col("g") > F.col("zero"), F.col("g") - 1))).withColumn("begins", begins)
     # A run is a stretch of messages that each reply to the one before. There are few, so paths are over runs.
-    replied, _ = saved(_runs(replied), "runs")
+    replied = save(_runs(replied), "runs")
     heads = replied.filter("begins").select("run", "parent")
     above = replied.select(F.col("g").alias("parent"), F.col("run").alias("up"), F.col("turn").alias("reply_to"))
     runs = heads.join(above, "parent", "left").select("run", "up", F.struct((-F.col("parent")).alias("a"), F.col("run").alias("b")).alias("step"))
-    told = replied.join(above.drop("up"), "parent", "left").join(_paths(runs), "run")
-    told = told.select("key", "conv_id", "path", "g", "zero", "turn", "role", own_text(_lines(F.col("raw"))).alias("text"), "reply_to", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("quotes", "linked", "foreign")])
-    placed = numbered(told, ["key", "path", "g"], "after", "told")
-    return placed.select("conv_id", (F.col("after") - F.col("zero")).alias("position"), "turn", "role", "text", "reply_to", "quotes", "linked", "foreign")
+    told = replied.join(above.drop("up"), "parent", "left").join(_paths(runs, save), "run")
+    return told.select("key", "conv_id", "path", "g", "zero", "turn", "role", own_text(_lines(F.col("raw"))).alias("text"), "reply_to", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("quotes", "linked", "foreign")])

@@ -24,9 +24,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: A maximal run of at least the length; the same as dropping shorter maximal runs.
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]{12,}"), re.compile("[0-9a-f]{32,}")
 ASSIGN_LEAST = 8
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-TOKEN = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: Hexadecimal digits in either case, and base64 over several lines; each begins where a run does, so scans are linear.
+ANY_HEX = re.compile("[0-9A-Fa-f]{32,}")
+LINES = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{40,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/]{4,}+)++={0,2}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
 MARK = "[SECRET]"
 
 
@@ -131,30 +134,56 @@ def _confirmed(run: str, key_kind: str, data: bytes | None) -> str | None:
     return key_kind if is_private_key(data) else "ssh_key" if is_ssh_key(data) else "encoded" if _holds_secret(data) else None
 
 
+def _is_pem_key(body: str) -> bool:
+    """Whether what stands between a private key's armour is one; line ends may be escaped, headers may come first."""
+    lines = [x.strip() for x in re.split(r"\r|\n|\\r|\\n", body)]
+    headers = {x.partition(":")[0].strip(): x.partition(":")[2].strip() for x in lines if ":" in x}
+    data = _decoded("".join("".join(x for x in lines if ":" not in x).split()))
+    if not data:
+        return False
+    if headers.get("Proc-Type", "").replace(" ", "") == "4,ENCRYPTED":  # what it holds can't be seen but for whole blocks
+        return re.fullmatch(r"[A-Z0-9-]+,[0-9A-Fa-f]{16,}", headers.get("DEK-Info", "")) is not None and len(data) % 8 == 0
+    return is_private_key(data) or is_ssh_key(data)
+
+
+def _block(lines: str) -> str:
+    """Of base64 lines those of the first one's length, and the first shorter one, which ends a block."""
+    found, at = lines.splitlines(), 0
+    for n, line in enumerate(found):
+        at = n
+        if len(line.strip()) < len(found[0].strip()):
+            break
+    return "\n".join(found[: at + 1])
+
+
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and added spans (kind, start, end), in code points, end exclusive, each sorted by start, then kind."""
     base = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     base += [("access", *m.span()) for m in ACCESS.finditer(text)]
-    hexes = [m.span() for m in HEX.finditer(text)]
-    base += [("hex", *s) for s in hexes]
+    base += [("hex", *m.span()) for m in HEX.finditer(text)]
     more = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            data = _decoded("".join(m[2].split()))
-            if data and (is_private_key(data) or is_ssh_key(data)):
-                more.append(("pem_key", *m.span()))
+        more += [("pem_key", *m.span()) for m in PEM.finditer(text) if _is_pem_key(m[2])]
     for m in RUN.finditer(text):
         kind = _confirmed(m[0], "der_key", _decoded(m[0]))
         if kind:
             more.append((kind, *m.span()))
-    for a, b in hexes:
-        kind = _confirmed(text[a:b], "hex_key", bytes.fromhex(text[a : b - (b - a) % 2]))
+    for m in LINES.finditer(text):
+        block = _block(m[0])
+        kind = _confirmed(block, "der_key", _decoded("".join(block.split())))
+        if kind and kind != "encoded":
+            more.append((kind, m.start(), m.start() + len(block)))
+    for m in ANY_HEX.finditer(text):
+        kind = _confirmed(m[0], "hex_key", bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))
         if kind:
-            more.append((kind, a, b))
+            more.append((kind, *m.span()))
     if "eyJ" in text:
-        more += [("signed_token", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
+        for m in TOKEN.finditer(text):
+            at = m[1].find("eyJ")
+            if at >= 0 and is_signed_token(m[1][at:], m[2]):
+                more.append(("signed_token", m.start() + at, m.end()))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
-    return sorted(base, key=order), sorted(more, key=order)
+    return sorted(set(base), key=order), sorted(set(more), key=order)
 
 
 def _said(spans: list[tuple[str, int, int]]) -> str:
@@ -173,7 +202,7 @@ def _masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end, comma-joined).
 
-    Spans are in code points over the whole text; a null text counts as empty. spans holds base and added spans. Rows
+    Spans are in code points over the whole text, found in linear time; a null text counts as empty. spans holds base and added spans. Rows
     that repeat stay repeated, other columns are ignored, no rows give none.
     """
 
@@ -193,7 +222,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with each secret, overlapping ones together, replaced by MARK; null texts stay null."""
+    """The documents with each secret, overlapping ones together, replaced by MARK; null texts, other columns and repeated rows stay."""
 
     @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:

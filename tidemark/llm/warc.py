@@ -29,8 +29,8 @@ HTTP_TYPE, HTTP_MESSAGE = "text/html; charset=utf-8", "application/http; msgtype
 DATE = "2024-01-01T00:00:00Z"
 #: Compressed bytes after which an archive is closed, rows and bytes that the dictionary is trained on, and its size.
 ROLL, SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY, LEVEL = 16_000_000, 400, 4_000_000, 65_536, 6
-#: A record's block in memory at most.
-MOST = 1 << 31
+#: A record in memory at most, and compressed bytes given to a frame at once.
+MOST, WINDOW = 1 << 31, 1 << 16
 
 
 class WarcError(ValueError):
@@ -151,17 +151,19 @@ def read_archive(raw: bytes) -> Iterator[Record]:
         if len(raw) - at < 8 or struct.unpack_from("<I", raw, at)[0] != FRAME:
             raise WarcError(f"no frame at {at}")
         size = zstd.frame_content_size(view[at : at + 18])
-        if size > MOST:
-            raise WarcError(f"the frame at {at} is too large")
-        frame = reader.decompressobj()
+        frame, parts, total, upto = reader.decompressobj(), [], 0, at
         try:
-            data = frame.decompress(view[at:])
+            while not frame.eof and upto < len(raw):  # a frame is given windows of the archive, not all that follows
+                parts.append(frame.decompress(view[upto : upto + WINDOW]))
+                upto, total = min(len(raw), upto + WINDOW), total + len(parts[-1])
+                if max(size, total) > MOST:
+                    raise WarcError(f"the frame at {at} is too large")
         except zstd.ZstdError as error:
             raise WarcError(f"frame at {at}: {error}") from error
-        if not frame.eof or (size >= 0 and len(data) != size):
+        if not frame.eof or (size >= 0 and total != size):
             raise WarcError(f"the frame at {at} is cut off")
-        yield read_record(data)
-        at = len(raw) - len(frame.unused_data)
+        yield read_record(b"".join(parts))
+        at = upto - len(frame.unused_data)
 
 
 def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
@@ -187,6 +189,8 @@ def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
 def roles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 0) -> DataFrame:
     """The pages with record_type and refers_to: of equal payloads of at least `least` bytes the smallest id responds.
 
+    Columns of these names that the pages have are replaced.
+
     Payloads are compared by SHA-1 and length. Only groups of two and more are joined back, so the join's other side
     holds one row for each repeated payload; Spark splits the partition of one that very many pages share.
     """
@@ -195,7 +199,7 @@ def roles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", lea
     groups = marked.filter(F.col("_tm_bytes") >= least).groupBy("_tm_sha1", "_tm_bytes").agg(F.min(id_col).alias("_tm_first"), F.count("*").alias("_tm_n")).filter("_tm_n > 1").drop("_tm_n")
     joined = marked.join(groups, ["_tm_sha1", "_tm_bytes"], "left")
     revisit = F.col("_tm_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_tm_first"))
-    return joined.select(*pages.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_tm_first")).alias("refers_to"))
+    return joined.select(*[c for c in pages.columns if c not in ("record_type", "refers_to")], F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_tm_first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
