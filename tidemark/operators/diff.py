@@ -83,6 +83,36 @@ def rollup(table: str, a: DataFrame, b: DataFrame, keys: list[str], t: Tolerance
     return done.withColumns({"pct": pct, "status": status})
 
 
+def summary(tables: DataFrame, sampled: int | None = None) -> DataFrame:
+    """One row over those of rollup(): rows, mismatches, pct, passed, and bound_95.
+
+    bound_95 is 3 / n, the upper bound of the share of mismatches at 95 % where n rows showed none; null else. n is the
+    number sampled, if rows were. Without rows, or with a table that has none, nothing passes.
+    """
+    one = tables.agg(F.coalesce(F.sum("source_rows"), F.lit(0)).alias("rows_compared"), F.coalesce(F.sum("mismatched"), F.lit(0)).alias("mismatched_rows"), F.count_if(F.col("status") == "no_data").alias("empty"))
+    n = F.col("rows_compared") if sampled is None else F.lit(sampled)
+    clean = (F.col("mismatched_rows") == 0) & (F.col("rows_compared") > 0)
+    pct = F.coalesce(F.round(100 * F.col("mismatched_rows") / F.nullif("rows_compared", F.lit(0)), 4), F.lit(0.0))
+    return one.select("rows_compared", "mismatched_rows", pct.alias("pct"), (clean & (F.col("empty") == 0)).alias("passed"), F.when(clean, F.round(3 / n, 6)).alias("bound_95"))
+
+
+def read_csv(spark, path: str) -> DataFrame:
+    """A CSV file with a header, all columns as text; a diff decides how to compare them."""
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+
+
+def header_mismatches(csv: DataFrame, declared: list[str]) -> dict[str, list[str]]:
+    """Columns that a file lacks and that it has beyond those declared, in any case; reads no row."""
+    have, want = {c.strip().upper(): c for c in csv.columns}, {c.strip().upper(): c for c in declared}
+    return {"missing": [c for k, c in want.items() if k not in have], "extra": [c for k, c in have.items() if k not in want]}
+
+
+def except_one_way(a: DataFrame, b: DataFrame, t: Tolerances = Tolerances()) -> DataFrame:
+    """One row: distinct rows of a, in the columns that both have, that b lacks; texts count with their case."""
+    columns = compared_columns(a, b, t.masked)
+    return a.select(*columns).subtract(b.select(*columns)).agg(F.count("*").alias("only_source"))
+
+
 def hash_sample(df: DataFrame, key: str, sixteenths: int) -> DataFrame:
     """The rows whose key's md5 begins with one of the first so many hexadecimal digits: the same rows on any engine."""
     return df.filter(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 1) < F.lit(format(sixteenths, "x"))) if sixteenths < 16 else df
@@ -96,11 +126,58 @@ def drift(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFram
     return joined.select(F.col("k").alias(key), change.alias("change")).filter("change is not null")
 
 
-def continuity(source: DataFrame, target: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, status): matched, mismatched, missing or extra lineage of each target column. A target is required."""
-    a, b = source.select(F.col(key).alias("k"), F.lower(value).alias("v"), F.lit(True).alias("in_a")), target.select(F.col(key).alias("k"), F.lower(value).alias("w"), F.lit(True).alias("in_b"))
-    status = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "extra").when(F.col("v").eqNullSafe(F.col("w")), "matched").otherwise("mismatched")
-    return a.join(b, "k", "full").select(F.col("k").alias(key), status.alias("status"))
+#: Least similarity of two columns' names that counts as the same column.
+SAME_NAME = 0.85
+
+
+def continuity(source: DataFrame, target: DataFrame, key: str, value: str, canonical: DataFrame | None = None) -> DataFrame:
+    """(key, status, confidence): whether each target column still comes from where it came from. A target is required.
+
+    Sources match where their canonical ids (canonical: fqn, canonical_id) or, without these, their names in lower case
+    are equal, or where their leaf names are alike to SAME_NAME; confidence is that similarity. Else they are mismatched,
+    missing from the target, or extra in it. Of several sources of a column the largest name counts.
+    """
+    side = lambda df, v, has: df.groupBy(F.col(key).alias("k")).agg(F.max(value).alias(v)).withColumn(has, F.lit(True))
+    joined = side(source, "v", "in_a").join(side(target, "w", "in_b"), "k", "full")
+    same = F.lower("v").eqNullSafe(F.lower("w"))
+    if canonical is not None:
+        for c, out in (("v", "cv"), ("w", "cw")):
+            ids = canonical.groupBy(F.lower("fqn").alias("_fqn")).agg(F.min("canonical_id").alias(out))
+            joined = joined.join(ids, F.lower(c) == F.col("_fqn"), "left").drop("_fqn")
+        same = F.coalesce("cv", F.lower("v")).eqNullSafe(F.coalesce("cw", F.lower("w")))
+    leaf = lambda c: F.lower(F.substring_index(c, ".", -1))
+    both = joined.filter("in_a and in_b").withColumn("same", same)
+    near = both.withColumn("near", F.when(F.col("same"), 1.0).otherwise(F.coalesce(similarity(leaf("v"), leaf("w")), F.lit(0.0))))
+    met = near.select("k", F.when(F.col("near") >= SAME_NAME, "matched").otherwise("mismatched").alias("status"), F.round("near", 2).alias("confidence"))
+    lone = joined.filter("in_a is null or in_b is null").select("k", F.when(F.col("in_b").isNull(), "missing").otherwise("extra").alias("status"), F.lit(0.0).alias("confidence"))
+    return met.unionByName(lone).withColumnRenamed("k", key)
+
+
+def fingerprint(objects: DataFrame, edges: DataFrame, logic: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(section, key, value): objects (fqn), edges (src, dst, kind), logic and attributes (key, value), white space collapsed.
+
+    Several values of a key are one, sorted and joined by ` || `.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    rows = objects.select(F.lit("object").alias("section"), F.col("fqn").alias("key"), F.lit("").alias("value"))
+    rows = rows.unionByName(edges.select(F.lit("edge").alias("section"), F.concat("src", F.lit("->"), "dst", F.lit(":"), "kind").alias("key"), F.lit("").alias("value")))
+    for name, df in (("logic", logic), ("attribute", attributes)):
+        rows = rows.unionByName(df.select(F.lit(name).alias("section"), "key", plain(F.col("value")).alias("value")).filter("value <> ''"))
+    return rows.groupBy("section", "key").agg(F.array_join(F.array_sort(F.collect_set("value")), " || ").alias("value"))
+
+
+def fingerprint_drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(section, key, change, old, new): what was added, removed or changed between two fingerprints."""
+    a, b = before.select("section", "key", F.col("value").alias("old"), F.lit(True).alias("in_a")), after.select("section", "key", F.col("value").alias("new"), F.lit(True).alias("in_b"))
+    change = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
+    return a.join(b, ["section", "key"], "full").select("section", "key", change.alias("change"), "old", "new").filter("change is not null")
+
+
+def bump_version(current: str | None, changed: bool) -> str:
+    """The version after a run: minor + 1 where anything changed, else patch + 1; none, 0.0.0 and odd ones count as 1.0.0."""
+    parts = (current or "").split(".")
+    major, minor, patch = map(int, parts) if len(parts) == 3 and all(p.isdigit() for p in parts) and current != "0.0.0" else (1, 0, 0)
+    return f"{major}.{minor + 1}.0" if changed else f"{major}.{minor}.{patch + 1}"
 
 
 def similarity(a: Column, b: Column) -> Column:

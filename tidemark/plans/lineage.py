@@ -28,9 +28,6 @@ EDGES = """edges AS (
 SELECT concat('region:', n_regionkey) AS src, concat('nation:', n_nationkey) AS dst FROM nation
 UNION ALL SELECT concat('nation:', c_nationkey), concat('customer:', c_custkey) FROM customer
 UNION ALL SELECT concat('customer:', o_custkey), concat('orders:', o_orderkey) FROM orders)"""
-SMALL_EDGES = """edges AS (
-SELECT concat('region:', n_regionkey) AS src, concat('nation:', n_nationkey) AS dst FROM nation
-UNION ALL SELECT concat('nation:', c_nationkey), concat('customer:', c_custkey) FROM customer)"""
 CLOSURE = "reach AS (SELECT src AS root, dst AS node, 1 AS hops FROM edges UNION ALL SELECT r.root, e.dst, r.hops + 1 FROM reach r JOIN edges e ON e.src = r.node)"
 
 
@@ -45,14 +42,14 @@ def lineage_hops_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(star_edges(spark, sf_dir), roots)
 
 
-@query(f"WITH RECURSIVE {SMALL_EDGES}, {CLOSURE} SELECT node AS root, root AS node, MIN(hops) AS hops FROM reach GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {EDGES}, {CLOSURE} SELECT node AS root, root AS node, MIN(hops) AS hops FROM reach GROUP BY 1, 2")
 def lineage_hops_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(graph.reversed_edges(star_edges(spark, sf_dir, ("nation", "customer"))))
+    return graph.closure(graph.reversed_edges(star_edges(spark, sf_dir)))
 
 
-@query(f"WITH RECURSIVE {SMALL_EDGES}, {CLOSURE} SELECT node, MIN(hops) AS hops, MIN(via) AS via FROM (SELECT r.node, r.hops, e.src AS via FROM reach r JOIN edges e ON e.dst = r.node WHERE r.root = 'region:1') GROUP BY node")
+@query(f"WITH RECURSIVE {EDGES}, {CLOSURE} SELECT node, MIN(hops) AS hops, MIN(via) AS via FROM (SELECT r.node, r.hops, e.src AS via FROM reach r JOIN edges e ON e.dst = r.node WHERE r.root = 'region:1') GROUP BY node")
 def blast_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.blast_parents(star_edges(spark, sf_dir, ("nation", "customer")), "region:1")
+    return graph.blast_parents(star_edges(spark, sf_dir), "region:1")
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {CLOSURE}, sizes AS (SELECT COUNT(DISTINCT node) AS v FROM reach GROUP BY root), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM sizes)
@@ -78,9 +75,9 @@ def cycles_self_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(transitions(spark, sf_dir))
 
 
-@query(f"WITH {SMALL_EDGES}, ends AS (SELECT dst AS node, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) SELECT node, CAST(SUM(i) AS BIGINT) AS fan_in, CAST(SUM(o) AS BIGINT) AS fan_out FROM ends GROUP BY node")
+@query(f"WITH {EDGES}, ends AS (SELECT dst AS node, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) SELECT node, CAST(SUM(i) AS BIGINT) AS fan_in, CAST(SUM(o) AS BIGINT) AS fan_out FROM ends GROUP BY node")
 def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(star_edges(spark, sf_dir, ("nation", "customer")))
+    return graph.degrees(star_edges(spark, sf_dir))
 
 
 @query(f"WITH {EDGES}, ends AS (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) SELECT node, COUNT(*) AS degree FROM ends GROUP BY node ORDER BY degree DESC, node LIMIT 10")
@@ -109,15 +106,15 @@ def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(star_edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {SMALL_EDGES}, p AS (SELECT concat(src, '>', dst) AS path, dst AS last, 2 AS hops FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION ALL SELECT concat(p.path, '>', e.dst), e.dst, hops + 1 FROM p JOIN edges e ON e.src = p.last)
+@query(f"""WITH RECURSIVE {EDGES}, p AS (SELECT concat(src, '>', dst) AS path, dst AS last, 2 AS hops FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION ALL SELECT concat(p.path, '>', e.dst), e.dst, hops + 1 FROM p JOIN edges e ON e.src = p.last)
 SELECT path, CAST(hops AS BIGINT) AS hops FROM p WHERE last NOT IN (SELECT src FROM edges)""")
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.simple_paths(star_edges(spark, sf_dir, ("nation", "customer")))
+    return graph.simple_paths(star_edges(spark, sf_dir))
 
 
-@query(f"WITH {SMALL_EDGES} SELECT dst AS node, 'fan_in' AS pattern FROM edges GROUP BY dst HAVING COUNT(*) > 4 UNION ALL SELECT src, 'fan_out' FROM edges GROUP BY src HAVING COUNT(*) > 4")
+@query(f"WITH {EDGES} SELECT dst AS node, 'fan_in' AS pattern FROM edges GROUP BY dst HAVING COUNT(*) > 4 UNION ALL SELECT src, 'fan_out' FROM edges GROUP BY src HAVING COUNT(*) > 4")
 def high_fan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = graph.degrees(star_edges(spark, sf_dir, ("nation", "customer")))
+    d = graph.degrees(star_edges(spark, sf_dir))
     return d.filter("fan_in > 4").select("node", F.lit("fan_in").alias("pattern")).unionByName(d.filter("fan_out > 4").select("node", F.lit("fan_out").alias("pattern")))
 
 
@@ -131,33 +128,3 @@ SELECT concat(src, '>', dst) AS signature, COUNT(DISTINCT user_id) AS jobs FROM
 def recurring_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transitions(spark, sf_dir).groupBy(F.concat_ws(">", "src", "dst").alias("signature")).agg(F.countDistinct("user_id").alias("jobs"))
     return t.orderBy(F.desc("jobs"), "signature").limit(20)
-
-
-@query("""WITH w AS (SELECT n_nationkey, COUNT(c_custkey) AS fan_in FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey), r AS (SELECT n_nationkey, COUNT(s_suppkey) AS risk FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey)
-SELECT w.n_nationkey AS node, fan_in + 2 * risk AS value, CASE WHEN risk >= 4 THEN 'high' WHEN risk >= 2 THEN 'medium' ELSE 'low' END AS risk FROM w JOIN r USING (n_nationkey)""")
-def risk_value_quadrant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation").select("n_nationkey")
-    fan = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("fan_in"))
-    risk = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("risk"))
-    j = nation.join(fan, "n_nationkey", "left").join(risk, "n_nationkey", "left").na.fill(0, ["fan_in", "risk"])
-    label = F.when(F.col("risk") >= 4, "high").when(F.col("risk") >= 2, "medium").otherwise("low")
-    return j.select(F.col("n_nationkey").alias("node"), (F.col("fan_in") + 2 * F.col("risk")).alias("value"), label.alias("risk"))
-
-
-@query("""WITH c AS (SELECT (SELECT COUNT(*) FROM customer) AS n, (SELECT COUNT(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)) AS orphans, (SELECT COUNT(*) FROM customer WHERE c_acctbal < 0) AS unresolved)
-SELECT n, orphans, unresolved, CAST(greatest(0, least(100, 100 - (0.5 * 100 * orphans / n + 8 * 100.0 * unresolved / n / 10))) AS BIGINT) AS health FROM (SELECT n::DOUBLE AS nd, n, orphans, unresolved FROM c)""")
-def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer")
-    large = table(spark, sf_dir, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
-    n = customers.agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("unresolved"))
-    o = customers.join(large, "c_custkey", "left_anti").agg(F.count("*").alias("orphans"))
-    x = 100 - (0.5 * 100 * F.col("orphans") / F.col("n") + 8 * 100.0 * F.col("unresolved") / F.col("n") / 10)
-    return n.crossJoin(o).select("n", "orphans", "unresolved", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))).cast("bigint").alias("health"))
-
-
-@query("""SELECT lower(regexp_replace(p_type, '(_ID|_KEY|_FK)$', '_ID')) AS canonical_id, COUNT(DISTINCT p_brand) AS aliases, CASE WHEN lower(regexp_replace(p_type, '(_ID|_KEY|_FK)$', '_ID')) LIKE '%\\_id' ESCAPE '\\' THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END AS confidence
-FROM part GROUP BY 1 HAVING COUNT(DISTINCT p_brand) >= 2""")
-def column_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    canonical = F.lower(F.regexp_replace("p_type", "(_ID|_KEY|_FK)$", "_ID"))
-    g = table(spark, sf_dir, "part").groupBy(canonical.alias("canonical_id")).agg(F.countDistinct("p_brand").alias("aliases")).filter("aliases >= 2")
-    return g.withColumn("confidence", F.when(F.col("canonical_id").endswith("_id"), 1.0).otherwise(0.85))

@@ -11,39 +11,85 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import fqn
+from ..functions.scratch import cut
 
 NAME = r"([\w.\[\]\"]+)"
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of every file below a folder."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, text) of every file below a folder, or of those whose names fit a pattern; one row a file."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def stem(path: Column) -> Column:
+    """A file's name without folder and ending."""
+    return F.regexp_extract(path, r"([^/]*?)(?:\.\w+)?$", 1)
 
 
 def dialect_of(texts: DataFrame) -> DataFrame:
     """Adds `dialect`, by file ending, then by root element."""
     end = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
     by_end = F.when(end == "sql", "sql").when(end == "dtsx", "ssis").when(end == "dsx", "datastage").when(end == "item", "talend").when(end == "twb", "tableau").when(end == "json", "json").when(end == "py", "ml_script")
-    by_root = F.when(F.col("text").rlike("<POWERMART"), "informatica").when(F.col("text").rlike("DTS:Executable"), "ssis").when(F.col("text").rlike("(?i)<Schedule[ >]"), "schedule").when(F.col("text").rlike("(?i)<report[ >]"), "cognos")
+    by_root = F.when(F.col("text").rlike("<POWERMART"), "informatica").when(F.col("text").rlike("DTS:Executable"), "ssis").when(F.col("text").rlike("(?i)<Schedule[ >]"), "schedule").when(F.col("text").rlike("(?i)<(?:cognosReport|report)[ >]"), "cognos")
     return texts.withColumn("dialect", F.coalesce(by_end, by_root, F.lit("unknown")))
 
 
+def plain_sql(text: Column) -> Column:
+    """SQL without comments and markdown fences."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", ""), r"(?m)^[ \t]*```\w*[ \t]*$", "")
+
+
 def _statements(text: Column) -> Column:
-    """Statements, parted by GO lines; comments and markdown fences dropped."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", ""), r"(?m)^\s*```\w*\s*$", "")
-    return F.split(plain, r"(?im)^\s*GO\s*;?\s*$")
+    """Batches, parted by GO lines (with or without a count)."""
+    return F.split(plain_sql(text), r"(?im)^[ \t]*GO(?:[ \t]+\d+)?[ \t]*;?[ \t]*\r?$")
+
+
+def objects(texts: DataFrame) -> DataFrame:
+    """(path, ordinal, sql): each batch, parted before every CREATE of an object; what precedes the first is dropped."""
+    begins = r"(?i)(?=\bCREATE\s+(?:OR\s+\w+\s+)?(?:MATERIALIZED\s+)?(?:VIEW|PROC|PROCEDURE|TABLE|FUNCTION|TRIGGER|SCHEMA|(?:UNIQUE\s+)?(?:CLUSTERED\s+|NONCLUSTERED\s+)?INDEX)\b)"
+    parts = F.flatten(F.transform(_statements(F.col("text")), lambda s: F.split(s, begins)))
+    return texts.select("path", F.posexplode(F.filter(parts, lambda s: s.rlike(r"(?i)^CREATE\b"))).alias("ordinal", "sql"))
+
+
+def _items(body: str) -> list[str]:
+    """The parts of what follows an opening parenthesis, up to its closing one, at commas outside of others and of quotes."""
+    out, depth, begin, quote = [], 1, 0, ""
+    for i, c in enumerate(body):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                return [*out, body[begin:i]]
+        elif c == "," and depth == 1:
+            out.append(body[begin:i])
+            begin = i + 1
+    return [*out, body[begin:]]  # cut off
+
+
+def _split_items(body: Column) -> Column:
+    @F.arrow_udf("array<string>")
+    def of(bodies: pa.Array) -> pa.Array:
+        return pa.array([_items(b or "") for b in bodies.to_pylist()], pa.list_(pa.string()))
+
+    return of(body)
 
 
 def tables(texts: DataFrame) -> DataFrame:
     """(path, fqn, ordinal, name, data_type, nullable, pk, computed): a row for each column of CREATE TABLE.
 
     Commas within parentheses don't part columns; table constraints are no columns; a computed column has no type.
+    Parentheses are matched by a scan of the text, so that tables may have any number of columns.
     """
-    one = F.explode(F.regexp_extract_all(F.regexp_replace(F.concat_ws("\n;\n", _statements(F.col("text"))), r"(?i)\bCREATE\s+TABLE\b", "\u0001"), F.lit("\u0001([^\u0001]*)"), F.lit(1)))
-    found = texts.select("path", one.alias("t")).select("path", F.regexp_extract("t", rf"^\s*(?:IF\s+NOT\s+EXISTS\s+)?{NAME}", 1).alias("name"), F.regexp_extract("t", r"(?s)^[^(]*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", 1).alias("body"))
-    inner = F.regexp_replace("body", r",(?=[^()]*(?:\([^()]*\)[^()]*)*\))", "\u0002")
-    parts = found.filter("body <> ''").select("path", fqn(F.col("name")).alias("fqn"), F.posexplode(F.split(inner, ",")).alias("ordinal", "c"))
-    c = F.trim(F.regexp_replace(F.regexp_replace("c", "\u0002", ","), r"\s+", " "))
+    head = rf"(?is)^CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\("
+    found = objects(texts).filter(F.col("sql").rlike(head))
+    name, after = F.regexp_extract("sql", head, 1), F.expr("substr(sql, instr(sql, '(') + 1)")
+    parts = found.select("path", fqn(name).alias("fqn"), F.posexplode(_split_items(after)).alias("ordinal", "c"))
+    c = F.trim(F.regexp_replace("c", r"\s+", " "))
     rows = parts.withColumn("c", c).filter(~F.col("c").rlike(r"(?i)^(CONSTRAINT|PRIMARY KEY|FOREIGN KEY|UNIQUE|CHECK|INDEX)\b") & (F.col("c") != ""))
     computed = F.regexp_extract("c", r"(?is)^\S+\s+AS\s*\((.*)\)", 1)
     kind = F.upper(F.regexp_extract("c", r"^\S+\s+(\w+(?:\s*\([^)]*\))?)", 1))
@@ -58,15 +104,21 @@ def references(sql: Column) -> Column:
 
 
 def writes(sql: Column) -> Column:
-    """Names after INSERT INTO, UPDATE, MERGE INTO, DELETE FROM and TRUNCATE TABLE."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(sql, F.lit(rf"(?i)\b(?:INSERT\s+INTO|MERGE\s+INTO|MERGE|UPDATE|DELETE\s+FROM|TRUNCATE\s+TABLE)\s+{NAME}"), F.lit(1)), fqn))
+    """Names after INSERT INTO, UPDATE, MERGE INTO, DELETE FROM, TRUNCATE TABLE and SELECT INTO; an alias is its table."""
+    found = F.concat(
+        F.regexp_extract_all(sql, F.lit(rf"(?i)\b(?:INSERT\s+INTO|MERGE\s+INTO|MERGE|UPDATE|DELETE\s+FROM|TRUNCATE\s+TABLE)\s+(?!INTO\b|SET\b){NAME}"), F.lit(1)),
+        F.regexp_extract_all(sql, F.lit(rf"(?i)\bINTO\s+{NAME}\s+FROM\b"), F.lit(1)),
+    )
+    named = rf"(?i)\b(?:FROM|JOIN)\s+{NAME}\s+(?:AS\s+)?(\w+)"
+    known = F.arrays_zip(F.regexp_extract_all(sql, F.lit(named), F.lit(1)).alias("name"), F.regexp_extract_all(sql, F.lit(named), F.lit(2)).alias("alias"))
+    real = lambda n: F.coalesce(F.try_element_at(F.filter(known, lambda k: F.upper(k["alias"]) == F.upper(n)), F.lit(1))["name"], n)
+    return F.array_distinct(F.transform(found, lambda n: fqn(real(n))))
 
 
 def views(texts: DataFrame) -> DataFrame:
-    """(path, fqn, sql, is_materialized, complexity, sources)."""
-    s = texts.select("path", F.explode(_statements(F.col("text"))).alias("s"))
-    head = rf"(?is)CREATE\s+(?:OR\s+(?:REPLACE|ALTER)\s+)?(MATERIALIZED\s+)?VIEW\s+{NAME}\s+AS\s+(.*?);?\s*$"
-    v = s.filter(F.col("s").rlike(head)).select("path", fqn(F.regexp_extract("s", head, 2)).alias("fqn"), F.regexp_extract("s", head, 3).alias("sql"), (F.regexp_extract("s", head, 1) != "").alias("is_materialized"))
+    """(path, fqn, sql, is_materialized, complexity, sources) of every view, with or without a list of columns."""
+    head = rf"(?is)^CREATE\s+(?:OR\s+\w+\s+)?(MATERIALIZED\s+)?VIEW\s+{NAME}\s*(?:\([^)]*\)\s*)?(?:WITH\s+\w+\s+)?AS\s+([^;]*)"
+    v = objects(texts).filter(F.col("sql").rlike(head)).select("path", fqn(F.regexp_extract("sql", head, 2)).alias("fqn"), F.trim(F.regexp_extract("sql", head, 3)).alias("sql"), (F.regexp_extract("sql", head, 1) != "").alias("is_materialized"))
     v = v.withColumn("sources", references(F.col("sql")))
     schemas = F.size(F.array_distinct(F.transform("sources", lambda n: F.substring_index(n, ".", 1))))
     kind = F.when(F.col("sql").rlike(r"(?i)EXECUTE IMMEDIATE|sp_executesql"), "dynamic").when(F.exists("sources", lambda n: n.rlike(r"(^|\.)V(W|IEW)?_")), "nested_view").when(schemas > 1, "cross_system").when(F.col("sql").rlike(r"(?i)\bGROUP\s+BY\b"), "aggregate").when(F.size("sources") > 1, "join").otherwise("simple")
@@ -74,50 +126,95 @@ def views(texts: DataFrame) -> DataFrame:
 
 
 def procedures(texts: DataFrame) -> DataFrame:
-    """(path, fqn, reads, writes, calls, has_dynamic, has_cursor, complexity): from a comment header, else from the body."""
+    """(path, fqn, reads, writes, calls, has_dynamic, has_cursor, truncated, complexity) of every procedure.
+
+    A file with a comment header is one procedure as the header says, where NONE means none; else each CREATE PROCEDURE
+    is read. truncated: its last END is missing.
+    """
     head = lambda k: F.nullif(F.regexp_extract("text", rf"(?m)^--[ \t]*{k}[ \t]*:[ \t]*(.*?)[ \t\r]*$", 1), F.lit(""))
-    listed = lambda k: F.filter(F.transform(F.split(F.coalesce(head(k), F.lit("")), ","), fqn), lambda n: n != "")
-    p = texts.withColumn("body", F.concat_ws("\n", _statements(F.col("text"))))
-    name = F.coalesce(head("PROCEDURE"), F.nullif(F.regexp_extract("body", rf"(?i)CREATE\s+(?:OR\s+\w+\s+)?PROC(?:EDURE)?\s+{NAME}", 1), F.lit("")))
-    calls = F.transform(F.regexp_extract_all("body", F.lit(rf"(?i)\b(?:EXEC|EXECUTE|CALL)\s+{NAME}"), F.lit(1)), fqn)
+    listed = lambda k: F.filter(F.transform(F.split(F.coalesce(head(k), F.lit("")), ","), fqn), lambda n: ~n.isin("", "NONE"))
+    flag = lambda k: F.coalesce(F.lower(head(k)) == "true", F.lit(False))
+    declared = texts.filter(head("PROCEDURE").isNotNull()).withColumn("body", plain_sql(F.col("text"))).select("path", fqn(head("PROCEDURE")).alias("fqn"), "body", *[listed(k).alias(k.lower()) for k in ("READS", "WRITES", "CALLS")], flag("HAS_DYNAMIC").alias("dynamic"), flag("HAS_CURSOR").alias("cursor"))
+    created = rf"(?is)^CREATE\s+(?:OR\s+\w+\s+)?PROC(?:EDURE)?\s+{NAME}"
+    none = F.array().cast("array<string>")
+    found = objects(texts.filter(head("PROCEDURE").isNull())).filter(F.col("sql").rlike(created)).select("path", fqn(F.regexp_extract("sql", created, 1)).alias("fqn"), F.col("sql").alias("body"), none.alias("reads"), none.alias("writes"), none.alias("calls"), F.lit(False).alias("dynamic"), F.lit(False).alias("cursor"))
+    p = declared.unionByName(found)
+    calls = F.transform(F.regexp_extract_all("body", F.lit(rf"(?i)\b(?:EXEC|EXECUTE|CALL)\s+(?!IMMEDIATE\b|sp_executesql\b){NAME}"), F.lit(1)), fqn)
     either = lambda a, b: F.when(F.size(a) > 0, a).otherwise(b)
-    dynamic, cursor = F.col("body").rlike(r"(?i)EXECUTE IMMEDIATE|sp_executesql|EXEC\s*\(") | F.coalesce(F.lower(head("HAS_DYNAMIC")) == "true", F.lit(False)), F.col("body").rlike(r"(?i)\bCURSOR\b")
-    p = p.filter(name.isNotNull()).select("path", fqn(name).alias("fqn"), either(listed("READS"), references(F.col("body"))).alias("reads"), either(listed("WRITES"), writes(F.col("body"))).alias("writes"), either(listed("CALLS"), calls).alias("calls"), F.coalesce(dynamic, F.lit(False)).alias("has_dynamic"), cursor.alias("has_cursor"))
+    is_dynamic = F.col("body").rlike(r"(?i)EXECUTE IMMEDIATE|sp_executesql|EXEC(?:UTE)?\s*\(") | F.col("dynamic")
+    wrote = writes(F.col("body"))
+    p = p.select("path", "fqn", either(F.col("reads"), F.array_except(references(F.col("body")), wrote)).alias("reads"), either(F.col("writes"), wrote).alias("writes"), F.array_distinct(either(F.col("calls"), calls)).alias("calls"), is_dynamic.alias("has_dynamic"), (F.col("body").rlike(r"(?i)\bCURSOR\b") | F.col("cursor")).alias("has_cursor"), (F.col("body").rlike(r"(?i)\bBEGIN\b") & ~F.col("body").rlike(r"(?is)\bEND\b[\s\w.;/]{0,200}$")).alias("truncated"))
     n = F.size("reads") + F.size("writes")
     return p.withColumn("complexity", F.when(F.col("has_dynamic") | F.col("has_cursor") | (n > 6), "high").when(n > 2, "medium").otherwise("low"))
 
 
+#: What XML writes for the characters that it reserves, in the order in which they are read back.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#xA;", "\n"), ("&#10;", "\n"), ("&#xD;", ""), ("&#13;", ""), ("&amp;", "&"))
+
+
+def unescaped(text: Column) -> Column:
+    for entity, sign in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute of a start tag, null where it lacks one. Tags are found as text: no DTD or entity is ever fetched."""
+    return F.nullif(unescaped(F.coalesce(F.nullif(F.regexp_extract(tag, rf'(?:^|\s){name}\s*=\s*"([^"]*)"', 1), F.lit("")), F.regexp_extract(tag, rf"(?:^|\s){name}\s*=\s*'([^']*)'", 1))), F.lit(""))
+
+
+def tags(text: Column, name: str) -> Column:
+    """What stands in each start tag of that name."""
+    return F.regexp_extract_all(text, F.lit(rf"<(?:\w+:)?{name}(\s[^>]*)>"), F.lit(1))
+
+
 def schedules(texts: DataFrame) -> DataFrame:
-    """(name, type, schedule, frequency, depends_on) of <Schedule> files."""
-    at = lambda a: F.expr(f"xpath_string(text, '/Schedule/@{a}')").alias(a)
-    return texts.filter(F.col("text").rlike("<Schedule[ >]")).select(at("name"), at("type"), at("schedule"), at("frequency"), F.expr("xpath(text, '/Schedule/DependsOn/text()')").alias("depends_on"))
+    """(path, name, type, schedule, frequency, depends_on) of <Schedule> files."""
+    tag = F.regexp_extract("text", r"<Schedule(\s[^>]*)>", 1)
+    needs = F.transform(F.regexp_extract_all("text", F.lit(r"<DependsOn>\s*([^<]*?)\s*</DependsOn>"), F.lit(1)), lambda d: unescaped(F.upper(d)))
+    found = texts.filter(F.col("text").rlike(r"<Schedule\s")).select("path", *[attribute(tag, a).alias(a) for a in ("name", "type", "schedule", "frequency")], F.filter(needs, lambda d: d != "").alias("depends_on"))
+    return found.withColumn("name", F.upper(F.coalesce("name", stem(F.col("path")))))
 
 
 def dashboards(texts: DataFrame) -> DataFrame:
-    """(path, name, source): the first of relation/@table, source/@table and any @table."""
-    pick = lambda x: F.nullif(F.expr(f"xpath_string(text, '{x}')"), F.lit(""))
-    xml = texts.filter(F.col("text").rlike(r"^\s*<"))
-    return xml.select("path", F.coalesce(pick("//dashboard/@name"), pick("/*/@name")).alias("name"), fqn(F.coalesce(pick("//relation/@table"), pick("//source/@table"), pick("//@table"))).alias("source")).filter("source is not null")
+    """(path, name, source) of Tableau and Cognos files: the first table of a relation, a source, or any tag."""
+    first = lambda name, a: attribute(F.try_element_at(F.filter(tags(F.col("text"), name), lambda t: attribute(t, a).isNotNull()), F.lit(1)), a)
+    any_table = F.nullif(F.regexp_extract("text", r"\stable\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
+    bi = texts.filter(F.lower("path").rlike(r"\.twbx?$") | F.col("text").rlike(r"(?i)<(?:cognosReport|report)[\s>]"))
+    name = F.coalesce(first("dashboard", "name"), first("cognosReport", "name"), first("report", "name"), first("workbook", "name"), stem(F.col("path")))
+    return bi.select("path", F.upper(name).alias("name"), fqn(F.coalesce(first("relation", "table"), first("source", "table"), any_table)).alias("source"))
 
 
 def etl_statements(texts: DataFrame) -> DataFrame:
     """(path, statement): SQL in SSIS, Informatica and Talend files, with XML entities read."""
     found = F.concat(F.regexp_extract_all("text", F.lit(r'SqlStatementSource="([^"]*)"'), F.lit(1)), F.regexp_extract_all("text", F.lit(r'NAME\s*=\s*"Sql Query"\s+VALUE\s*=\s*"([^"]*)"'), F.lit(1)), F.regexp_extract_all("text", F.lit(r'name="QUERY"\s+value="([^"]*)"'), F.lit(1)))
-    s = texts.select("path", F.explode(found).alias("statement"))
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#xA;", "\n"), ("&#10;", "\n"), ("&amp;", "&")):
-        s = s.withColumn("statement", F.replace("statement", F.lit(entity), F.lit(sign)))
-    return s
+    return texts.select("path", F.explode(found).alias("statement")).withColumn("statement", unescaped(F.col("statement")))
 
 
 def informatica_endpoints(texts: DataFrame) -> DataFrame:
     """(path, role, fqn) of POWERMART sources and targets."""
     out = None
     for role in ("SOURCE", "TARGET"):
-        tags = texts.select("path", F.explode(F.regexp_extract_all("text", F.lit(rf"<{role}\s([^>]*)>"), F.lit(1))).alias("t"))
-        owner, name = F.regexp_extract("t", r'OWNERNAME\s*=\s*"([^"]*)"', 1), F.regexp_replace(F.regexp_extract("t", r'(?:^|\s)NAME\s*=\s*"([^"]*)"', 1), "^(SQ_|TGT_|SRC_)", "")
-        rows = tags.select("path", F.lit(role.lower()).alias("role"), fqn(F.concat_ws(".", F.nullif(owner, F.lit("")), name)).alias("fqn"))
+        found = texts.select("path", F.explode(tags(F.col("text"), role)).alias("t"))
+        name = F.regexp_replace(attribute(F.col("t"), "NAME"), "^(SQ_|TGT_|SRC_)", "")
+        rows = found.select("path", F.lit(role.lower()).alias("role"), fqn(F.concat_ws(".", attribute(F.col("t"), "OWNERNAME"), name)).alias("fqn"))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.filter("fqn <> ''")
+
+
+def etl_endpoints(texts: DataFrame) -> DataFrame:
+    """(path, job, dialect, source, target) of ETL files that name their ends and have no SQL.
+
+    Ends are stages X_Source and X_Target, FROMINSTANCE (without SQ_) and TOINSTANCE, the first two OLEDB_ components,
+    or the parts of a file name A_TO_B.
+    """
+    etl = dialect_of(texts).filter(F.col("dialect").isin("ssis", "informatica", "datastage", "talend"))
+    pick = lambda p, i=1: F.nullif(F.regexp_extract("text", p, i), F.lit(""))
+    component = F.regexp_extract_all("text", F.lit(r'name="OLEDB_([^"]+)"'), F.lit(1))
+    by_name = lambda i: F.nullif(F.regexp_extract(stem(F.col("path")), r"^(?:ETL_)?(.+?)_TO_(.+)$", i), F.lit(""))
+    source = F.coalesce(pick(r'Name\s+"([^"]+)_Source"'), F.regexp_replace(pick(r'FROMINSTANCE="([^"]+)"'), "^SQ_", ""), F.try_element_at(component, F.lit(1)), by_name(1))
+    target = F.coalesce(pick(r'Name\s+"([^"]+)_Target"'), F.try_element_at(F.filter(F.regexp_extract_all("text", F.lit(r'TOINSTANCE="([^"]+)"'), F.lit(1)), lambda t: ~t.rlike("(?i)^EXP_")), F.lit(1)), F.try_element_at(component, F.lit(2)), by_name(2))
+    return etl.select("path", F.upper(stem(F.col("path"))).alias("job"), "dialect", fqn(source).alias("source"), fqn(target).alias("target"))
 
 
 def orchestration(texts: DataFrame) -> DataFrame:
@@ -128,8 +225,8 @@ def orchestration(texts: DataFrame) -> DataFrame:
 
 
 def runs(texts: DataFrame) -> DataFrame:
-    """(run_time, job, status, elapsed_s, nodes) of run summaries in JSON."""
-    schema = "run_time string, total_elapsed_s double, jobs array<struct<job:string,status:string,elapsed_s:double,nodes:bigint>>"
+    """(run_time, job, status, elapsed_s, nodes, mappings, failed, skipped) of run summaries in JSON."""
+    schema = "run_time string, total_elapsed_s double, jobs array<struct<job:string,status:string,elapsed_s:double,nodes:bigint,mappings:bigint,failed:array<string>,skipped:array<string>>>"
     return texts.select(F.from_json("text", schema).alias("r")).select("r.run_time", F.explode("r.jobs").alias("j")).select("run_time", "j.*")
 
 
@@ -187,10 +284,93 @@ def edges(view_rows: DataFrame, procedure_rows: DataFrame) -> DataFrame:
     p = procedure_rows
     out = v.unionByName(p.select(F.explode("reads").alias("src"), F.col("fqn").alias("dst"), F.lit("SP_READS").alias("kind"), sure))
     out = out.unionByName(p.select(F.col("fqn").alias("src"), F.explode("writes").alias("dst"), F.lit("SP_WRITES").alias("kind"), sure)).unionByName(p.select(F.col("fqn").alias("src"), F.explode("calls").alias("dst"), F.lit("SP_CALLS").alias("kind"), sure))
-    return out.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
+    return strongest(out)
+
+
+def strongest(edge_rows: DataFrame) -> DataFrame:
+    """One row for each (src, dst, kind), with the highest confidence."""
+    return edge_rows.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
+
+
+def etl_edges(texts: DataFrame) -> DataFrame:
+    """(src, dst, kind, confidence): ETL_READS from tables to jobs, ETL_WRITES from jobs to tables."""
+    job = F.upper(stem(F.col("path")))
+    etl = dialect_of(texts).filter(F.col("dialect").isin("ssis", "informatica", "talend")).select("path", "text")
+    said = etl_statements(etl).withColumn("statement", plain_sql(F.col("statement")))
+    wrote = writes(F.col("statement"))
+    said = said.select(job.alias("job"), F.array_except(references(F.col("statement")), wrote).alias("reads"), wrote.alias("writes"))
+    ends = etl_endpoints(texts).join(etl_statements(etl).select("path").distinct(), "path", "left_anti")
+    named = informatica_endpoints(etl)
+    read = said.select(F.explode("reads").alias("src"), F.col("job").alias("dst")).unionByName(ends.filter("source <> ''").select(F.col("source").alias("src"), F.col("job").alias("dst"))).unionByName(named.filter("role = 'source'").select(F.col("fqn").alias("src"), job.alias("dst")))
+    wrote_ = said.select(F.col("job").alias("src"), F.explode("writes").alias("dst")).unionByName(ends.filter("target <> ''").select(F.col("job").alias("src"), F.col("target").alias("dst"))).unionByName(named.filter("role = 'target'").select(job.alias("src"), F.col("fqn").alias("dst")))
+    return read.select("*", F.lit("ETL_READS").alias("kind"), F.lit(1.0).alias("confidence")).unionByName(wrote_.select("*", F.lit("ETL_WRITES").alias("kind"), F.lit(1.0).alias("confidence")))
+
+
+def declared_edges(jobs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(src, dst, kind, confidence) that an orchestration declares, more certain where the job's artifact names them.
+
+    0.8 where the artifact's text holds the leaf name, 0.3 where it doesn't, 0.6 where there is no artifact text.
+    """
+    ref = F.lit(r"([A-Za-z_]\w*\.(?:\w+|\*))")
+    said = jobs.select(F.upper("job").alias("job"), F.upper(stem(F.col("artifact"))).alias("file"), "source", "target")
+    refs = said.select("job", "file", F.explode(F.regexp_extract_all(F.coalesce("source", F.lit("")), ref, F.lit(1))).alias("ref"), F.lit(True).alias("reads")).unionByName(said.select("job", "file", F.explode(F.regexp_extract_all(F.coalesce("target", F.lit("")), ref, F.lit(1))).alias("ref"), F.lit(False).alias("reads")))
+    files = texts.select(F.upper(stem(F.col("path"))).alias("file"), F.upper("text").alias("body"))
+    found = refs.join(files, "file", "left").groupBy("job", "ref", "reads").agg(F.max(F.col("body").contains(F.upper(F.substring_index("ref", ".", -1)))).alias("named"), F.max(F.col("body").isNotNull()).alias("known"))
+    sure = F.when(~F.col("known"), 0.6).when(F.col("named"), 0.8).otherwise(0.3)
+    return found.select(F.when(F.col("reads"), fqn(F.col("ref"))).otherwise(F.col("job")).alias("src"), F.when(F.col("reads"), F.col("job")).otherwise(fqn(F.col("ref"))).alias("dst"), F.when(F.col("reads"), "ETL_READS").otherwise("ETL_WRITES").alias("kind"), sure.alias("confidence"))
+
+
+def resolve(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose ends are nodes where a name leads to one: SCHEMA.* to all of a schema, a bare name to the only node
+    with that leaf (views before others). What leads nowhere stays as it is."""
+    leaf = nodes.withColumn("name", F.substring_index("fqn", ".", -1)).filter("name <> fqn")
+    best = leaf.groupBy("name").agg(F.min(F.struct((F.col("kind") != "VIEW").alias("later"), "fqn")).alias("one"), F.sum((F.col("kind") == "VIEW").cast("int")).alias("views"), F.count("*").alias("n"))
+    bare = best.filter("n = 1 or views = 1").select("name", F.col("one.fqn").alias("to"))
+    star = leaf.filter("kind in ('TABLE', 'VIEW')").select(F.concat(F.substring_index("fqn", ".", 1), F.lit(".*")).alias("name"), F.col("fqn").alias("to"))
+    known = nodes.select(F.col("fqn").alias("name"))
+    names = bare.join(known, "name", "left_anti").unionByName(star)
+    for end in ("src", "dst"):
+        edge_rows = edge_rows.join(names, edge_rows[end] == names["name"], "left").withColumn(end, F.coalesce("to", end)).drop("name", "to")
+    return edge_rows
 
 
 def unresolved(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(fqn, seen_from): ends of edges that are no node (column fqn), each once."""
     ends = edge_rows.select(F.col("src").alias("fqn"), F.col("dst").alias("seen_from")).unionByName(edge_rows.select(F.col("dst").alias("fqn"), F.col("src").alias("seen_from")))
     return ends.join(nodes.select("fqn"), "fqn", "left_anti").groupBy("fqn").agg(F.min("seen_from").alias("seen_from"))
+
+
+def graph(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An estate's files (path, text) as nodes (fqn, kind), edges (src, dst, kind, confidence, unresolved) and the names
+    that are no node (fqn, seen_from).
+
+    Views, procedures, ETL files, schedules, dashboards and orchestrations give edges, always from producer to consumer;
+    a name that several readers give is one node, of the first kind in the order TABLE, VIEW, PROCEDURE, ETL_JOB,
+    SCHEDULE, DASHBOARD. Files of other kinds give nothing; no files give empty tables.
+    """
+    sql = texts.filter(F.lower("path").endswith(".sql"))
+    v, p, s, d = views(sql), procedures(sql), schedules(texts), dashboards(texts)
+    jobs = orchestration(texts.filter(F.lower("path").endswith(".json") & F.col("text").contains('"DependsOn"')))
+    etl = etl_edges(texts)
+    kinds = ["TABLE", "VIEW", "PROCEDURE", "ETL_JOB", "SCHEDULE", "DASHBOARD"]
+    job_names = dialect_of(texts).filter(F.col("dialect").isin("ssis", "informatica", "datastage", "talend")).select(F.upper(stem(F.col("path"))).alias("fqn"))
+    parts = [tables(sql).select("fqn"), v.select("fqn"), p.select("fqn"), job_names, s.select(F.col("name").alias("fqn")).unionByName(jobs.select(F.upper("job").alias("fqn"))), d.select(F.col("name").alias("fqn"))]
+    nodes = None
+    for i, part in enumerate(parts):
+        part = part.select("fqn", F.lit(i).alias("i"))
+        nodes = part if nodes is None else nodes.unionByName(part)
+    nodes = nodes.filter("fqn <> ''").groupBy("fqn").agg(F.min("i").alias("i")).select("fqn", F.element_at(F.array(*map(F.lit, kinds)), F.col("i") + 1).alias("kind"))
+    dynamic = p.filter("has_dynamic").select(F.col("fqn").alias("src"), F.lit("UNRESOLVED_DYNAMIC").alias("dst"), F.lit("UNRESOLVED").alias("kind"), F.lit(0.0).alias("confidence"))
+    needs = s.select(F.explode("depends_on").alias("src"), F.col("name").alias("dst")).unionByName(jobs.select(F.explode(F.transform("depends_on", F.upper)).alias("src"), F.upper("job").alias("dst")))
+    needs = needs.select("*", F.lit("SCHEDULE_DEPENDS").alias("kind"), F.lit(1.0).alias("confidence"))
+    shown = d.filter("source <> ''").select(F.col("source").alias("src"), F.col("name").alias("dst"), F.lit("DASHBOARD_RENDERS").alias("kind"), F.lit(1.0).alias("confidence"))
+    found = edges(v, p)
+    for more in (etl, declared_edges(jobs, texts), needs, shown, dynamic):
+        found = found.unionByName(more)
+    nodes = cut(nodes)
+    found = cut(strongest(resolve(found, nodes)))
+    lost = unresolved(found.filter("kind <> 'UNRESOLVED'"), nodes)
+    gone = lost.select(F.col("fqn").alias("end"))
+    flagged = found.join(gone, F.col("src") == F.col("end"), "left").withColumn("a", F.col("end").isNotNull()).drop("end").join(gone, F.col("dst") == F.col("end"), "left")
+    flagged = flagged.select("src", "dst", "kind", "confidence", (F.col("a") | F.col("end").isNotNull() | (F.col("kind") == "UNRESOLVED") | (F.col("confidence") == 0)).alias("unresolved"))
+    return nodes, flagged, lost
