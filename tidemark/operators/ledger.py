@@ -21,15 +21,17 @@ def link_hash(previous: Column, payload: Column) -> Column:
 
 
 def _links(at: int):
-    """Adds prev_hash and event_hash to rows sorted by chain (column 0); column `at` has the payloads' own hashes."""
+    """Adds prev_hash and event_hash to rows sorted by chain (column 0); column `at` has the payloads' own hashes, the
+    next one, if there is one, what a chain goes on from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, last = _START, None
         for batch in batches:
             before, after = [], []
-            for key, own in zip(batch.column(0).to_pylist(), batch.column(at).to_pylist()):
+            begin = batch.column(at + 1).to_pylist() if batch.num_columns > at + 1 else [GENESIS] * batch.num_rows
+            for key, own, first in zip(batch.column(0).to_pylist(), batch.column(at).to_pylist(), begin):
                 if here is _START or not (key == here or (key != key and here != here)):
-                    here, last = key, GENESIS
+                    here, last = key, first
                 before.append(last)
                 last = None if last is None or own is None else hashlib.sha256(f"{last}:{own}".encode()).hexdigest()
                 after.append(last)
@@ -63,3 +65,38 @@ def can_promote(ledger: DataFrame, chain: str, kind: str, passed: str) -> DataFr
     """(chain, promotable): a passed diff run, a passed continuity check and an approved plan are all on record."""
     has = lambda k: F.coalesce(F.bool_or((F.col(kind) == k) & F.col(passed)), F.lit(False))
     return ledger.groupBy(chain).agg((has("diff_run") & has("continuity") & has("plan_approved")).alias("promotable"))
+
+
+def append(ledger: DataFrame, events: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
+    """The new rows of a ledger: events hashed onto the last stored event of their chain, or onto the beginning.
+
+    One writer at a time may append; the rows go to the ledger's folder in mode append.
+    """
+    last = ledger.groupBy(chain).agg(F.max_by("event_hash", order).alias("_tm_from"))
+    rows = events.select(chain, order, payload)
+    hashed = rows.join(last, chain, "left").select(*rows.columns, F.sha2(F.col(payload).cast("binary"), 256).alias("_tm_own"), F.coalesce("_tm_from", F.lit(GENESIS)).alias("_tm_from"))
+    dealt = hashed.repartition(chain).sortWithinPartitions(chain, order, payload)
+    schema = StructType([*rows.schema.fields, StructField("prev_hash", StringType()), StructField("event_hash", StringType())])
+    return dealt.mapInArrow(_links(len(rows.columns)), schema)
+
+
+#: What an event of the ledger means to a reader.
+SAID = {
+    "estate_extracted": "The estate was read", "drift_detected": "The estate has changed", "plan_created": "A migration was planned", "plan_approved": "A plan was approved",
+    "diff_run": "Source and target were compared", "continuity": "Lineage was checked", "override_added": "A reference was corrected", "promoted": "A migration was promoted",
+}
+
+
+def audit(ledger: DataFrame, kind: str, actor: str, at: str, subject: str) -> DataFrame:
+    """(at, who, what, subject, relationship): the ledger in words; other events are told by their own name."""
+    what = F.initcap(F.replace(F.col(kind), F.lit("_"), F.lit(" ")))
+    for event, text in SAID.items():
+        what = F.when(F.col(kind) == event, text).otherwise(what)
+    said = F.concat(F.coalesce(actor, F.lit("system")), F.lit(" -> "), F.col(kind), F.when(F.col(subject).isNotNull(), F.concat(F.lit(" -> "), F.col(subject))).otherwise(F.lit("")))
+    return ledger.select(F.col(at).alias("at"), F.coalesce(actor, F.lit("system")).alias("who"), what.alias("what"), F.col(subject).alias("subject"), said.alias("relationship"))
+
+
+def has(ledger: DataFrame, kind: str, event: str, test: Column | None = None) -> bool:
+    """Whether the ledger holds an event of a kind that passes a test; reads no further than the first one."""
+    found = ledger.filter(F.col(kind) == event)
+    return not (found if test is None else found.filter(test)).isEmpty()

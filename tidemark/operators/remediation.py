@@ -95,6 +95,41 @@ def apply_aliases(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     return ends.filter("was_loop or src <> dst").groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
 
 
+#: The kind of edge from a source that a human named to an object, by the object's kind.
+RUNTIME_EDGE = {"PROCEDURE": "SP_READS", "ROUTINE": "ETL_READS"}
+
+
+def apply_overrides(nodes: DataFrame, edges: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and stale overrides after human decisions (subject, kind, target, sources, seq).
+
+    kind `alias`: references to the subject are to the target. `stub`: the subject becomes a TABLE, if it is no node.
+    `runtime_sources`: edges from those of the sources that are nodes, at confidence 1.0. All of them resolve the edges
+    of their subject. Of several overrides of a subject and kind that of the largest seq counts. Stale ones, with a
+    reason, have a subject that nothing refers to (alias, stub) or that is no node (runtime_sources), or an alias's
+    target that is no node.
+    """
+    last = overrides.groupBy("subject", "kind").agg(F.max_by(F.struct("target", "sources"), "seq").alias("o")).select("subject", "kind", "o.*")
+    known, ends = nodes.select("fqn"), edges.select(F.col("src").alias("fqn")).union(edges.select("dst")).distinct()
+    flag = lambda df, col, name: df.select(F.col("fqn").alias(col)).distinct().withColumn(name, F.lit(True))
+    marked = last.join(flag(known, "subject", "is_node"), "subject", "left").join(flag(ends, "subject", "is_end"), "subject", "left").join(flag(known, "target", "has_target"), "target", "left")
+    lost = F.when((F.col("kind") == "runtime_sources") & F.col("is_node").isNull(), "subject is no object").when((F.col("kind") != "runtime_sources") & F.col("is_end").isNull(), "nothing refers to the subject").when((F.col("kind") == "alias") & F.col("has_target").isNull(), "target is no object")
+    marked = marked.withColumn("reason", lost)
+    good, stale = marked.filter("reason is null"), marked.filter("reason is not null").select("subject", "kind", "reason")
+    stubs = good.filter("kind = 'stub' and is_node is null").select(F.col("subject").alias("fqn"), F.lit("TABLE").alias("kind"))
+    alias = good.filter("kind = 'alias'").select(F.col("subject").alias("name"), F.col("target").alias("to"))
+    done = good.select(F.col("subject").alias("name")).union(alias.select("to")).distinct().withColumn("fixed", F.lit(True))
+    for end in ("src", "dst"):
+        edges = edges.join(alias, edges[end] == alias["name"], "left").withColumn(end, F.coalesce("to", end)).drop("name", "to")
+    flagged = edges.join(done, edges["src"] == done["name"], "left").withColumn("f", F.col("fixed")).drop("name", "fixed").join(done, edges["dst"] == done["name"], "left")
+    kept = flagged.select("src", "dst", "kind", "confidence", (F.col("unresolved") & F.col("f").isNull() & F.col("fixed").isNull()).alias("unresolved"))
+    named = good.filter("kind = 'runtime_sources'").select(F.col("subject").alias("fqn"), F.explode("sources").alias("src")).join(nodes, "fqn").withColumn("k", F.lit("VIEW_DEPENDS"))
+    for kind, edge in RUNTIME_EDGE.items():
+        named = named.withColumn("k", F.when(F.col("kind") == kind, edge).otherwise(F.col("k")))
+    added = named.join(known.select(F.col("fqn").alias("src")), "src", "left_semi").select("src", F.col("fqn").alias("dst"), F.col("k").alias("kind"), F.lit(1.0).alias("confidence"), F.lit(False).alias("unresolved"))
+    best = kept.unionByName(added).groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"), F.min("unresolved").alias("unresolved"))
+    return nodes.unionByName(stubs), best, stale
+
+
 def wedge(quadrant: DataFrame, names: DataFrame, feeds: DataFrame) -> DataFrame:
     """(fqn, role): the first scope to move. quadrant: fqn, value, risk; names: fqn of all objects; feeds: fqn, touches.
 

@@ -1,39 +1,100 @@
-"""TF-IDF retrieval with smoothed inverse document frequencies and cosine scores."""
+"""TF-IDF retrieval: single words and pairs without stop words, smoothed inverse document frequencies, cosine scores.
+Also what a question asks for: names in it, intents, and what isn't answered.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST_SCORE, TOP = 0.05, 10
+LEAST_SCORE, TOP, FEATURES = 0.05, 10, 5_000
+#: Words that say nothing; a parameter of all functions. The most frequent of English.
+STOP_WORDS = tuple(
+    "a about after all also an and any are as at be been but by can could did do does for from had has have he her his how i if in into is it its"
+    " just like me more most my no not of on one only or other our out over she so some such than that the their them then there these they this"
+    " those to too under up us was we were what when where which while who why will with would you your".split()
+)
+
 
+def terms(df: DataFrame, id_col: str, text_col: str = "text", stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(id, term, tf): words of two ASCII letters and more in lower case, without stop words, and pairs of neighbours."""
+    words = F.filter(F.split(F.lower(text_col), "[^a-z]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*stop))
+    held = df.select(F.col(id_col).alias("id"), words.alias("words"))
+    pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return held.select("id", F.explode(F.concat("words", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
-def terms(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, term, tf): words of two ASCII letters and more, in lower case."""
-    words = df.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(text_col), "[^a-z]+")).alias("term")).filter(F.length("term") >= 2)
-    return words.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
+def tfidf_topk(queries: DataFrame, query_id: str, docs: DataFrame, doc_id: str, k: int = TOP, least: float = LEAST_SCORE, features: int = FEATURES) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of each query.
 
-def tfidf_topk(queries: DataFrame, query_id: str, docs: DataFrame, doc_id: str, k: int = TOP, least: float = LEAST_SCORE) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents of each query. Weights are tf * (ln((1 + n) / (1 + df)) + 1)."""
+    Terms are the `features` most frequent of the documents (ties: by term), weights tf * (ln((1 + n) / (1 + df)) + 1).
+    Only terms of queries are multiplied; other terms of a document count in its norm alone.
+    """
     d = terms(docs, doc_id)
     n = docs.agg(F.count("*").alias("n"))
-    idf = d.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    chosen = d.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("times")).orderBy(F.desc("times"), "term").limit(features)
+    idf = F.broadcast(chosen.crossJoin(n).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))  # `features` rows at most
     weighted = d.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     q = terms(queries, query_id).join(idf, "term").select(F.col("id").alias("q"), "term", (F.col("tf") * F.col("idf")).alias("qw"))
-    d_norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    q_norm = q.groupBy("q").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = weighted.join(q, "term").groupBy("q", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(d_norm, "id").join(q_norm, "q").select("q", "id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score")).filter(F.col("score") > least)
+    normed = q.withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("q"))))
+    # One row a document: its norm and its weights of at most `features` terms.
+    held = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"), F.collect_list(F.struct("term", "w")).alias("ws"))
+    flat = held.select("id", "dn", F.explode("ws").alias("x")).select("id", "dn", "x.*")
+    dots = flat.join(normed, "term").groupBy("q", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.any_value("dn").alias("dn"), F.any_value("qn").alias("qn"))
+    scored = dots.select("q", "id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score")).filter(F.col("score") > least)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
-ORACLE = f"""
-WITH dw AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents), d AS (SELECT id, term, COUNT(*) AS tf FROM dw WHERE length(term) >= 2 GROUP BY id, term),
-idf AS (SELECT term, ln((1 + (SELECT COUNT(*) FROM documents))::DOUBLE / (1 + COUNT(*))) + 1 AS idf FROM d GROUP BY term),
-w AS (SELECT id, term, tf * idf AS w FROM d JOIN idf USING (term)), qw0 AS (SELECT item_id AS q, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM benchmark),
-q AS (SELECT q, term, COUNT(*) * any_value(idf) AS qw FROM qw0 JOIN idf USING (term) WHERE length(term) >= 2 GROUP BY q, term),
+def _oracle() -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    words = lambda c, t: f"SELECT {c} AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 2 AND w NOT IN ({stop})) AS ws FROM {t}"
+    grams = lambda t: f"SELECT id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])))) AS term FROM {t}"
+    return f"""
+WITH dl AS ({words("doc_id", "documents")}), dw AS ({grams("dl")}), d AS (SELECT id, term, COUNT(*) AS tf FROM dw GROUP BY id, term), ql AS ({words("item_id", "benchmark")}), qw0 AS ({grams("ql")}),
+idf AS (SELECT term, ln((1 + (SELECT COUNT(*) FROM documents))::DOUBLE / (1 + COUNT(*))) + 1 AS idf FROM d GROUP BY term ORDER BY SUM(tf) DESC, term LIMIT {FEATURES}),
+w AS (SELECT id, term, tf * idf AS w FROM d JOIN idf USING (term)), q AS (SELECT id AS q, term, COUNT(*) * any_value(idf) AS qw FROM qw0 JOIN idf USING (term) GROUP BY id, term),
 dn AS (SELECT id, sqrt(SUM(w * w)) AS dn FROM w GROUP BY id), qn AS (SELECT q, sqrt(SUM(qw * qw)) AS qn FROM q GROUP BY q),
 s AS (SELECT q, id, ROUND(SUM(w * qw) / (any_value(dn) * any_value(qn)), 6) AS score FROM w JOIN q USING (term) JOIN dn USING (id) JOIN qn USING (q) GROUP BY q, id)
 SELECT q AS query_id, id AS doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s WHERE score > {LEAST_SCORE}) WHERE rank <= {TOP}"""
+
+
+ORACLE = _oracle()
+
+#: Questions that aren't answered, and words that tell an intent with its confidence, in this order.
+REFUSED = ("ceo.*favorite", "password", "private key", "pii", "encryption key", "secret", "unicorn_fact", "predict.*revenue", "highest paid", "hr schema", "snowflake.*private")
+INTENTS = (("impact", ("what breaks", "impact", "blast radius", "downstream", "breaks if"), 0.95), ("lineage", ("lineage", "upstream", "where does", "comes from"), 0.9), ("orphan", ("orphan", "unused", "dead code", "never read"), 0.9), ("hot", ("hot", "most depended", "fan-in"), 0.9), ("complex", ("complex", "riskiest", "highest complexity"), 0.9), ("cycle", ("circular", "cycle"), 0.9), ("wedge", ("migrate first", "wedge", "start with"), 0.85))
+
+
+def refused(question: Column) -> Column:
+    """Whether a question asks for what is never told."""
+    return F.coalesce(reduce(lambda a, b: a | b, [F.lower(question).rlike(p) for p in REFUSED]), F.lit(False))
+
+
+def intent(question: Column) -> Column:
+    """(intent, confidence) of a question: the first whose words it holds, else `vague` at 0.5."""
+    q, out = F.lower(question), F.struct(F.lit("vague").alias("intent"), F.lit(0.5).alias("confidence"))
+    for name, words, sure in reversed(INTENTS):
+        hit = reduce(lambda a, b: a | b, [q.contains(w) for w in words])
+        out = F.when(hit, F.struct(F.lit(name).alias("intent"), F.lit(sure).alias("confidence"))).otherwise(out)
+    return out
+
+
+def named_objects(questions: DataFrame, objects: DataFrame, most: int = 10) -> DataFrame:
+    """(id, fqn, how): objects (fqn) that questions (id, text) name, in full, by leaf name, or by a part of over 3 letters.
+
+    A question's words meet objects' names in a join. Only the best way that finds anything counts for a question, and
+    of the `most` first names by alphabet.
+    """
+    words = questions.select("id", F.explode(F.array_distinct(F.split(F.upper("text"), r"[^A-Z0-9_.]+"))).alias("w")).withColumn("w", F.regexp_replace("w", r"^\.+|\.+$", "")).filter("w <> ''")
+    full = objects.select("fqn", F.upper("fqn").alias("w"), F.lit(1).alias("how"))
+    leaf = objects.select("fqn", F.upper(F.substring_index("fqn", ".", -1)).alias("w"), F.lit(2).alias("how"))
+    part = objects.select("fqn", F.explode(F.array_distinct(F.split(F.upper("fqn"), "[_.]"))).alias("w"), F.lit(3).alias("how")).filter(F.length("w") > 3)
+    pieces = words.select("id", F.explode(F.array_distinct(F.array_append(F.split("w", "[_.]"), F.col("w")))).alias("w")).distinct()
+    met = words.join(full.unionByName(leaf), "w").unionByName(pieces.join(part, "w")).groupBy("id", "fqn").agg(F.min("how").alias("how"))
+    best = met.withColumn("best", F.min("how").over(Window.partitionBy("id"))).filter("how = best")
+    n = F.row_number().over(Window.partitionBy("id").orderBy("fqn"))
+    said = F.element_at(F.array(F.lit("full"), F.lit("leaf"), F.lit("part")), F.col("how"))
+    return best.withColumn("n", n).filter(F.col("n") <= most).select("id", "fqn", said.alias("how"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, columns, diff
+from ..operators import analytics, columns, diff, portfolio, retrieval
+from ..streaming import velocity
 from .lineage import star_edges
 from .registry import query, table
 
@@ -180,3 +181,35 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = c.withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 10 == 0, 5).otherwise(0))
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return diff.summary(diff.rollup("customer", c, moved, ["c_custkey"]).unionByName(diff.rollup("nation", n, n, ["n_nationkey"])))
+
+
+_INTENTS = " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in words)} THEN '{name}'" for name, words, _ in retrieval.INTENTS)
+_REFUSED = " OR ".join(f"regexp_matches(lower(text), '{p}')" for p in retrieval.REFUSED)
+
+
+@query(f"SELECT conv_id, turn, coalesce({_REFUSED}, FALSE) AS refused, CASE {_INTENTS} ELSE 'vague' END AS intent FROM conversations")
+def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.refused(F.col("text")).alias("refused"), retrieval.intent(F.col("text"))["intent"].alias("intent"))
+
+
+@query("""WITH b AS (SELECT c_nationkey AS job, ROUND(SUM(CAST(c_custkey % 7 AS DECIMAL(18,4)))::DOUBLE, 2) AS base_days FROM customer GROUP BY 1), u AS (SELECT s_nationkey AS job, SUM(CAST(s_suppkey % 5 AS DECIMAL(18,4)))::DOUBLE AS up FROM supplier GROUP BY 1), r AS (SELECT n_nationkey AS job, n_regionkey::DOUBLE AS risk FROM nation WHERE n_nationkey % 2 = 0),
+a AS (SELECT b.job, base_days, coalesce(up, 0) AS uplift_pct, coalesce(risk, 0) AS risk_days, ROUND(base_days * (1 + coalesce(up, 0) / 100) + coalesce(risk, 0), 2) AS adjusted_days FROM b LEFT JOIN u USING (job) LEFT JOIN r USING (job))
+SELECT *, CASE WHEN adjusted_days < 15 THEN 'low' WHEN adjusted_days < 40 THEN 'medium' ELSE 'high' END AS tier FROM a""")
+def effort_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("job"), (F.col("c_custkey") % 7).alias("days"))
+    up = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("job"), (F.col("s_suppkey") % 5).alias("uplift_pct"))
+    risk = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("job"), F.col("n_regionkey").alias("impact_days"))
+    return portfolio.effort(days, up, risk)
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e) SELECT strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS began, user_id, COUNT(*) AS n FROM s GROUP BY user_id, s""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return velocity.sessions(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("began"), "user_id", "n")
+
+
+@query("""SELECT c_custkey AS id, concat('DW.', n_name) AS fqn FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def named_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation")
+    asked = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat(F.lit("what feeds dw."), F.lower("n_name"), F.lit("?")).alias("text"))
+    return retrieval.named_objects(asked, nations.select(F.concat(F.lit("DW."), "n_name").alias("fqn"))).select("id", "fqn")

@@ -25,14 +25,14 @@ def unresolved_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remediation.worklist(refs, objects)
 
 
-@query(f"""WITH {ITEMS}, known AS (SELECT concat('MART.', s_name) AS candidate, upper(s_name) AS leaf FROM supplier WHERE s_suppkey % 2 = 0)
+@query(f"""WITH {ITEMS}, known AS (SELECT concat('MART.', s_name) AS candidate, upper(s_name) AS leaf FROM supplier)
 SELECT fqn, kind, action, CASE WHEN action IN ('correct_reference', 'map_alias') THEN candidate END AS target, confidence FROM (
 SELECT fqn, kind, candidate, CASE WHEN kind LIKE 'unresolved%' THEN 'capture_runtime_sql' WHEN fqn LIKE 'ERP.%' OR fqn LIKE 'DW_AUDIT.%' THEN 'confirm_external' WHEN fqn LIKE 'BI.%' THEN 'correct_reference' WHEN candidate IS NOT NULL THEN 'map_alias' ELSE 'define_ddl' END AS action,
 CAST(CASE WHEN kind LIKE 'unresolved%' THEN 0.7 WHEN fqn LIKE 'ERP.%' THEN 0.6 WHEN fqn LIKE 'DW_AUDIT.%' THEN 0.65 WHEN fqn LIKE 'BI.%' THEN 0.55 WHEN candidate IS NOT NULL THEN 0.7 ELSE 0.6 END AS DOUBLE) AS confidence
 FROM items LEFT JOIN known ON upper(split_part(fqn, '.', 2)) = leaf)""")
 def remediation_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
-    known = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("MART."), "s_name").alias("fqn"))
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("MART."), "s_name").alias("fqn"))
     targets = remediation.exact_candidates(items, known).withColumn("rank", F.lit(1))
     return remediation.proposals(items, targets, ("ERP",))
 
@@ -57,3 +57,11 @@ def wedge_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     quadrant = customers.join(value, "c_custkey", "left").select(F.col("c_name").alias("fqn"), F.coalesce("value", F.lit(0)).alias("value"), (F.col("c_nationkey") % 5).alias("risk"))
     feeds = orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("touches")), "o_custkey").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("fqn"), "touches")
     return remediation.wedge(quadrant, customers.select(F.col("c_name").alias("fqn")), feeds)
+
+
+@query()
+def close_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelled names of nations and the known ones that are nearest; difflib's ratios have no SQL."""
+    nations = table(spark, sf_dir, "nation")
+    items = nations.select(F.concat(F.lit("OLD."), F.regexp_replace("n_name", "A", "E")).alias("fqn"))
+    return remediation.candidates(items, nations.select(F.concat(F.lit("DW."), "n_name").alias("fqn")))

@@ -245,7 +245,7 @@ def ml_scripts(texts: DataFrame) -> DataFrame:
 def datastage_records(texts: DataFrame) -> DataFrame:
     """(path, ordinal, kind, properties): the BEGIN/END blocks of exported jobs; a value may run over lines in =+=+=+=.
 
-    Blocks nest, so each file goes through a small line parser. Repeated keys keep their last value.
+    Blocks nest, so each file goes through a small line parser. Values of a repeated key are joined by line ends.
     """
     @F.arrow_udf("array<struct<kind: string, properties: map<string,string>>>")
     def parse(column: pa.Array) -> pa.Array:
@@ -273,7 +273,8 @@ def _blocks(text: str) -> list[dict]:
                         break
                     held.append(more)
                 value = "\n".join(held)
-            stack[-1]["properties"][word] = value.strip('"')
+            held = stack[-1]["properties"]
+            held[word] = f"{held[word]}\n{value.strip(chr(34))}" if word in held else value.strip(chr(34))
     return [{"kind": b["kind"], "properties": list(b["properties"].items())} for b in done]
 
 

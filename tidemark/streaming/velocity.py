@@ -13,6 +13,20 @@ def windows(events: DataFrame, size: str = "1 day", late: str = "2 hours") -> Da
     return timed.groupBy(F.window("at", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def sliding(events: DataFrame, size: str = "24 hours", every: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """(start, user_id, n, total): each user's events in overlapping windows, on a stream and on a table alike."""
+    timed = events.withColumn("at", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("at", late) if events.isStreaming else timed
+    return timed.groupBy(F.window("at", size, every).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total")).select(F.col("w.start").alias("start"), "user_id", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """(start, end, user_id, n): runs of a user's events with no longer gap between them."""
+    timed = events.withColumn("at", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("at", late) if events.isStreaming else timed
+    return timed.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
+
+
 def read_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     """Parquet files as they arrive in a folder."""
     return spark.readStream.schema(schema).parquet(folder)
