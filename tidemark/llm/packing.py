@@ -148,7 +148,7 @@ def deal(sequences: list[tuple[int, list[tuple]]], tokens: int, last: bool) -> t
     """Step groups of equally many tokens from sequences of equal window size, and what waits for the next call.
 
     Sequences are dealt out to and fro by their attention cost (the sum of squared piece lengths), so that groups cost
-    about the same. With `last` the rest of all sizes forms groups of at most that many tokens.
+    about the same. With `last` none waits: the sequences of a size are dealt to as few groups as hold them.
     """
     by_size: dict[int, list] = defaultdict(list)
     for s in sequences:
@@ -156,24 +156,15 @@ def deal(sequences: list[tuple[int, list[tuple]]], tokens: int, last: bool) -> t
     groups, rest = [], []
     for size, own in sorted(by_size.items()):
         each = max(1, tokens // size)
-        count = len(own) // each
+        count = -(-len(own) // each) if last else len(own) // each
         own.sort(key=lambda s: -sum(p[2] ** 2 for p in s[1]))
         kept, spare = own[: count * each], own[count * each :]
-        rest += spare
+        rest += spare  # none with `last`
         dealt = [[] for _ in range(count)]
         for i, s in enumerate(kept):
             lap, at = divmod(i, count)
             dealt[at if lap % 2 == 0 else count - 1 - at].append(s)
         groups += dealt
-    if last:
-        now, total = [], 0
-        for s in rest:
-            if now and total + s[0] > tokens:
-                groups.append(now)
-                now, total = [], 0
-            now.append(s)
-            total += s[0]
-        groups, rest = groups + ([now] if now else []), []
     return groups, rest
 
 
