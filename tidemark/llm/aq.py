@@ -2,9 +2,10 @@
 look-up-table scores and exact reranking.
 
 A unit vector is approximated by a sum of one codeword of each book. The codes and the sum's norm are all that a scan
-reads: a query's scores are sums over a table of its inner products with all codewords. All candidates whose approximate
-score comes within a margin of the k-th best one are reranked by their exact cosine; the margin is what held-back vectors
-of the sample show as errors, so that the number of candidates follows from the data and has no cap.
+reads: a query's scores are sums over a table of its inner products with all codewords. A first scan finds some good
+candidates, whose exact cosines say how good the k-th neighbour is at least. A second scan lets all candidates through
+whose approximate score comes within a margin of that, and these are reranked by their exact cosine. The margin is what
+held-back vectors of the sample show as errors, so that the number of candidates follows from the data and has no cap.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .common import Scratch, saved
 
 #: Codebooks, codewords in each, and kept partial sums while encoding.
 BOOKS, WORDS, BEAM = 16, 256, 4
-#: Share of near pairs whose error the margin covers, on either side.
-COVERED = 0.995
+#: Share of true neighbours whose error the margin covers, and candidates of a first look.
+COVERED, FIRST = 0.995, 32
 #: Vectors that training reads at most, passes of k-means for each book, and joint refinements of all books.
 SAMPLE, PASSES, REFINE = 16_384, 8, 1
 #: Codes and queries in a block; each pair of blocks is one piece of work.
@@ -103,7 +104,7 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 42) -
 
 
 def margin(model: Codebooks, x: np.ndarray, k: int) -> float:
-    """How far below the k-th best approximate score a true neighbour's may be, from unit vectors that training didn't see."""
+    """How far a true neighbour's approximate score may be below its exact one, from unit vectors that training didn't see."""
     asked = x[:256]
     exact = asked @ x.T
     codes, norms = model.encode(x)
@@ -116,8 +117,7 @@ def margin(model: Codebooks, x: np.ndarray, k: int) -> float:
     k = min(k, len(x) - 1)
     best = np.argpartition(-exact, k - 1, axis=1)[:, :k]
     lost = np.take_along_axis(exact, best, 1) - np.take_along_axis(near, best, 1)
-    kth = -np.partition(-near, k - 1, axis=1)[:, k - 1] + np.partition(-exact, k - 1, axis=1)[:, k - 1]
-    return float(max(0, np.quantile(lost, COVERED)) + max(0, np.quantile(kth, COVERED)))
+    return float(max(0, np.quantile(lost, COVERED)))
 
 
 def _valid(vector: Column) -> Column:
@@ -185,19 +185,17 @@ def _search(plain: DataFrame, k: int, ids: str, books: int, work: Scratch) -> Da
     asked = work.saved(plain.filter("asks").groupBy("key", "v").agg(F.min("id").alias("query")), "queries")
     askers = -(-max(1, asked.count()) // QUERY_BLOCK)
     grid = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    left = grid(codes, "c", blocks, "q", askers).groupBy("c", "q")
-    right = grid(asked.select("query", "v"), "q", askers, "c", blocks).groupBy("c", "q")
-    # Of the k best classes one may be the query's own.
-    least = k + 1
 
-    def score(codes: pa.Table, asked: pa.Table) -> pa.Table:
-        names = ["query", "rep", "near"]
+    def scan(codes: pa.Table, asked: pa.Table) -> pa.Table:
+        """Pairs of a block of queries and one of codes: the FIRST best, or those above the queries' edges where known."""
+        kinds = {"query": asked.column("query").type, "rep": codes.column("rep").type, "near": pa.float32()}
         if not codes.num_rows or not asked.num_rows:
-            return pa.table({"query": codes.column("rep").slice(0, 0), "rep": codes.column("rep").slice(0, 0), "near": pa.array([], pa.float32())})
+            return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
         codes = codes.sort_by("rep")
         c = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(codes.num_rows, -1)
         norms = np.maximum(codes.column("norm").to_numpy(), np.float32(1e-12))
         v = unit(asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(asked.num_rows, -1))
+        edges = asked.column("edge").to_numpy() if "edge" in asked.column_names else None
         found = []
         for at in range(0, asked.num_rows, 128):
             tables = model.tables(v[at : at + 128])
@@ -206,22 +204,33 @@ def _search(plain: DataFrame, k: int, ids: str, books: int, work: Scratch) -> Da
                 for b in range(c.shape[1]):
                     total[:, row : row + CHUNK] += tables[:, b, :][:, c[row : row + CHUNK, b]]
             total /= norms
-            edge = np.partition(total, len(c) - least, axis=1)[:, len(c) - least, None] - spare if len(c) > least else -np.inf
-            i, j = np.nonzero(total >= edge)
+            if edges is not None:
+                i, j = np.nonzero(total >= edges[at : at + 128, None])
+            elif len(c) > FIRST:
+                j = np.sort(np.argpartition(-total, FIRST - 1, axis=1)[:, :FIRST], axis=1)
+                i, j = np.repeat(np.arange(len(total)), FIRST), j.ravel()
+            else:
+                i, j = np.divmod(np.arange(total.size), len(c))
             found.append((i + at, j, total[i, j]))
         q, r, s = map(np.concatenate, zip(*found))
-        return pa.table([asked.column("query").take(pa.array(q)), codes.column("rep").take(pa.array(r)), pa.array(s, pa.float32())], names=names)
+        return pa.table([asked.column("query").take(pa.array(q)), codes.column("rep").take(pa.array(r)), pa.array(s, pa.float32())], names=list(kinds))
+
+    def scanned(queries: DataFrame, name: str) -> DataFrame:
+        left, right = grid(codes, "c", blocks, "q", askers).groupBy("c", "q"), grid(queries, "q", askers, "c", blocks).groupBy("c", "q")
+        return work.saved(left.cogroup(right).applyInArrow(scan, f"query {ids}, rep {ids}, near float"), name)
 
-    near = work.saved(left.cogroup(right).applyInArrow(score, f"query {ids}, rep {ids}, near float"), "near")
-    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near")))
-    edges = near.withColumn("nth", first).filter(F.col("nth") == least).select("query", (F.col("near") - F.lit(spare)).alias("edge"))
-    near = near.join(edges, "query", "left").filter(F.col("edge").isNull() | (F.col("near") >= F.col("edge"))).select("query", "rep")
-    # Exact: cosines of distinct vectors, then the ids that have them, then the rows that ask.
     of_query = asked.select("query", F.col("v").alias("qv"))
     of_rep = members.filter("nth = 1").select(F.col("id").alias("rep"), "key", F.col("v").alias("rv"))
-    pairs = near.join(of_query, "query").join(of_rep, "rep")
     dot = F.aggregate(F.zip_with("qv", "rv", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scored = pairs.withColumn("score", dot / (_norm(F.col("qv")) * _norm(F.col("rv"))))
+    exact = lambda pairs: pairs.join(of_query, "query").join(of_rep, "rep").withColumn("score", dot / (_norm(F.col("qv")) * _norm(F.col("rv"))))
+    # How good the k-th neighbour is at least; of the k + 1 best classes one may be the query's own.
+    by_near = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "rep"))
+    first = scanned(asked.select("query", "v"), "first").withColumn("nth", by_near).filter(F.col("nth") <= FIRST).select("query", "rep")
+    by_score = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))
+    kth = exact(first).select("query", "rep", "score").withColumn("nth", by_score).filter(F.col("nth") == k + 1).select("query", (F.col("score") - F.lit(spare)).alias("edge"))
+    edged = asked.select("query", "v").join(kth, "query", "left").select("query", "v", F.coalesce("edge", F.lit(-2.0)).cast("float").alias("edge"))
+    # Exact: cosines of distinct vectors, then the ids that have them, then the rows that ask.
+    scored = exact(scanned(work.saved(edged, "edges"), "near").select("query", "rep"))
     # Of k + 1 nearest classes the query's own may be one that holds nothing but the query.
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))
     top = scored.withColumn("nth", best).filter(F.col("nth") <= F.lit(2 * k + 2)).select("query", "rep", "key", F.col("rv").alias("v"), "score")
