@@ -55,6 +55,28 @@ def test_job_graphs(spark):
     assert {r["name"]: r["type"] for r in dataflow.informatica_stages(texts(INFA)).collect()} == {"S": "Source Definition", "E": "Expression"}
 
 
+XML_DSX = """<DSExport><Job Identifier="load_a"><Record Identifier="S1" Type="x"><Property Name="sql_query"><![CDATA[SELECT * FROM DW.SRC WHERE A &lt; 1]]></Property></Record>
+<Record Identifier="S2"><Property Name="table_name">dw.tgt</Property><Property Name="write_mode">append</Property></Record><Record Identifier="S4"><Property Name="table_name">DW.BAD</Property></Record>
+<Link SourceStage="S1" TargetStage="S2" Route="MAIN"/><Link SourceStage="S2" TargetStage="S3" Route="Reject_rows"/><Link SourceStage="S3" TargetStage="S4"/><Link SourceStage="S4" TargetStage="S3"/></Job>
+<Job Identifier="cut"><Record Identifier="T1"><Property Name="table_name">DW.LOST"""
+
+
+def test_datastage_in_xml(spark):
+    texts = spark.createDataFrame([("f", XML_DSX)], "path string, text string")
+    records = dataflow.datastage_records_xml(texts)
+    assert {(r["job"], r["stage"], r["table_name"]) for r in records.collect()} == {("LOAD_A", "S1", None), ("LOAD_A", "S2", "DW.TGT"), ("LOAD_A", "S4", "DW.BAD")}
+    assert {tuple(r) for r in dataflow.datastage_refs(records).collect()} == {("LOAD_A", "DW.SRC", "read"), ("LOAD_A", "DW.TGT", "write"), ("LOAD_A", "DW.BAD", "write")}
+    assert [tuple(r) for r in dataflow.reject_targets(texts).collect()] == [("LOAD_A", "DW.BAD", "REJECT_ROWS")]
+
+
+def test_inefficient_jobs(spark):
+    stages = spark.createDataFrame([(f"s{i}", "T") for i in range(9)] + [("alone", "U")], "name string, type string")
+    links = spark.createDataFrame([(f"s{i}", f"s{i + 1}") for i in range(8)] + [(f"x{i}", "s0") for i in range(5)], "source string, target string")
+    got = {(r["pattern"], r["subject"], r["amount"]) for r in dataflow.inefficiencies(stages, links).collect()}
+    assert {g for g in got if g[0] != "long_derivation_chain"} == {("high_fan_in_out", "s0", 5), ("orphan_stage", "alone", 0), ("repeated_stage_type", "T", 9)}
+    assert {g[2] for g in got if g[0] == "long_derivation_chain"} == {9} and len(got) == 8
+
+
 def test_lineage_of_statements(spark):
     spark.createDataFrame([(1, "x", 2.0)], "id int, name string, amount double").createOrReplaceTempView("src_t")
     rows = lambda sql: sorted((r["target"], r["target_column"], r["source_table"], r["source_column"], r["confidence"]) for r in column_lineage.of_statement(spark, sql).collect())

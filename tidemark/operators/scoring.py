@@ -20,6 +20,21 @@ def fit(train: DataFrame, categorical: list[str], numeric: list[str], label: str
     return Pipeline(stages=stages).fit(train)
 
 
+def stratified_split(rows: DataFrame, key: str, label: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows: of each label about that share, by a hash of the key, so that reruns give the same."""
+    at = F.pmod(F.xxhash64(F.col(key), F.col(label)), F.lit(10_000)) < int(share * 10_000)
+    return rows.filter(at), rows.filter(~at)
+
+
+def cross_validated_auc(rows: DataFrame, key: str, categorical: list[str], numeric: list[str], label: str, folds: int = 5, seed: int = 42) -> list[float]:
+    """The area under the curve on each fold, from a model of the others; folds by a hash of the key."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds))
+    judge = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="score")
+    return [judge.evaluate(score(fit(rows.filter(fold != i), categorical, numeric, label, seed), rows.filter(fold == i))) for i in range(folds)]
+
+
 def score(model: PipelineModel, rows: DataFrame, review: float = 0.4, flag: float = 0.75) -> DataFrame:
     """Adds score, the mean of both probabilities, and decision."""
     p = lambda c: vector_to_array(c)[1]

@@ -230,6 +230,18 @@ def runs(texts: DataFrame) -> DataFrame:
     return texts.select(F.from_json("text", schema).alias("r")).select("r.run_time", F.explode("r.jobs").alias("j")).select("run_time", "j.*")
 
 
+def runs_of_jobs(run_rows: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Runs with the job of orchestration() whose artifact has the run's name, else the run's own name, and its steps."""
+    by_artifact = jobs.select(F.upper(stem(F.col("artifact"))).alias("_artifact"), F.upper("job").alias("_job")).groupBy("_artifact").agg(F.min("_job").alias("_job"))
+    joined = run_rows.join(by_artifact, F.upper("job") == F.col("_artifact"), "left")
+    return joined.withColumns({"job": F.coalesce("_job", F.upper("job")), "steps": F.coalesce("nodes", "mappings")}).drop("_artifact", "_job")
+
+
+def with_row_counts(node_rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Nodes (fqn) with the row_count of an inventory, null where it has none."""
+    return node_rows.join(estimates.groupBy("fqn").agg(F.max("row_count").alias("row_count")), "fqn", "left")
+
+
 def row_estimates(texts: DataFrame) -> DataFrame:
     """(fqn, row_count) of an inventory in JSON."""
     schema = "tables array<struct<table_schema:string,table_name:string,row_count:bigint>>"
