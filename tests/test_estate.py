@@ -107,3 +107,9 @@ def test_graph_of_a_folder(texts):
 def test_graph_of_nothing(spark):
     nodes, edges, lost = estate.graph(spark.createDataFrame([], "path string, text string"))
     assert nodes.count() == edges.count() == lost.count() == 0
+
+
+def test_secrets_of_artifacts(spark):
+    rows = [("a.dtsx", '<P:Conn Sensitive="1" x="2">s3cret</P:Conn><DTS:Password a="b">pw\npw</DTS:Password>'), ("b.item", '<e name="db_password" x="1" value="hush"/>'), ("c.py", "PASSWORD = 'abc'; x = 'keep'; password = \"d e\""), ("d.csv", "id,name\n1,secret\n"), ("e.sql", None)]
+    got = {r["path"]: (r["text"], r["redactions"]) for r in estate.redacted(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a.dtsx": ('<P:Conn Sensitive="1" x="2">***</P:Conn><DTS:Password a="b">***</DTS:Password>', 2), "b.item": ('<e name="db_password" x="1" value="***"/>', 1), "c.py": ("PASSWORD = '***'; x = 'keep'; password = '***'", 2), "d.csv": ("id,name", 0), "e.sql": (None, None)}

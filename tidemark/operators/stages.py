@@ -37,6 +37,14 @@ def dedup(df: DataFrame, keys: list[str], order: list[str], keep: str = "first")
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter("_nth = 1").drop("_nth")
 
 
+def first_and_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of each key the first and the last row in a total order, told apart by `kept`; one shuffle serves both."""
+    row, by = F.struct(*df.columns), F.struct(*order)
+    ends = df.groupBy(*keys).agg(F.min_by(row, by).alias("first"), F.max_by(row, by).alias("last"))
+    both = ends.select(F.explode(F.array(F.struct(F.lit("first").alias("kept"), F.col("first").alias("r")), F.struct(F.lit("last").alias("kept"), F.col("last").alias("r")))).alias("x"))
+    return both.select("x.r.*", "x.kept")
+
+
 def aggregate(df: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
     return df.groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()])
 

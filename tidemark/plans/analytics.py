@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, columns, diff, portfolio, retrieval
+from ..operators import analytics, columns, diff, portfolio, retrieval, semantic
 from ..streaming import velocity
 from .lineage import star_edges
 from .registry import query, table
@@ -213,3 +213,27 @@ def named_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
     asked = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat(F.lit("what feeds dw."), F.lower("n_name"), F.lit("?")).alias("text"))
     return retrieval.named_objects(asked, nations.select(F.concat(F.lit("DW."), "n_name").alias("fqn"))).select("id", "fqn")
+
+
+def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as columns: made from their brand by an expression over their size."""
+    e = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("CASE  when size < "), F.col("p_size").cast("string"), F.lit(" THEN 1 END"))).otherwise(F.concat(F.lit("trim( "), F.col("p_type"), F.lit(")")))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("target_table"), F.col("p_type").alias("target_column"), F.lit("PART").alias("source_table"), F.col("p_name").alias("source_column"), e.alias("transform"), (F.col("p_size") / 50.0).alias("confidence"))
+
+
+RULES = "r AS (SELECT p_brand AS t, p_type AS c, CASE WHEN p_size % 3 = 0 THEN concat('CASE  when size < ', p_size, ' THEN 1 END') ELSE concat('trim( ', p_type, ')') END AS e FROM part), n AS (SELECT *, upper(regexp_replace(e, '\\s+', ' ', 'g')) AS x FROM r)"
+
+
+@query(f"WITH {RULES} SELECT DISTINCT 'business_rule' AS type, concat(t, '.', c) AS fqn, substr(e, 1, 80) AS snippet, 0.85::DOUBLE AS confidence, concat(t, ':', c) AS source_ref FROM n WHERE x LIKE '%CASE WHEN%'")
+def case_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.case_rules(part_rules(spark, sf_dir))
+
+
+@query(f"WITH {RULES}, g AS (SELECT x, COUNT(DISTINCT concat(t, '.', c)) AS columns, list_sort(list(DISTINCT concat(t, '.', c)))[1:3] AS names FROM n GROUP BY x) SELECT x AS expression, columns, array_to_string(names, ', ') AS names FROM g WHERE columns > 1".replace(" AS columns,", " AS cols,").replace("expression, columns,", "expression, cols AS n_columns,").replace("WHERE columns", "WHERE cols"))
+def similar_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.similar_logic(part_rules(spark, sf_dir)).withColumnRenamed("columns", "n_columns")
+
+
+@query(f"WITH {RULES} SELECT c AS target_column, COUNT(DISTINCT x) AS expressions FROM n GROUP BY c HAVING COUNT(DISTINCT x) > 1")
+def conflicting_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.conflicting_logic(part_rules(spark, sf_dir))

@@ -25,8 +25,8 @@ def stage_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'first' AS kept FROM r WHERE a = 1 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'last' FROM r WHERE b = 1""")
 def dedup_keep_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, order = table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax"]
-    kept = [stages.dedup(li, ["l_orderkey", "l_linenumber"], order, k).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit(k).alias("kept")) for k in ("first", "last")]
-    return kept[0].unionByName(kept[1])
+    columns = ["l_orderkey", "l_linenumber", *order]
+    return stages.first_and_last(li.select(*columns), columns[:2], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "kept")
 
 
 @query("SELECT l_suppkey, COUNT(*) AS lines, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM lineitem GROUP BY l_suppkey")
