@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import aq, bpe, jpeg, langid, line_dedup, packing, quotes, secret_scan, simhash, voronoi, warc
+from . import aq, bpe, jpeg, langid, line_dedup, packing, phrases, quotes, secret_scan, simhash, voronoi, warc
 from .common import saved
 
 
@@ -56,11 +56,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_language_id, op3_secret_scan, op4_warc_zstd, op5_quote_links, op6_packing, op7_jpeg, op8_line_dedup, op9_bpe, op10_simhash, op13_voronoi_topk)}
+QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_language_id, op3_secret_scan, op4_warc_zstd, op5_quote_links, op6_packing, op7_jpeg, op8_line_dedup, op9_bpe, op10_simhash, op11_phrases, op13_voronoi_topk)}
 
 #: Four base32 letters from each five hex digits of a SHA-1.
 _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -75,5 +79,6 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM firsts""",
     "op8_line_dedup": line_dedup.oracle(),
+    "op11_phrases": phrases.oracle(),
     "op13_voronoi_topk": voronoi.oracle(),
 }
