@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, runs_of, saved
@@ -32,6 +33,9 @@ HOT = 2**16
 #: Bytes of text that a task takes apart at once.
 BYTES = 4_000_000
 
+#: What a partition of fragments is of.
+KEY = ("lang", "pivot", "part")
+
 #: What parts pieces becomes END, what parts words a space, A-Z become a-z; END occurs in no UTF-8.
 END = b"\xff"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\x09.,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz " + END * 10)
@@ -120,44 +124,124 @@ def _fragments(sketch, least: int, longest: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, ahead = sketch.value, longest - 1
         for lang, texts in _by_lang(batches):
-            said, kept = lang.encode(), []
+            said, kept, cache = lang.encode(), [], {END: 0}
             for tokens in _tokens(texts):
                 # The last words of a part are pivots together with the next part, which repeats what stands before them.
                 context = max(0, len(kept) - ahead)
                 tokens, ended = kept + tokens, tokens[-1] == END
                 words, codes = _encoded(tokens)
-                count = np.asarray([0 if w == END else cells[_cell(said, w, len(cells))] for w in words])
-                order = np.asarray(sorted(range(len(words)), key=lambda i: (count[i], words[i])))
-                rank = np.empty(len(words), np.int64)
-                rank[order] = np.arange(len(words))
-                rank[count < least] = -1
+                count = np.asarray([cache[w] if w in cache else cache.setdefault(w, int(cells[_cell(said, w, len(cells))])) for w in words], np.int64)
+                order = sorted(np.flatnonzero(count >= least), key=lambda i: (count[i], words[i]))
+                rank = np.full(len(words), -1)
+                rank[order] = np.arange(len(order))
                 left, right = fragments_of(codes, rank[codes], longest)
                 pivots = np.arange(len(codes))
                 own = (left + right > 0) & (pivots >= context) & ((pivots < len(codes) - ahead) | ended)
                 kept = [] if ended else tokens[-2 * ahead :]
                 if own.any():
-                    yield _distinct(lang, words, codes, count, left, right, np.flatnonzero(own), ahead, hot)
+                    yield _distinct(lang, words, codes, count, left, right, np.flatnonzero(own), hot)
+
+    return run
+
+
+def _distinct(lang: str, words: list[bytes], codes: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, hot: int) -> pa.RecordBatch:
+    """The fragments around the positions `at`, equal ones added up."""
+    sizes = left[at] + right[at] + 1
+    ends = np.cumsum(sizes)
+    places = np.arange(ends[-1]) + np.repeat(at - left[at] - ends + sizes, sizes)
+    said = pa.array(words, pa.binary())
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), said.take(pa.array(codes[places])))
+    rows = pa.table([pa.array(codes[at]), pa.array(left[at].astype(np.int32)), pc.binary_join(lists, b" ")], names=["pivot", "left", "words"])
+    found = rows.group_by(["pivot", "left", "words"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+    pivot = found.column("pivot").to_numpy()
+    parts = -(-count[pivot] // hot)
+    columns = [pa.repeat(lang, len(pivot)), said.take(pa.array(pivot)).cast(pa.string()), pa.array(parts.astype(np.int32)), found.column("left").combine_chunks(), found.column("words").combine_chunks().cast(pa.string()), found.column("count_all").combine_chunks()]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "parts", "left", "words", "n"])
+
+
+def _expanded(batch: pa.RecordBatch, run_of: np.ndarray, longest: int) -> pa.Table:
+    """run, phrase, words and f: the n-grams of two words and more through each fragment's pivot, added up by run."""
+    split = pc.split_pattern(batch.column("words"), " ")
+    values, starts, sizes = split.flatten(), split.offsets.to_numpy()[:-1] - split.offsets[0].as_py(), pc.list_value_length(split).to_numpy()
+    left = batch.column("left").to_numpy()
+    rows, begins, lengths = [], [], []
+    for m in range(2, longest + 1):
+        for before in range(m):  # words of the n-gram that stand before its pivot
+            fits = np.flatnonzero((left >= before) & (left - before + m <= sizes))
+            rows.append(fits)
+            begins.append((starts + left)[fits] - before)
+            lengths.append(np.full(len(fits), m))
+    rows, begins, lengths = map(np.concatenate, (rows, begins, lengths))
+    ends = np.cumsum(lengths)
+    places = np.arange(ends[-1]) + np.repeat(begins - ends + lengths, lengths)
+    said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values.take(pa.array(places))), " ")
+    return _added(pa.table([pa.array(run_of[rows]), said, pa.array(lengths.astype(np.int32)), batch.column("n").take(pa.array(rows))], names=["run", "phrase", "words", "f"]))
+
+
+def _added(grams: pa.Table) -> pa.Table:
+    found = grams.group_by(["run", "phrase", "words"], use_threads=False).aggregate([("f", "sum")])
+    return found.rename_columns(["run", "phrase", "words", "f"])
+
+
+def _mine(least: int, longest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fragments by KEY: the n-grams through each pivot with their counts.
+
+        A pivot in one part has its final counts here, so that its less frequent n-grams go. What is held is of one part
+        of one pivot: the n-grams of some HOT occurrences.
+        """
+        key, parts, held = None, 1, []
+
+        def told(grams: pa.Table, kept: pa.Array, langs: pa.Array) -> pa.RecordBatch:
+            rows = grams.select(["phrase", "words", "f"]).filter(kept).combine_chunks()
+            return pa.RecordBatch.from_arrays([langs.filter(kept), *(pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in rows.column_names)], names=["lang", *rows.column_names])
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if held:
+                grams = _added(pa.concat_tables(held))
+                at_least = pa.array(np.ones(grams.num_rows, bool)) if parts > 1 else pc.greater_equal(grams.column("f"), least).combine_chunks()
+                yield told(grams, at_least, pa.repeat(key[0], grams.num_rows))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            run_of = _runs([batch.column(c) for c in KEY])
+            firsts = np.searchsorted(run_of, np.arange(run_of[-1] + 1))
+            of = lambda i: tuple(batch.column(c)[int(firsts[i])].as_py() for c in KEY)
+            grams = _expanded(batch, run_of, longest)
+            runs = grams.column("run").combine_chunks().to_numpy()
+            if key != of(0):
+                yield from closed()
+                key, parts, held = of(0), batch.column("parts")[0].as_py(), []
+            held.append(_numbered(grams.filter(pa.array(runs == 0))))
+            if len(held) > 16:
+                held = [_numbered(_added(pa.concat_tables(held)))]
+            last = len(firsts) - 1
+            if last:
+                yield from closed()
+                whole = pa.array((runs > 0) & (runs < last))
+                inner = grams.filter(whole)
+                at = pa.array(firsts[inner.column("run").to_numpy()])
+                many = pc.greater(batch.column("parts").take(at), 1)
+                if inner.num_rows:
+                    yield told(inner, pc.or_(many, pc.greater_equal(inner.column("f").combine_chunks(), least)), batch.column("lang").take(at))
+                key, parts, held = of(last), batch.column("parts")[int(firsts[last])].as_py(), [_numbered(grams.filter(pa.array(runs == last)))]
+        yield from closed()
 
     return run
 
 
-def _distinct(lang: str, words: list[bytes], codes: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, ahead: int, hot: int) -> pa.RecordBatch:
-    offsets = np.arange(-ahead, ahead + 1)
-    places = at[:, None] + offsets
-    inside = (offsets >= -left[at][:, None]) & (offsets <= right[at][:, None])
-    rows = np.where(inside, codes[np.clip(places, 0, len(codes) - 1)], -1).astype(np.int32)
-    _, first, n = np.unique(rows.view(f"V{rows.shape[1] * 4}").ravel(), return_index=True, return_counts=True)
-    said = [b" ".join([words[c] for c in r if c >= 0]) for r in rows[first].tolist()]
-    parts = np.ceil(count[codes[at[first]]] / hot).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(first)), pa.array([words[c] for c in codes[at[first]]], pa.binary()).cast(pa.string()), pa.array(parts.astype(np.int32)), pa.array(left[at[first]].astype(np.int32)), pa.array(said, pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "pivot", "parts", "left", "words", "n"])
+def _numbered(grams: pa.Table) -> pa.Table:
+    """The n-grams of one run, whose number no longer matters."""
+    return grams.set_column(0, "run", pa.array(np.zeros(grams.num_rows, np.int64)))
 
 
-def _mined(longest: int) -> Column:
-    """All n-grams of two words and more that hold the word after `left` others."""
-    w, at = F.split("words", " "), F.col("left") + 1
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), at), lambda a: F.transform(F.sequence(F.greatest(at, a + 1), F.greatest(at, a + 1, F.least(a + longest - 1, F.size(w)))), lambda b: F.struct(a.alias("a"), (b - a + 1).alias("m")))))
-    fits = F.filter(spans, lambda s: (s["a"] + s["m"] - 1 <= F.size(w)) & (s["m"] <= longest))
-    return F.transform(fits, lambda s: F.struct(F.array_join(F.slice(w, s["a"], s["m"]), " ").alias("phrase"), s["m"].cast("int").alias("words")))
+def _runs(columns: list[pa.Array]) -> np.ndarray:
+    """Numbers that go up by one wherever a row differs from the one before."""
+    change = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        change[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return np.cumsum(change)
 
 
 def counts(docs: DataFrame, work: Scratch, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", width: int = WIDTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -169,12 +253,9 @@ def counts(docs: DataFrame, work: Scratch, least: int = LEAST, longest: int = LO
     frequent = per_word.filter(F.col("n") >= least)
     sketch = spark.sparkContext.broadcast(_sketch(frequent, width))
     found = plain.mapInArrow(_fragments(sketch, least, longest, hot), "lang string, pivot string, parts int, left int, words string, n long")
-    key = ["lang", "pivot", "part"]
-    # Both aggregations below are local to a pivot's partition.
-    routed = found.withColumn("part", F.pmod(F.xxhash64("words", "left"), F.col("parts")).cast("int")).repartition(*key).groupBy(*key, "left", "words").agg(F.sum("n").alias("n"), F.max("parts").alias("parts"))
-    local = routed.select(*key, "parts", "n", F.explode(_mined(longest)).alias("g")).groupBy(*key, "g.phrase", "g.words").agg(F.sum("n").alias("f"), F.max("parts").alias("parts"))
-    # A pivot with one partition has its final counts; others may have theirs in several.
-    grams = local.filter((F.col("parts") > 1) | (F.col("f") >= least)).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    routed = found.withColumn("part", F.pmod(F.xxhash64("words", "left"), F.col("parts")).cast("int")).repartition(*KEY).sortWithinPartitions(*KEY)
+    mined = routed.mapInArrow(_mine(least, longest), "lang string, phrase string, words int, f long")
+    grams = mined.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     return work.saved(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("f")).unionByName(grams), "phrases"), totals
 
 
