@@ -50,9 +50,11 @@ def test_phrases_against_counting(spark, monkeypatch):
     rng = random.Random(5)
     some = "a b c d e f the the the of of x y z A B été ÉTÉ   naïve".split(" ")
     rows = [(rng.choice(["en", "fr", None]), "".join(rng.choice(some) + rng.choice([" "] * 8 + ["\t ", ". ", ",", "\n", "!?"]) for _ in range(rng.randrange(60)))) for _ in range(300)]
-    for bytes_, width, hot in ((phrases.BYTES, 2**20, 2**16), (23, 4, 20)):
+    mine = phrases._mine
+    for bytes_, width, bits, hot, held in ((phrases.BYTES, 2**20, 2**22, 2**16, phrases.HELD), (23, 4, 64, 20, 5)):
         monkeypatch.setattr(phrases, "BYTES", bytes_)
-        got = mined(spark, rows, least=6, best=40, width=width, hot=hot)
+        monkeypatch.setattr(phrases, "_mine", lambda *a, held=held: mine(*a, most=held))
+        got = mined(spark, rows, least=6, best=40, width=width, bits=bits, hot=hot)
         assert got == brute(rows, 6, best=40) and len(got) > 60
     assert mined(spark, rows, least=6, within=60) == brute(rows, 6, within=60)
 

@@ -5,10 +5,12 @@ fixed size: exact counts of frequent words, added up in WIDTH cells by hash. Cel
 more frequent than it is; that makes work and changes no result, for every n-gram of frequent words still has exactly one
 rarest word by (estimate, word), the same in every task.
 
-The second pass rewrites texts to fragments: a frequent word with up to `longest` - 1 neighbours on either side, cut off
-at the end of its piece and at rarer words, and on the left at the same word, so that an n-gram that holds its pivot
-twice belongs to the first of them alone. Equal fragments are added up before they are shuffled to their pivot's
-partition, where all n-grams through the pivot are counted; a pivot of very many occurrences has several partitions.
+A second pass counts pairs, a third one all longer phrases, for which texts are also cut between two words that are no
+frequent pair (as a bitmap of fixed size tells, which may take more pairs for frequent, never less). Both rewrite texts
+to fragments: a frequent word with up to `longest` - 1 neighbours on either side, cut off at the end of its piece, at
+rarer words, and on the left at the same word, so that an n-gram that holds its pivot twice belongs to the first of them
+alone. Fragments go to their pivot's partition, where all n-grams through the pivot are counted. A pivot of very many
+occurrences has several partitions: an n-gram goes by the word after its pivot, or, if it ends there, by the one before.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ from .common import Scratch, runs_of, saved
 LONGEST, LEAST, BEST, WITHIN = 5, 100, 2000, 100
 #: Cells of the sketch of frequent words.
 WIDTH = 2**20
-#: Occurrences of a pivot in one partition.
-HOT = 2**16
+#: Bits of the bitmap of frequent pairs.
+BITS = 2**22
+#: Occurrences of a pivot in one partition, and n-grams that a task holds at once.
+HOT, HELD = 2**16, 2_000_000
 #: Bytes of text that a task takes apart at once.
 BYTES = 4_000_000
 
 #: What a partition of fragments is of.
-KEY = ("lang", "pivot", "part")
+KEY = ("lang", "home", "part")
 
 #: What parts pieces becomes END, what parts words a space, A-Z become a-z; END occurs in no UTF-8.
 END = b"\xff"
@@ -81,17 +85,39 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept)), pa.array([words[i] for i in kept], pa.binary()).cast(pa.string()), pa.array(counts[kept])], names=["lang", "word", "n"])
 
 
-def _cell(lang: bytes, word: bytes, width: int) -> int:
+def _hash(lang: bytes, word: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(lang + END + word) % width
+    return xxhash.xxh64_intdigest(lang + END + word)
+
+
+def _pair(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each pair of words, by their hashes."""
+    mixed = (first * np.uint64(0x9E3779B97F4A7C15) + second) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(bits)).astype(np.int64)
+
+
+def _bitmap(pairs: DataFrame, bits: int) -> np.ndarray:
+    """Which bits frequent pairs (lang, phrase) have, as bytes of eight bits; at most bits / 32 rows reach the driver."""
+    @F.arrow_udf("long")
+    def places(langs: pa.Array, phrases: pa.Array) -> pa.Array:
+        hashes = [[_hash(a.as_py(), w) for w in b.as_py().split(b" ")] for a, b in zip(langs.cast(pa.binary()), phrases.cast(pa.binary()))]
+        both = np.asarray(hashes, np.uint64).reshape(-1, 2)
+        return pa.array(_pair(both[:, 0], both[:, 1], bits))
+
+    at = pairs.select(places("lang", "phrase").alias("at"))
+    words = at.groupBy(F.expr("at div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 32 AS INT))")).alias("set"))
+    out = np.zeros(-(-bits // 32), np.uint32)
+    for r in words.toLocalIterator():
+        out[r["word"]] = r["set"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
 def _sketch(frequent: DataFrame, width: int) -> np.ndarray:
     """Counts of frequent words (lang, word, n), added up by cell; at most `width` rows reach the driver."""
     @F.arrow_udf("long")
     def cells(langs: pa.Array, words: pa.Array) -> pa.Array:
-        return pa.array([_cell(a.as_py(), b.as_py(), width) for a, b in zip(langs.cast(pa.binary()), words.cast(pa.binary()))], pa.int64())
+        return pa.array([_hash(a.as_py(), b.as_py()) % width for a, b in zip(langs.cast(pa.binary()), words.cast(pa.binary()))], pa.int64())
 
     out = np.zeros(width, np.int64)
     for r in frequent.select(cells("lang", "word").alias("cell"), "n").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -99,81 +125,94 @@ def _sketch(frequent: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def fragments_of(codes: np.ndarray, rank: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+def fragments_of(rank: np.ndarray, linked: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """How many neighbours each position has to its left and right in the fragment that it is the pivot of.
 
     rank: of each position, -1 where nothing may go through (ends, rare words); a larger rank is a more frequent word.
+    linked: whether a position and the next one may be within an n-gram.
     """
-    n, ahead = len(codes), longest - 1
-    wide = np.concatenate([np.full(ahead, -1), rank, np.full(ahead, -1)])
+    n, ahead = len(rank), longest - 1
+    pad = lambda x, end: np.concatenate([np.full(ahead, end), x, np.full(ahead + 1, end)])
+    wide, link = pad(rank, -1), pad(linked, False)
     left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    on_left, on_right = np.ones(n, bool), np.ones(n, bool)
+    on_left, on_right = rank >= 0, rank >= 0
     for step in range(1, ahead + 1):
-        on_left &= wide[ahead - step : ahead - step + n] > rank
-        on_right &= wide[ahead + step : ahead + step + n] >= rank
+        on_left = on_left & (wide[ahead - step : ahead - step + n] > rank) & link[ahead - step : ahead - step + n]
+        on_right = on_right & (wide[ahead + step : ahead + step + n] >= rank) & link[ahead + step - 1 : ahead + step - 1 + n]
         left += on_left
         right += on_right
-    none = rank < 0
-    left[none] = right[none] = 0
     return left, right
 
 
-def _fragments(sketch, least: int, longest: int, hot: int):
-    """lang, pivot, part, left, words and n of a batch's distinct fragments; sketch is a broadcast variable."""
+def _fragments(sketch, bitmap, least: int, shortest: int, longest: int, hot: int):
+    """lang, home, part, after, left, words and n of a batch's distinct fragments; sketch and bitmap are broadcast variables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, ahead = sketch.value, longest - 1
         for lang, texts in _by_lang(batches):
-            said, kept, cache = lang.encode(), [], {END: 0}
+            said, kept, cache = lang.encode(), [], {}
             for tokens in _tokens(texts):
                 # The last words of a part are pivots together with the next part, which repeats what stands before them.
                 context = max(0, len(kept) - ahead)
                 tokens, ended = kept + tokens, tokens[-1] == END
                 words, codes = _encoded(tokens)
-                count = np.asarray([cache[w] if w in cache else cache.setdefault(w, int(cells[_cell(said, w, len(cells))])) for w in words], np.int64)
+                hashes = np.asarray([cache[w] if w in cache else cache.setdefault(w, _hash(said, w)) for w in words], np.uint64)
+                count = cells[(hashes % np.uint64(len(cells))).astype(np.int64)]
+                count[[i for i, w in enumerate(words) if w == END]] = 0
                 order = sorted(np.flatnonzero(count >= least), key=lambda i: (count[i], words[i]))
                 rank = np.full(len(words), -1)
                 rank[order] = np.arange(len(order))
-                left, right = fragments_of(codes, rank[codes], longest)
+                linked = np.ones(len(codes), bool)
+                if bitmap is not None:
+                    linked[:-1] = bitmap.value[_pair(hashes[codes[:-1]], hashes[codes[1:]], len(bitmap.value))]
+                left, right = fragments_of(rank[codes], linked, longest)
                 pivots = np.arange(len(codes))
-                own = (left + right > 0) & (pivots >= context) & ((pivots < len(codes) - ahead) | ended)
+                own = (left + right + 1 >= shortest) & (pivots >= context) & ((pivots < len(codes) - ahead) | ended)
                 kept = [] if ended else tokens[-2 * ahead :]
                 if own.any():
-                    yield _distinct(lang, words, codes, count, left, right, np.flatnonzero(own), hot)
+                    at = np.flatnonzero(own)
+                    yield _distinct(lang, words, codes, hashes, -(-count // hot), left[at], right[at], at)
+                if len(cache) > 1_000_000:
+                    cache = {}
 
     return run
 
 
-def _distinct(lang: str, words: list[bytes], codes: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, hot: int) -> pa.RecordBatch:
-    """The fragments around the positions `at`, equal ones added up."""
-    sizes = left[at] + right[at] + 1
+def _distinct(lang: str, words: list[bytes], codes: np.ndarray, hashes: np.ndarray, parts: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The fragments around the positions `at`, equal ones added up; hot pivots have two of each, for both sides."""
+    n = parts[codes[at]]
+    beside = lambda step: (hashes[codes[np.clip(at + step, 0, len(codes) - 1)]] % np.maximum(n, 1).astype(np.uint64)).astype(np.int64)
+    one, before, after = np.flatnonzero(n <= 1), np.flatnonzero((n > 1) & (left > 0)), np.flatnonzero((n > 1) & (right > 0))
+    part = np.concatenate([np.zeros(len(one), np.int64), beside(-1)[before], beside(1)[after]])
+    right = np.concatenate([right[one], np.zeros(len(before), np.int64), right[after]])
+    only = np.repeat([0, 0, 1], [len(one), len(before), len(after)])
+    rows = np.concatenate([one, before, after])
+    left, at = left[rows], at[rows]
+    sizes = left + right + 1
     ends = np.cumsum(sizes)
-    places = np.arange(ends[-1]) + np.repeat(at - left[at] - ends + sizes, sizes)
+    places = np.arange(ends[-1]) + np.repeat(at - left - ends + sizes, sizes)
     said = pa.array(words, pa.binary())
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), said.take(pa.array(codes[places])))
-    rows = pa.table([pa.array(codes[at]), pa.array(left[at].astype(np.int32)), pc.binary_join(lists, b" ")], names=["pivot", "left", "words"])
-    found = rows.group_by(["pivot", "left", "words"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
-    pivot = found.column("pivot").to_numpy()
-    parts = -(-count[pivot] // hot)
-    columns = [pa.repeat(lang, len(pivot)), said.take(pa.array(pivot)).cast(pa.string()), pa.array(parts.astype(np.int32)), found.column("left").combine_chunks(), found.column("words").combine_chunks().cast(pa.string()), found.column("count_all").combine_chunks()]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "parts", "left", "words", "n"])
+    table = pa.table([pa.array(hashes[codes[at]].view(np.int64)), pa.array(part.astype(np.int32)), pa.array(only.astype(np.int32)), pa.array(left.astype(np.int32)), pc.binary_join(lists, b" ").cast(pa.string())], names=["home", "part", "after", "left", "words"])
+    found = table.group_by(table.column_names, use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+    return pa.RecordBatch.from_arrays([pa.repeat(lang, found.num_rows), *(found.column(c).combine_chunks() for c in (*table.column_names, "count_all"))], names=["lang", *table.column_names, "n"])
 
 
-def _expanded(batch: pa.RecordBatch, run_of: np.ndarray, longest: int) -> pa.Table:
-    """run, phrase, words and f: the n-grams of two words and more through each fragment's pivot, added up by run."""
+def _expanded(batch: pa.RecordBatch, run_of: np.ndarray, shortest: int, longest: int) -> pa.Table:
+    """run, phrase, words and f: the n-grams through each fragment's pivot (after: none that end there), added up by run."""
     split = pc.split_pattern(batch.column("words"), " ")
     values, starts, sizes = split.flatten(), split.offsets.to_numpy()[:-1] - split.offsets[0].as_py(), pc.list_value_length(split).to_numpy()
-    left = batch.column("left").to_numpy()
+    left, after = batch.column("left").to_numpy(), batch.column("after").to_numpy()
     rows, begins, lengths = [], [], []
-    for m in range(2, longest + 1):
+    for m in range(shortest, longest + 1):
         for before in range(m):  # words of the n-gram that stand before its pivot
-            fits = np.flatnonzero((left >= before) & (left - before + m <= sizes))
+            fits = np.flatnonzero((left >= before) & (left - before + m <= sizes) & (before < m - after))
             rows.append(fits)
             begins.append((starts + left)[fits] - before)
             lengths.append(np.full(len(fits), m))
     rows, begins, lengths = map(np.concatenate, (rows, begins, lengths))
     ends = np.cumsum(lengths)
-    places = np.arange(ends[-1]) + np.repeat(begins - ends + lengths, lengths)
+    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + lengths, lengths)
     said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values.take(pa.array(places))), " ")
     return _added(pa.table([pa.array(run_of[rows]), said, pa.array(lengths.astype(np.int32)), batch.column("n").take(pa.array(rows))], names=["run", "phrase", "words", "f"]))
 
@@ -183,24 +222,25 @@ def _added(grams: pa.Table) -> pa.Table:
     return found.rename_columns(["run", "phrase", "words", "f"])
 
 
-def _mine(least: int, longest: int):
+def _mine(least: int, shortest: int, longest: int, most: int = HELD):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Fragments by KEY: the n-grams through each pivot with their counts.
 
-        A pivot in one part has its final counts here, so that its less frequent n-grams go. What is held is of one part
-        of one pivot: the n-grams of some HOT occurrences.
+        What is counted here is final, so that the less frequent n-grams go. Where one part of one pivot has over `most`
+        n-grams, its counts so far are told, and from there on all of its counts, to be added up later.
         """
-        key, parts, held = None, 1, []
+        key, held, open_ = None, [], False
 
-        def told(grams: pa.Table, kept: pa.Array, langs: pa.Array) -> pa.RecordBatch:
-            rows = grams.select(["phrase", "words", "f"]).filter(kept).combine_chunks()
-            return pa.RecordBatch.from_arrays([langs.filter(kept), *(pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in rows.column_names)], names=["lang", *rows.column_names])
+        def told(grams: pa.Table, langs: pa.Array) -> pa.RecordBatch:
+            names = ["phrase", "words", "f"]
+            return pa.RecordBatch.from_arrays([langs, *(grams.column(c).combine_chunks() for c in names)], names=["lang", *names])
 
         def closed() -> Iterator[pa.RecordBatch]:
             if held:
                 grams = _added(pa.concat_tables(held))
-                at_least = pa.array(np.ones(grams.num_rows, bool)) if parts > 1 else pc.greater_equal(grams.column("f"), least).combine_chunks()
-                yield told(grams, at_least, pa.repeat(key[0], grams.num_rows))
+                grams = grams if open_ else grams.filter(pc.greater_equal(grams.column("f"), least))
+                if grams.num_rows:
+                    yield told(grams.combine_chunks(), pa.repeat(key[0], grams.num_rows))
 
         for batch in batches:
             if not batch.num_rows:
@@ -208,24 +248,25 @@ def _mine(least: int, longest: int):
             run_of = _runs([batch.column(c) for c in KEY])
             firsts = np.searchsorted(run_of, np.arange(run_of[-1] + 1))
             of = lambda i: tuple(batch.column(c)[int(firsts[i])].as_py() for c in KEY)
-            grams = _expanded(batch, run_of, longest)
+            grams = _expanded(batch, run_of, shortest, longest)
             runs = grams.column("run").combine_chunks().to_numpy()
             if key != of(0):
                 yield from closed()
-                key, parts, held = of(0), batch.column("parts")[0].as_py(), []
+                key, held, open_ = of(0), [], False
             held.append(_numbered(grams.filter(pa.array(runs == 0))))
-            if len(held) > 16:
+            if sum(t.num_rows for t in held) > most:
                 held = [_numbered(_added(pa.concat_tables(held)))]
+                if 2 * held[0].num_rows > most:
+                    open_ = True
+                    yield from closed()
+                    held = []
             last = len(firsts) - 1
             if last:
                 yield from closed()
-                whole = pa.array((runs > 0) & (runs < last))
-                inner = grams.filter(whole)
-                at = pa.array(firsts[inner.column("run").to_numpy()])
-                many = pc.greater(batch.column("parts").take(at), 1)
+                inner = grams.filter(pc.and_(pa.array((runs > 0) & (runs < last)), pc.greater_equal(grams.column("f").combine_chunks(), least))).combine_chunks()
                 if inner.num_rows:
-                    yield told(inner, pc.or_(many, pc.greater_equal(inner.column("f").combine_chunks(), least)), batch.column("lang").take(at))
-                key, parts, held = of(last), batch.column("parts")[int(firsts[last])].as_py(), [_numbered(grams.filter(pa.array(runs == last)))]
+                    yield told(inner, batch.column("lang").take(pa.array(firsts[inner.column("run").to_numpy()])))
+                key, held, open_ = of(last), [_numbered(grams.filter(pa.array(runs == last)))], False
         yield from closed()
 
     return run
@@ -244,7 +285,7 @@ def _runs(columns: list[pa.Array]) -> np.ndarray:
     return np.cumsum(change)
 
 
-def counts(docs: DataFrame, work: Scratch, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", width: int = WIDTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def counts(docs: DataFrame, work: Scratch, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", width: int = WIDTH, bits: int = BITS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of 1 to `longest` words with f >= least, and (lang, n) of all words."""
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -252,14 +293,23 @@ def counts(docs: DataFrame, work: Scratch, least: int = LEAST, longest: int = LO
     totals = per_word.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = per_word.filter(F.col("n") >= least)
     sketch = spark.sparkContext.broadcast(_sketch(frequent, width))
-    found = plain.mapInArrow(_fragments(sketch, least, longest, hot), "lang string, pivot string, parts int, left int, words string, n long")
-    routed = found.withColumn("part", F.pmod(F.xxhash64("words", "left"), F.col("parts")).cast("int")).repartition(*KEY).sortWithinPartitions(*KEY)
-    mined = routed.mapInArrow(_mine(least, longest), "lang string, phrase string, words int, f long")
-    grams = mined.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return work.saved(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("f")).unionByName(grams), "phrases"), totals
+
+    def mined(shortest: int, longest: int, bitmap, name: str) -> DataFrame:
+        found = plain.mapInArrow(_fragments(sketch, bitmap, least, shortest, longest, hot), "lang string, home long, part int, after int, left int, words string, n long")
+        routed = found.repartition(*KEY).sortWithinPartitions(*KEY)
+        counted = routed.mapInArrow(_mine(least, shortest, longest), "lang string, phrase string, words int, f long")
+        return work.saved(counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), name)
+
+    known = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("f"))
+    if longest > 1:
+        pairs = mined(2, 2, None, "pairs")
+        known = known.unionByName(pairs)
+        if longest > 2:
+            known = known.unionByName(mined(3, longest, spark.sparkContext.broadcast(_bitmap(pairs, bits)), "longer"))
+    return known, totals
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, best: int = BEST, within: int = WITHIN, lang_col: str = "lang", text_col: str = "text", width: int = WIDTH, hot: int = HOT) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, best: int = BEST, within: int = WITHIN, lang_col: str = "lang", text_col: str = "text", width: int = WIDTH, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """The `best` phrases of each language by score: lang, rank, phrase, a, l, r, n, score.
 
     A phrase is 2 to `longest` words of one piece (texts end pieces, and so do .,;:!? and line ends) that occur at least
@@ -270,7 +320,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, be
     rows; other columns are ignored.
     """
     with Scratch(docs.sparkSession) as work:
-        known, totals = counts(docs, work, least, longest, lang_col, text_col, width, hot)
+        known, totals = counts(docs, work, least, longest, lang_col, text_col, width, bits, hot)
         w = F.split("phrase", " ")
         candidates = known.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
         # A phrase within one that is longer by more is also within one between, which occurs no less.
