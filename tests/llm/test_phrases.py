@@ -52,18 +52,16 @@ def test_phrases_against_counting(spark, monkeypatch):
     rows = [(rng.choice(["en", "fr", None]), "".join(rng.choice(some) + rng.choice([" "] * 8 + ["\t ", ". ", ",", "\n", "!?"]) for _ in range(rng.randrange(60)))) for _ in range(300)]
     mine = phrases._mine
     for bytes_, width, bits, hot, held in ((phrases.BYTES, 2**20, 2**22, 2**16, phrases.HELD), (23, 4, 64, 20, 5)):
-        monkeypatch.setattr(phrases, "BYTES", bytes_)
         monkeypatch.setattr(phrases, "_mine", lambda *a, held=held: mine(*a, most=held))
-        got = mined(spark, rows, least=6, best=40, width=width, bits=bits, hot=hot)
+        got = mined(spark, rows, least=6, best=40, width=width, bits=bits, hot=hot, at_once=bytes_)
         assert got == brute(rows, 6, best=40) and len(got) > 60
     assert mined(spark, rows, least=6, within=60) == brute(rows, 6, within=60)
 
 
-def test_parts_of_a_long_text_lose_no_phrase(spark, monkeypatch):
+def test_parts_of_a_long_text_lose_no_phrase(spark):
     rng = random.Random(6)
     rows = [("en", " ".join(rng.choice("a b c dd eee".split()) for _ in range(4000)))]
-    monkeypatch.setattr(phrases, "BYTES", 50)
-    assert mined(spark, rows, least=20) == brute(rows, 20)
+    assert mined(spark, rows, least=20, at_once=50) == brute(rows, 20)
 
 
 def test_phrases_of_odd_rows(spark):

@@ -45,16 +45,18 @@ END = b"\xff"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\x09.,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz " + END * 10)
 
 
-def _tokens(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Words and ENDs of texts, in parts of about BYTES; a part ends between words."""
-    for a, b in runs_of([len(t) for t in texts], BYTES):
+def _tokens(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """Words and ENDs of texts, in parts of about `most` bytes; a part ends between words."""
+    for a, b in runs_of([len(t) for t in texts], most):
         whole, at = END.join(texts[a:b]).translate(_TABLE), 0
         while at < len(whole):
-            to = at + BYTES
+            to = at + most
             if to < len(whole):
                 cuts = [c for c in (whole.find(b" ", to), whole.find(END, to)) if c >= 0]
                 to = min(cuts, default=len(whole))
-            yield whole[at:to].replace(END, b" \xff ").split()
+            found = whole[at:to].replace(END, b" \xff ").split()
+            if found:
+                yield found
             at = to
         yield [END]
 
@@ -74,15 +76,18 @@ def _encoded(tokens: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return found.dictionary.to_pylist(), found.indices.to_numpy()
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, n: what each part of a batch holds."""
-    for lang, texts in _by_lang(batches):
-        for tokens in _tokens(texts):
-            words, codes = _encoded(tokens)
-            counts = np.bincount(codes, minlength=len(words))
-            kept = [i for i, w in enumerate(words) if w != END]
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept)), pa.array([words[i] for i in kept], pa.binary()).cast(pa.string()), pa.array(counts[kept])], names=["lang", "word", "n"])
+def _words(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """lang, word, n: what each part of a batch holds."""
+        for lang, texts in _by_lang(batches):
+            for tokens in _tokens(texts, most):
+                words, codes = _encoded(tokens)
+                counts = np.bincount(codes, minlength=len(words))
+                kept = [i for i, w in enumerate(words) if w != END]
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept)), pa.array([words[i] for i in kept], pa.binary()).cast(pa.string()), pa.array(counts[kept])], names=["lang", "word", "n"])
+
+    return run
 
 
 def _hash(lang: bytes, word: bytes) -> int:
@@ -144,14 +149,14 @@ def fragments_of(rank: np.ndarray, linked: np.ndarray, longest: int) -> tuple[np
     return left, right
 
 
-def _fragments(sketch, bitmap, least: int, shortest: int, longest: int, hot: int):
+def _fragments(sketch, bitmap, least: int, shortest: int, longest: int, hot: int, most: int):
     """lang, home, part, after, left, words and n of a batch's distinct fragments; sketch and bitmap are broadcast variables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, ahead = sketch.value, longest - 1
         for lang, texts in _by_lang(batches):
             said, kept, cache = lang.encode(), [], {}
-            for tokens in _tokens(texts):
+            for tokens in _tokens(texts, most):
                 # The last words of a part are pivots together with the next part, which repeats what stands before them.
                 context = max(0, len(kept) - ahead)
                 tokens, ended = kept + tokens, tokens[-1] == END
@@ -285,17 +290,17 @@ def _runs(columns: list[pa.Array]) -> np.ndarray:
     return np.cumsum(change)
 
 
-def counts(docs: DataFrame, work: Scratch, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", width: int = WIDTH, bits: int = BITS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def counts(docs: DataFrame, work: Scratch, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", width: int = WIDTH, bits: int = BITS, hot: int = HOT, at_once: int = BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of 1 to `longest` words with f >= least, and (lang, n) of all words."""
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    per_word = work.saved(plain.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    per_word = work.saved(plain.mapInArrow(_words(at_once), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     totals = per_word.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = per_word.filter(F.col("n") >= least)
     sketch = spark.sparkContext.broadcast(_sketch(frequent, width))
 
     def mined(shortest: int, longest: int, bitmap, name: str) -> DataFrame:
-        found = plain.mapInArrow(_fragments(sketch, bitmap, least, shortest, longest, hot), "lang string, home long, part int, after int, left int, words string, n long")
+        found = plain.mapInArrow(_fragments(sketch, bitmap, least, shortest, longest, hot, at_once), "lang string, home long, part int, after int, left int, words string, n long")
         routed = found.repartition(*KEY).sortWithinPartitions(*KEY)
         counted = routed.mapInArrow(_mine(least, shortest, longest), "lang string, phrase string, words int, f long")
         return work.saved(counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), name)
@@ -309,7 +314,7 @@ def counts(docs: DataFrame, work: Scratch, least: int = LEAST, longest: int = LO
     return known, totals
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, best: int = BEST, within: int = WITHIN, lang_col: str = "lang", text_col: str = "text", width: int = WIDTH, bits: int = BITS, hot: int = HOT) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, best: int = BEST, within: int = WITHIN, lang_col: str = "lang", text_col: str = "text", width: int = WIDTH, bits: int = BITS, hot: int = HOT, at_once: int = BYTES) -> DataFrame:
     """The `best` phrases of each language by score: lang, rank, phrase, a, l, r, n, score.
 
     A phrase is 2 to `longest` words of one piece (texts end pieces, and so do .,;:!? and line ends) that occur at least
@@ -320,7 +325,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, be
     rows; other columns are ignored.
     """
     with Scratch(docs.sparkSession) as work:
-        known, totals = counts(docs, work, least, longest, lang_col, text_col, width, bits, hot)
+        known, totals = counts(docs, work, least, longest, lang_col, text_col, width, bits, hot, at_once)
         w = F.split("phrase", " ")
         candidates = known.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
         # A phrase within one that is longer by more is also within one between, which occurs no less.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import aq, bpe, jpeg, langid, line_dedup, packing, phrases, quotes, secret_scan, simhash, voronoi, warc
+from . import aq, bpe, jpeg, langid, line_dedup, packing, phrases, quotes, repair, secret_scan, simhash, voronoi, warc
 from .common import saved
 
 
@@ -60,11 +60,15 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_language_id, op3_secret_scan, op4_warc_zstd, op5_quote_links, op6_packing, op7_jpeg, op8_line_dedup, op9_bpe, op10_simhash, op11_phrases, op13_voronoi_topk)}
+QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_language_id, op3_secret_scan, op4_warc_zstd, op5_quote_links, op6_packing, op7_jpeg, op8_line_dedup, op9_bpe, op10_simhash, op11_phrases, op12_conversation_repair, op13_voronoi_topk)}
 
 #: Four base32 letters from each five hex digits of a SHA-1.
 _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
