@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import estate_lineage, graph
 from .registry import query, table
 
 NAMED = [("region", "r_regionkey", None, None), ("nation", "n_nationkey", "region", "n_regionkey"), ("customer", "c_custkey", "nation", "c_nationkey"), ("orders", "o_orderkey", "customer", "o_custkey")]
@@ -128,3 +128,24 @@ SELECT concat(src, '>', dst) AS signature, COUNT(DISTINCT user_id) AS jobs FROM
 def recurring_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transitions(spark, sf_dir).groupBy(F.concat_ws(">", "src", "dst").alias("signature")).agg(F.countDistinct("user_id").alias("jobs"))
     return t.orderBy(F.desc("jobs"), "signature").limit(20)
+
+
+def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): for each nation a table with a column for each of its suppliers, a view that passes on the columns
+    of solvent ones, doubles the others, counts and tells a constant, and a view of that view."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("id"), (F.col("s_acctbal") < 0).alias("owes"))
+    column = F.concat(F.lit("C_"), F.col("id"))
+    made = F.when(F.col("owes"), F.concat(F.lit("t."), column, F.lit(" * 2 AS D_"), F.col("id"))).otherwise(F.concat(F.lit("t."), column))
+    parts = s.groupBy("k").agg(F.array_sort(F.collect_list(F.concat(column, F.lit(" NUMBER(12,2)")))).alias("ddl"), F.array_sort(F.collect_list(made)).alias("said"), F.array_sort(F.collect_list(F.when(~F.col("owes"), column))).alias("passed"))
+    text = F.concat(F.lit("CREATE TABLE DW.N_"), F.col("k"), F.lit(" ("), F.concat_ws(", ", "ddl"), F.lit(");\nCREATE OR REPLACE VIEW V_"), F.col("k"), F.lit(" AS WITH c AS (SELECT * FROM DW.N_"), F.col("k"), F.lit(") SELECT "), F.concat_ws(", ", "said"), F.lit(", (SELECT COUNT(*) FROM DW.N_0) AS TOTAL, 'fixed' AS KIND FROM c t;\nCREATE VIEW MART.W_"), F.col("k"), F.lit(" AS SELECT 1 AS ONE"), F.array_join(F.transform("passed", lambda c: F.concat(F.lit(", "), c)), ""), F.lit(" FROM V_"), F.col("k"), F.lit(";"))
+    return parts.select(F.concat(F.lit("nation_"), F.col("k"), F.lit(".sql")).alias("path"), text.alias("text"))
+
+
+@query("""WITH s AS (SELECT concat('V_', s_nationkey) AS v, concat('MART.W_', s_nationkey) AS w, concat('DW.N_', s_nationkey) AS t, s_suppkey AS id, s_acctbal < 0 AS owes FROM supplier)
+SELECT v AS target_table, concat(CASE WHEN owes THEN 'D_' ELSE 'C_' END, id) AS target_column, t AS source_table, concat('C_', id) AS source_column, CASE WHEN owes THEN 0.9 ELSE 0.95 END AS confidence, CAST(NULL AS VARCHAR) AS reason FROM s
+UNION ALL SELECT w, concat('C_', id), v, concat('C_', id), 0.95, NULL FROM s WHERE NOT owes
+UNION ALL SELECT DISTINCT v, 'KIND', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.0, 'no source column: a literal or a constant' FROM s
+UNION ALL SELECT DISTINCT v, 'TOTAL', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.0, 'no source column: a literal or a constant' FROM s
+UNION ALL SELECT DISTINCT w, 'ONE', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.0, 'no source column: a literal or a constant' FROM s""")
+def estate_column_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estate_lineage.of_estate(_definitions(spark, sf_dir)).drop("transform")

@@ -21,22 +21,34 @@ def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-#: Where artifacts hold secrets, and what stays of each match.
-SECRETS = (
-    (r'(?s)(<([\w:]+)(?=[^>]*(?:Sensitive|Encrypted)="1")[^>]*>).*?(</\2>)', "$1***$3"),
-    (r"(?s)(<DTS:Password\b[^>]*>).*?(</DTS:Password>)", "$1***$2"),
-    (r'(name="db_password"[^>]*?value=")[^"]*(")', "$1***$2"),
-    (r"(?i)(\bpassword\s*=\s*)(?:\"[^\"]+\"|'[^']+')", "$1'***'"),
-)
+#: Attributes that mark an element's content as secret, elements and named values that are secrets.
+SECRET_MARKS, SECRET_ELEMENTS, SECRET_VALUES = ("Sensitive", "Encrypted"), ("DTS:Password",), ("db_password",)
+MASK = "***"
+
+
+def _masked(text: Column, pattern: str, into: str) -> tuple[Column, Column]:
+    """Text with what a pattern finds masked, and how often it did."""
+    return F.regexp_replace(text, pattern, into), F.regexp_count(text, F.lit(pattern))
 
 
 def redacted(texts: DataFrame) -> DataFrame:
-    """Files (path, text) with secrets as ***, and how many there were; CSV files keep their header line alone."""
+    """Files (path, text) with secrets as ***, and how many there were; CSV files keep their header line alone.
+
+    Secret is the content of an element that a mark of SECRET_MARKS is set to 1 for or that SECRET_ELEMENTS lists, the
+    `value` of a tag named as one of SECRET_VALUES, wherever in the tag it stands, and what a `password` is set to.
+    """
     csv = F.lower("path").endswith(".csv")
+    marks, values = "|".join(SECRET_MARKS), "|".join(SECRET_VALUES)
+    content = r"(?s)(<({name})\b(?:[^>]*[^>/])?{mark}[^>]*(?<!/)>)((?:(?!</\2>).)*)(</\2>)"
+    rules = [(content.format(name=r"[\w:.-]+", mark=rf"\b(?:{marks})\s*=\s*[\"']1[\"']"), f"$1{MASK}$4")]
+    rules += [(content.format(name=name, mark=""), f"$1{MASK}$4") for name in SECRET_ELEMENTS]
+    named = rf"\bname\s*=\s*[\"'](?:{values})[\"']"
+    rules += [(rf"(<[^<>]*{named}[^<>]*\bvalue\s*=\s*[\"'])[^\"'<>]*", f"$1{MASK}"), (rf"(<[^<>]*\bvalue\s*=\s*[\"'])[^\"'<>]*(?=[\"'][^<>]*{named})", f"$1{MASK}")]
+    rules.append((r"(?i)(\bpassword\s*=\s*)(?:'[^']+'|\"[^\"]+\")", f"$1'{MASK}'"))
     text, found = F.col("text"), F.lit(0)
-    for pattern, into in SECRETS:
-        found = found + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, into)
+    for pattern, into in rules:
+        text, n = _masked(text, pattern, into)
+        found = found + n
     head = F.substring_index("text", "\n", 1)
     return texts.select("path", F.when(csv, head).otherwise(text).alias("text"), F.when(csv, 0).otherwise(found).cast("int").alias("redactions"))
 
@@ -116,11 +128,22 @@ def tables(texts: DataFrame) -> DataFrame:
     return rows.select("path", "fqn", "ordinal", F.regexp_replace(F.regexp_extract("c", r"^(\S+)", 1), r"[\[\]\"]", "").alias("name"), F.when(computed == "", kind).alias("data_type"), (~F.col("c").rlike(r"(?i)NOT NULL|PRIMARY KEY")).alias("nullable"), F.col("c").rlike(r"(?i)PRIMARY KEY").alias("pk"), F.nullif(computed, F.lit("")).alias("computed"))
 
 
+#: Schemas and tables of the database systems themselves, and endings of file names.
+SYSTEM_SCHEMAS = ("SYS", "INFORMATION_SCHEMA", "MASTER", "TEMPDB", "PG_CATALOG")
+SYSTEM_TABLES, FILES = ("DUAL",), ("CSV", "TXT", "DAT", "XML", "JSON", "PARQUET", "XLSX", "PKL")
+
+
+def is_object(name: Column) -> Column:
+    """Whether a name may be one of an estate: not of a system's own schemas, not DUAL in any schema, not a file's."""
+    last = F.substring_index(name, ".", -1)
+    return (name != "") & ~F.substring_index(name, ".", 1).isin(*SYSTEM_SCHEMAS) & ~last.isin(*SYSTEM_TABLES) & ~((F.instr(name, ".") > 0) & last.isin(*FILES))
+
+
 def references(sql: Column) -> Column:
     """Names after FROM and JOIN, without those of common table expressions."""
     names = F.array_distinct(F.transform(F.regexp_extract_all(sql, F.lit(rf"(?i)\b(?:FROM|JOIN)\s+{NAME}"), F.lit(1)), fqn))
     own = F.transform(F.regexp_extract_all(sql, F.lit(r"(?i)(?:\bWITH|,)\s*(\w+)\s+AS\s*\("), F.lit(1)), fqn)
-    return F.array_except(names, own)
+    return F.filter(F.array_except(names, own), is_object)
 
 
 def writes(sql: Column) -> Column:
@@ -132,13 +155,13 @@ def writes(sql: Column) -> Column:
     named = rf"(?i)\b(?:FROM|JOIN)\s+{NAME}\s+(?:AS\s+)?(\w+)"
     known = F.arrays_zip(F.regexp_extract_all(sql, F.lit(named), F.lit(1)).alias("name"), F.regexp_extract_all(sql, F.lit(named), F.lit(2)).alias("alias"))
     real = lambda n: F.coalesce(F.try_element_at(F.filter(known, lambda k: F.upper(k["alias"]) == F.upper(n)), F.lit(1))["name"], n)
-    return F.array_distinct(F.transform(found, lambda n: fqn(real(n))))
+    return F.filter(F.array_distinct(F.transform(found, lambda n: fqn(real(n)))), is_object)
 
 
 def views(texts: DataFrame) -> DataFrame:
-    """(path, fqn, sql, is_materialized, complexity, sources) of every view, with or without a list of columns."""
-    head = rf"(?is)^CREATE\s+(?:OR\s+\w+\s+)?(MATERIALIZED\s+)?VIEW\s+{NAME}\s*(?:\([^)]*\)\s*)?(?:WITH\s+\w+\s+)?AS\s+([^;]*)"
-    v = objects(texts).filter(F.col("sql").rlike(head)).select("path", fqn(F.regexp_extract("sql", head, 2)).alias("fqn"), F.trim(F.regexp_extract("sql", head, 3)).alias("sql"), (F.regexp_extract("sql", head, 1) != "").alias("is_materialized"))
+    """(path, fqn, sql, is_materialized, listed, sources, complexity) of every view; listed: its list of columns, or none."""
+    head = rf"(?is)^CREATE\s+(?:OR\s+\w+\s+)?(MATERIALIZED\s+)?VIEW\s+{NAME}\s*(?:\(([^)]*)\)\s*)?(?:WITH\s+\w+\s+)?AS\s+([^;]*)"
+    v = objects(texts).filter(F.col("sql").rlike(head)).select("path", fqn(F.regexp_extract("sql", head, 2)).alias("fqn"), F.trim(F.regexp_extract("sql", head, 4)).alias("sql"), (F.regexp_extract("sql", head, 1) != "").alias("is_materialized"), F.filter(F.split(F.regexp_extract("sql", head, 3), r"\s*,\s*"), lambda c: c != "").alias("listed"))
     v = v.withColumn("sources", references(F.col("sql")))
     schemas = F.size(F.array_distinct(F.transform("sources", lambda n: F.substring_index(n, ".", 1))))
     kind = F.when(F.col("sql").rlike(r"(?i)EXECUTE IMMEDIATE|sp_executesql"), "dynamic").when(F.exists("sources", lambda n: n.rlike(r"(^|\.)V(W|IEW)?_")), "nested_view").when(schemas > 1, "cross_system").when(F.col("sql").rlike(r"(?i)\bGROUP\s+BY\b"), "aggregate").when(F.size("sources") > 1, "join").otherwise("simple")
@@ -377,17 +400,25 @@ def graph(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """An estate's files (path, text) as nodes (fqn, kind), edges (src, dst, kind, confidence, unresolved) and the names
     that are no node (fqn, seen_from).
 
-    Views, procedures, ETL files, schedules, dashboards and orchestrations give edges, always from producer to consumer;
-    a name that several readers give is one node, of the first kind in the order TABLE, VIEW, PROCEDURE, ETL_JOB,
-    SCHEDULE, DASHBOARD. Files of other kinds give nothing; no files give empty tables.
+    Views, procedures, ETL files, training scripts, schedules, dashboards and orchestrations give edges, always from
+    producer to consumer; tables are also those that statements in ETL files create. What a view reads is told by its
+    parse tree, by patterns only where its dialect is not understood. A name that several readers give is one node, of
+    the first kind in the order TABLE, VIEW, PROCEDURE, ETL_JOB, ROUTINE, SCHEDULE, DASHBOARD. Objects of the database
+    systems, DUAL and files are none. Files of other kinds give nothing; no files give empty tables.
     """
+    from ..operators.estate_lineage import references as parsed
+
     sql = texts.filter(F.lower("path").endswith(".sql"))
     v, p, s, d = views(sql), procedures(sql), schedules(texts), dashboards(texts)
+    named = parsed(texts.sparkSession, v.select(F.col("fqn").alias("id"), "sql")).filter("role = 'reads'").groupBy(F.col("id").alias("fqn")).agg(F.collect_set("name").alias("named"))
+    v = v.join(named, "fqn", "left").withColumn("sources", F.coalesce("named", F.array().cast("array<string>"))).drop("named")
+    scripts = ml_scripts(texts.filter(F.lower("path").endswith(".py"))).select(F.upper(stem(F.col("path"))).alias("fqn"), *[F.filter(c, is_object).alias(c) for c in ("reads", "writes")]).filter("size(reads) + size(writes) > 0")
+    made = tables(etl_statements(texts).select("path", F.col("statement").alias("text"))).select("fqn").filter(is_object(F.col("fqn")))
     jobs = orchestration(texts.filter(F.lower("path").endswith(".json") & F.col("text").contains('"DependsOn"')))
     etl = etl_edges(texts)
-    kinds = ["TABLE", "VIEW", "PROCEDURE", "ETL_JOB", "SCHEDULE", "DASHBOARD"]
+    kinds = ["TABLE", "VIEW", "PROCEDURE", "ETL_JOB", "ROUTINE", "SCHEDULE", "DASHBOARD"]
     job_names = dialect_of(texts).filter(F.col("dialect").isin("ssis", "informatica", "datastage", "talend")).select(F.upper(stem(F.col("path"))).alias("fqn"))
-    parts = [tables(sql).select("fqn"), v.select("fqn"), p.select("fqn"), job_names, s.select(F.col("name").alias("fqn")).unionByName(jobs.select(F.upper("job").alias("fqn"))), d.select(F.col("name").alias("fqn"))]
+    parts = [tables(sql).select("fqn").unionByName(made), v.select("fqn"), p.select("fqn"), job_names, scripts.select("fqn"), s.select(F.col("name").alias("fqn")).unionByName(jobs.select(F.upper("job").alias("fqn"))), d.select(F.col("name").alias("fqn"))]
     nodes = None
     for i, part in enumerate(parts):
         part = part.select("fqn", F.lit(i).alias("i"))
@@ -397,8 +428,9 @@ def graph(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     needs = s.select(F.explode("depends_on").alias("src"), F.col("name").alias("dst")).unionByName(jobs.select(F.explode(F.transform("depends_on", F.upper)).alias("src"), F.upper("job").alias("dst")))
     needs = needs.select("*", F.lit("SCHEDULE_DEPENDS").alias("kind"), F.lit(1.0).alias("confidence"))
     shown = d.filter("source <> ''").select(F.col("source").alias("src"), F.col("name").alias("dst"), F.lit("DASHBOARD_RENDERS").alias("kind"), F.lit(1.0).alias("confidence"))
+    learnt = scripts.select(F.explode("reads").alias("src"), F.col("fqn").alias("dst"), F.lit("ETL_READS").alias("kind"), F.lit(0.9).alias("confidence")).unionByName(scripts.select(F.col("fqn").alias("src"), F.explode("writes").alias("dst"), F.lit("ETL_WRITES").alias("kind"), F.lit(0.9).alias("confidence")))
     found = edges(v, p)
-    for more in (etl, declared_edges(jobs, texts), needs, shown, dynamic):
+    for more in (etl, declared_edges(jobs, texts).filter(is_object(F.col("src")) & is_object(F.col("dst"))), needs, shown, learnt, dynamic):
         found = found.unionByName(more)
     nodes = cut(nodes)
     found = cut(strongest(resolve(found, nodes)))
