@@ -235,7 +235,22 @@ def test_secrets_in_other_forms():
     assert kinds("-----BEGIN PRIVATE KEY-----\nnothing of the kind\n-----END PRIVATE KEY-----") == set()
 
 
-@pytest.mark.parametrize("unit", ["eyJ", "-----BEGIN PRIVATE KEY-----", "a" * 50 + "\n", "token ", "secret=", "AKIA", "ab12", "eyJh.eyJh.", "A"])
+def test_wrapped_keys_among_other_blocks():
+    wrap = lambda b, n=64: [base64.b64encode(b).decode()[i : i + n] for i in range(0, len(base64.b64encode(b)), n)]
+    rng = np.random.default_rng(8)
+    for size in (48, 96, 192, 198, 200, 201, 1200):
+        for key in (RSA, PKCS8):
+            for after in ([], wrap(rng.bytes(96)), wrap(key)):
+                before, own = wrap(rng.bytes(size)), wrap(key)
+                text = "x\n" + "\n".join([*before, *own, *after]) + "\ny"
+                begin = 2 + sum(len(x) + 1 for x in before)
+                found = {(a, b) for k, a, b in secret_scan.find(text)[1] if k == "der_key"}
+                assert (begin, begin + len("\n".join(own))) in found or any(a <= begin and b >= begin + len("\n".join(own)) for a, b in found), (size, len(key), len(after))
+                assert sum(a >= begin for a, b in found) == (1 + (after == own))
+    assert secret_scan.find("\n".join(wrap(rng.bytes(5000))))[1] == []
+
+
+@pytest.mark.parametrize("unit", ["MIIBAAAA" * 8 + "\n", "eyJ", "-----BEGIN PRIVATE KEY-----", "a" * 50 + "\n", "token ", "secret=", "AKIA", "ab12", "eyJh.eyJh.", "A"])
 def test_secret_scan_takes_linear_time(unit):
     import time
 
@@ -402,6 +417,12 @@ def test_quotes_count_what_is_linked(spark):
         assert (r["quotes"], r["linked"], r["foreign"]) == (len(quoted), len(own) + len(far), len(far))
 
 
+def test_a_null_conversation_is_not_the_empty_one(spark):
+    rows = [(None, 0, "user", "one"), ("", 0, "user", "two"), (None, 1, "user", "> one\nyes"), ("", 1, "user", "> two\nno")]
+    found = quotes.link(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert sorted((r["conv_id"] is None, r["position"], r["reply_to"], r["text"], r["linked"]) for r in found) == [(False, 0, None, "two", 0), (False, 1, 0, "no", 1), (True, 0, None, "one", 0), (True, 1, 0, "yes", 1)]
+
+
 def test_quotes_of_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, "u", "Shared passage here"), (2, 0, "u", "hello"), (2, 1, "a", ">> shared  PASSAGE here\n> nobody said it\nanswer"), (None, None, None, None), (3, 5, "u", "> Shared passage here"), (3, 5, "u", "> Shared passage here")]

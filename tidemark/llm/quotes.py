@@ -120,7 +120,8 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
 def _told(messages: DataFrame, save, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     """The messages with what they quote and reply to, and their path in reply order."""
-    base = messages.select(F.coalesce(F.col(conv_col).cast("string"), F.lit("")).alias("key"), F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("raw"))
+    # No id is the key of null.
+    base = messages.select(F.when(F.col(conv_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(conv_col).cast("string"))).alias("key"), F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("raw"))
     rows = numbered(base, ["key", "turn", "role", "raw"], "g", "messages", save)
     begin = rows.groupBy("key").agg(F.min("g").alias("zero"))
     rows = save(rows.join(begin, "key"), "numbered")

@@ -12,7 +12,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -156,6 +158,33 @@ def _block(lines: str) -> str:
     return "\n".join(found[: at + 1])
 
 
+def _declared(line: str) -> int | None:
+    """How many bytes the DER sequence has that a base64 line begins with, header included; keys have under 64 KB."""
+    head = _decoded(line[:8]) if line[:1] == "M" and len(line) >= 8 else None
+    if not head or head[0] != 0x30:
+        return None
+    n = head[1]
+    return n + 2 if n < 0x80 else head[2] + 3 if n == 0x81 else int.from_bytes(head[2:4]) + 4 if n == 0x82 else None
+
+
+def _wrapped_keys(block: str) -> Iterator[tuple[int, int]]:
+    """Where private keys stand in base64 lines that may hold other data before and after them: from a line that begins
+    a DER sequence to the line at whose end that sequence ends."""
+    lines = [(m.start(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/=]+", block)]
+    ends = list(accumulate(len(t) for _, t in lines))
+    i = 0
+    while i < len(lines):
+        size, before = _declared(lines[i][1]), ends[i - 1] if i else 0
+        if size:
+            for chars in dict.fromkeys((-(-size // 3) * 4, -(-size * 8 // 6))):
+                j = bisect_left(ends, before + chars)
+                if j < len(ends) and ends[j] == before + chars and is_private_key(_decoded("".join(t for _, t in lines[i : j + 1])) or b""):
+                    yield lines[i][0], lines[j][0] + len(lines[j][1])
+                    i = j
+                    break
+        i += 1
+
+
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and added spans (kind, start, end), in code points, end exclusive, each sorted by start, then kind."""
     base = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
@@ -173,6 +202,10 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
         kind = _confirmed(block, "der_key", _decoded("".join(block.split())))
         if kind and kind != "encoded":
             more.append((kind, m.start(), m.start() + len(block)))
+            block = m[0][len(block) :]
+        else:
+            block = m[0]
+        more += [("der_key", m.end() - len(block) + a, m.end() - len(block) + b) for a, b in _wrapped_keys(block)]
     for m in ANY_HEX.finditer(text):
         kind = _confirmed(m[0], "hex_key", bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))
         if kind:

@@ -33,10 +33,9 @@ LEAF, PIVOTS = 64, 16
 #: Similar documents: words in a shingle, the least Jaccard similarity, bits of a fingerprint, share of pairs at that
 #: similarity that the choices of bits find, and fingerprints that agree by chance on one choice, about.
 SIMILAR_WORDS, LEAST, BITS, RECALL, BY_CHANCE = 5, 0.8, 512, 0.99, 512
-#: Standard deviations by which a distance may exceed the one expected at LEAST.
-SLACK = 2.5
-#: Distinct shingles up to which a document's own set goes with it, for an exact comparison of short documents.
-FEW = 32
+#: Standard deviations by which a distance may exceed the one expected at LEAST, in two steps: pairs that are alike almost
+#: surely are joined before doubtful ones.
+SLACK = (-1.0, 2.5)
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -345,15 +344,17 @@ def wide_fingerprint(found: np.ndarray) -> bytes:
 
 
 def _signed(text: Column, words: int) -> Column:
-    """fp (binary), n (distinct shingles) and few (32 bits of each shingle of a short document) of a text."""
-    kind = pa.struct([("fp", pa.binary()), ("n", pa.int64()), ("few", pa.binary())])
+    """fp (binary), n (distinct shingles) and node (a hash of the set of shingles) of a text."""
+    import xxhash
+
+    kind = pa.struct([("fp", pa.binary()), ("n", pa.int64()), ("node", pa.int64())])
 
-    @arrow_udf("struct<fp: binary, n: long, few: binary>")
+    @arrow_udf("struct<fp: binary, n: long, node: long>")
     def of(texts: pa.Array) -> pa.Array:
         rows = []
         for raw in texts.cast(pa.binary()):
             found = shingles(raw.as_py() or b"", words)
-            rows.append({"fp": wide_fingerprint(found), "n": len(found), "few": np.unique(found.astype(np.uint32)).tobytes() if len(found) <= FEW else b""})
+            rows.append({"fp": wide_fingerprint(found), "n": len(found), "node": int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64))})
         return pa.array(rows, kind)
 
     return of(text)
@@ -372,28 +373,54 @@ def _sampled(n: int, least: float, recall: float) -> np.ndarray:
     return np.stack([rng.choice(BITS, bits, replace=False) for _ in range(times)])
 
 
-def _similar(sizes: np.ndarray, few: list[bytes], least: float) -> Accept:
-    """Whether pairs at a distance are alike: by their sets where both are short, else by sizes and distance.
+def _nearest_first(parent: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which pairs join trees of a forest, those of the smallest key first (as Boruvka chooses them); parent is changed.
 
-    The distance may be SLACK standard deviations over that expected at `least`.
+    Where keys are equal some pairs may be chosen besides that close a circle.
     """
-    p = _differing(least)
-    slack = SLACK * math.sqrt(BITS * p * (1 - p))
-
-    def accept(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
-        n, m = sizes[a], sizes[b]
-        both = np.minimum(np.cos(np.maximum(0, apart - slack) / BITS * math.pi) * np.sqrt(n * m), np.minimum(n, m))
-        fits = (both >= least * (n + m - both) - 1e-9) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
-        for i in np.flatnonzero((n <= FEW) & (m <= FEW)):
-            p, q = (set(memoryview(few[k]).cast("I")) for k in (a[i], b[i]))
-            fits[i] = len(p & q) >= least * len(p | q) - 1e-9
-        return fits
-
-    return accept
+    chosen, left = [], np.flatnonzero(parent[a] != parent[b])
+    while len(left):
+        x, y = parent[a[left]], parent[b[left]]
+        ends, at = np.concatenate([x, y]), np.concatenate([np.arange(len(left))] * 2)
+        order = np.lexsort((key[left][at], ends))
+        first = order[np.concatenate([[True], ends[order][1:] != ends[order][:-1]])]
+        best = left[np.unique(at[first])]
+        chosen.append(best)
+        _union(parent, a[best], b[best])
+        left = left[parent[a[left]] != parent[b[left]]]
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+class _Alike:
+    """Decides on pairs at a distance, by that and the sizes of their sets, and keeps those that span what it decides."""
+
+    def __init__(self, sizes: np.ndarray, nodes: np.ndarray, least: float):
+        self.sizes, self.nodes, self.least, self.parent, self.kept = sizes, nodes, least, np.arange(len(sizes)), []
+
+    def within(self, slack: float) -> Accept:
+        p = _differing(self.least)
+        spare = slack * math.sqrt(BITS * p * (1 - p))
+
+        def accept(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+            n, m = self.sizes[a], self.sizes[b]
+            both = np.minimum(np.cos(np.maximum(0, apart - spare) / BITS * math.pi) * np.sqrt(n * m), np.minimum(n, m))
+            fits = (both >= self.least * (n + m - both) - 1e-9) & (np.minimum(n, m) >= self.least * np.maximum(n, m) - 1e-9)
+            x, y = a[fits], b[fits]
+            # Of equal distances the same pair in every task, so that tasks agree on links.
+            tie = (np.minimum(self.nodes[x], self.nodes[y]) >> 1) / 2.0**63
+            i = _nearest_first(self.parent, x, y, apart[fits] + tie)
+            self.kept.append((x[i], y[i]))
+            return fits
+
+        return accept
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate([k[i] for k in self.kept]) for i in (0, 1)) if self.kept else (np.zeros(0, int),) * 2
+        return self.nodes[a], self.nodes[b]
 
 
 def similar_links(classes: DataFrame, work: Scratch, least: float = LEAST, recall: float = RECALL) -> DataFrame:
-    """Links (a, b) of the column `node` that span all pairs of classes (fp, n, few) found to be alike."""
+    """Links (a, b) of the column `node` that span all pairs of classes (fp, n) that may be alike, the likeliest first."""
     choices = _sampled(classes.count(), least, recall)
     p = _differing(least)
     budget = int(BITS * max(p, 3 / 16) + 3 * math.sqrt(BITS * p * (1 - p)))  # 3/16: five shingles, four of them shared
@@ -405,30 +432,62 @@ def similar_links(classes: DataFrame, work: Scratch, least: float = LEAST, recal
         return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(choices), dtype=np.int32)), pa.array(found.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _groups(batches, (*TASK, "piece", "fp", "n", "few", "node")):
+        for columns in _groups(batches, (*TASK, "piece", "fp", "n", "node")):
             fps = np.frombuffer(b"".join(columns["fp"]), ">u8").astype(np.uint64).reshape(-1, BITS // 64)
-            parent = _forest(fps, np.stack([columns[c] for c in TASK], axis=1), columns["piece"], budget, _similar(columns["n"].astype(np.float64), columns["few"], least))
-            child = np.flatnonzero(parent != np.arange(len(fps)))
-            yield pa.RecordBatch.from_arrays([pa.array(columns["node"][child]), pa.array(columns["node"][parent[child]])], ["a", "b"])
+            alike, task = _Alike(columns["n"].astype(np.float64), columns["node"], least), np.stack([columns[c] for c in TASK], axis=1)
+            for slack in SLACK:
+                _forest(fps, task, columns["piece"], min(budget, int(BITS * p + slack * math.sqrt(BITS * p * (1 - p)))) if slack < 0 else budget, alike.within(slack))
+            a, b = alike.links()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    keyed = classes.select(F.posexplode(keys(F.col("fp"))).alias("choice", "key"), "fp", "n", "few", "node")
+    keyed = classes.select(F.posexplode(keys(F.col("fp"))).alias("choice", "key"), "fp", "n", "node")
     return _dealt(keyed, "fp", work).mapInArrow(run, "a long, b long").distinct()
 
 
+def _confirmed(links: DataFrame, docs: DataFrame, words: int, least: float, work: Scratch) -> DataFrame:
+    """The links (a, b) whose sets have a Jaccard similarity of `least` and more, by the sets themselves.
+
+    docs: node and text of the documents that links name; texts of a node may be repeated, for they have the same set.
+    """
+    @arrow_udf("binary")
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(t.as_py() or b"", words).tobytes() for t in texts.cast(pa.binary())], pa.binary())
+
+    @arrow_udf("boolean")
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left, right):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both >= least * (len(p) + len(q) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    taken = docs.select("node", sets(F.coalesce("text", F.lit(""))).alias("s"))
+    known = work.saved(taken.groupBy("node").agg(F.min("s").alias("s")), "sets")
+    of = lambda end, name: known.select(F.col("node").alias(end), F.col("s").alias(name))
+    return links.join(of("a", "p"), "a").join(of("b", "q"), "b").filter(alike("p", "q")).select("a", "b")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, least: float = LEAST, recall: float = RECALL) -> DataFrame:
     """(id, th, component): each document's id, XXH64 of its text, and its component of linked documents.
 
-    Two documents are linked when their sets of word shingles have a Jaccard similarity of `least` as fingerprints of
-    BITS bits tell it, within SLACK standard deviations (documents of up to FEW shingles: exactly). Equal sets are one
-    node. Null and wordless texts have the empty set. Repeated rows stay repeated; no rows give none; other columns
-    are ignored. README.md states the recall and precision measured against exact similarities.
+    Two documents are linked when their sets of word shingles have a Jaccard similarity of `least`. Fingerprints of BITS
+    bits tell which pairs may have, within SLACK standard deviations; of these, links that span them, the likeliest
+    first, are confirmed by the sets themselves, at every size. Equal sets are one node. Null and wordless texts have the
+    empty set. Repeated rows stay repeated; no rows give none; other columns are ignored. README.md states the recall
+    measured against exact similarities; what is linked is linked by confirmed links alone.
     """
     kinds = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), _signed(F.col(text_col), words).alias("s"))
     with Scratch(docs.sparkSession) as work:
-        signed = work.saved(kinds.select("id", "th", "s.*").withColumn("node", F.xxhash64("fp", "n", "few")), "signed")
+        signed = work.saved(kinds.select("id", "th", "s.*"), "signed")
         rows, _ = saved(signed.select("id", "th", "node"), "rows")
-        classes = work.saved(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "n", "few")]), "classes")
-        found, _ = saved(components(similar_links(classes, work, least, recall), work), "components")
+        classes = work.saved(signed.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n")), "classes")
+        links = work.saved(similar_links(classes, work, least, recall), "maybe")
+        wanted = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        of_text = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th"))
+        texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).join(of_text, "th")
+        sure = _confirmed(links, texts, words, least, work)
+        found, _ = saved(components(sure, work), "components")
     return rows.join(found, "node", "left").select("id", "th", F.coalesce("root", "node").alias("component"))
 
 
