@@ -170,6 +170,24 @@ def test_candidates_against_difflib(spark):
     assert remediation.candidates(as_rows([]), as_rows(names)).count() == 0
 
 
+def test_candidates_of_whole_tables_against_difflib(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    sf = "/root/testdata/sf0.01"
+    names = {r[0].upper().replace(".", "_") for t, c in (("supplier", "s_name"), ("part", "p_name")) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c).distinct().collect()}
+    names = sorted(names) + ["", "A", "AB", "ABC", "ABCD", "ABCDE", "ABCDEF", "BCDEFG", "É", "ÉÈ"]
+    rng = random.Random(4)
+    wanted = sorted({n[:i] + rng.choice(["", "X", "0", n[i : i + 1] * 2]) + n[i + rng.randrange(3) :] for n in names for i in (rng.randrange(len(n) + 1),)} | {"", "AB", "BA", "XBCDE"})
+    as_rows = lambda ns, schema: spark.createDataFrame([(f"{schema}.{n}",) for n in ns] + [(None,)], "fqn string")
+    got = {(r["fqn"], r["candidate"], round(r["ratio"], 9)) for r in remediation.near_candidates(as_rows(wanted, "OLD"), as_rows(names, "DW")).collect()}
+    want = set()
+    for w in wanted:
+        near = sorted(((round(SequenceMatcher(None, n, w).ratio(), 9), n) for n in names if n and w), reverse=True)
+        want |= {(f"OLD.{w}", f"DW.{n}", r) for r, n in near[:3] if r >= 0.75}
+    assert sorted(got - want) == sorted(want - got) == [] and len(got) > 300
+
+
 def test_wedge_fills_and_costs(spark):
     quadrant = spark.createDataFrame([("a", 9, 1), ("b", 8, 3)], "fqn string, value int, risk int")
     names = spark.createDataFrame([(c,) for c in "abcdefghijklmn"], "fqn string")
