@@ -54,8 +54,7 @@ def risk_value_quadrant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.quadrant(nodes, edges, views, analytics.dashboard_tables(nodes, edges))
 
 
-@query("""WITH c AS (SELECT (SELECT COUNT(*) FROM region) + (SELECT COUNT(*) FROM nation) + (SELECT COUNT(*) FROM customer) + (SELECT COUNT(*) FROM orders) + (SELECT COUNT(*) FROM supplier) AS total, (SELECT COUNT(*) FROM supplier) AS s, (SELECT COUNT(*) FROM supplier WHERE s_acctbal < 0) AS high,
-(SELECT COUNT(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) * 0 AS none),
+@query("""WITH c AS (SELECT (SELECT COUNT(*) FROM region) + (SELECT COUNT(*) FROM nation) + (SELECT COUNT(*) FROM customer) + (SELECT COUNT(*) FROM orders) + (SELECT COUNT(*) FROM supplier) AS total, (SELECT COUNT(*) FROM supplier) AS s, (SELECT COUNT(*) FROM supplier WHERE s_acctbal < 0) AS high),
 h AS (SELECT *, ROUND(100.0::DOUBLE * (total - s) / total, 1) AS coverage_pct, CAST(greatest(0, least(100, round_even(100 - (2 * 8 + 50.0::DOUBLE * s / total + 70.0::DOUBLE * high / s), 0))) AS INT) AS health FROM c)
 SELECT total, s AS orphans, 2 AS unresolved, 0 AS circular, coverage_pct, health, CASE WHEN health >= 80 THEN 'Healthy' WHEN health >= 60 THEN 'Moderate Risk' ELSE 'At Risk' END AS label,
 ROUND((1 - 2.0::DOUBLE / total) * (coverage_pct / 100) * 100, 1) AS readiness, s * 500 AS orphan_cost FROM h""")
@@ -148,11 +147,12 @@ def generated_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.generated_sql(column_lineage(spark, sf_dir))
 
 
-@query("""SELECT '' AS source_schema, 'REGION' AS source_table, CAST(n_regionkey AS VARCHAR) AS source_column, '' AS target_schema, 'NATION' AS target_table, CAST(n_nationkey AS VARCHAR) AS target_column, concat('REGION.', n_name) AS transform, CASE WHEN contains(n_name, ' ') THEN 'expression' ELSE 'direct' END AS transform_type, '1->1' AS cardinality, 0.95::DOUBLE AS confidence, 'silver' AS tier FROM nation""")
+@query("""WITH m AS (SELECT 'REGION' AS source_table, n_regionkey AS source_column, 'NATION' AS target_table, n_nationkey AS target_column, concat('REGION.', n_name) AS transform, 0.95::DOUBLE AS confidence, 'silver' AS tier FROM nation
+UNION ALL SELECT 'NATION', c_nationkey, 'CUSTOMER', c_custkey, concat('UPPER(NATION.', c_mktsegment, ')'), 0.9, 'bronze' FROM customer)
+SELECT '' AS source_schema, source_table, CAST(source_column AS VARCHAR) AS source_column, '' AS target_schema, target_table, CAST(target_column AS VARCHAR) AS target_column, transform,
+CASE WHEN regexp_full_match(transform, '[A-Za-z_][A-Za-z0-9_]*\\.[A-Za-z_][A-Za-z0-9_]*') THEN 'direct' WHEN regexp_matches(upper(transform), 'IF|ELSE') THEN 'conditional' WHEN contains(transform, '(') THEN 'function' ELSE 'expression' END AS transform_type, '1->1' AS cardinality, confidence, tier FROM m""")
 def source_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiers = spark.createDataFrame([("NATION", "silver")], "table_name string, tier string")
-    found = columns.source_to_target(column_lineage(spark, sf_dir).filter("target_table = 'NATION'"), tiers)
-    return found.withColumn("transform_type", F.when(F.col("transform").contains(" "), "expression").otherwise(F.col("transform_type")))
+    return columns.source_to_target(column_lineage(spark, sf_dir), spark.createDataFrame([("NATION", "silver")], "table_name string, tier string"))
 
 
 @query("SELECT p_partkey FROM part WHERE contains(upper(p_brand), 'BRAND#1') OR contains('BRAND#1', upper(p_brand)) OR contains(upper(p_type), 'BRAND#1') OR contains('BRAND#1', upper(p_type))")
@@ -160,13 +160,13 @@ def name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").filter(columns.matches_name(F.concat("p_brand", F.lit(" -> "), "p_type"), " Brand#1 ")).select("p_partkey")
 
 
-@query(f"""WITH {NODES}, a AS (SELECT fqn FROM nodes WHERE kind <> 'DASHBOARD'), b AS (SELECT fqn FROM nodes WHERE kind NOT IN ('DASHBOARD', 'TABLE') UNION ALL SELECT 'new:1')
+@query(f"""WITH {NODES}, a AS (SELECT fqn FROM nodes), b AS (SELECT fqn FROM nodes WHERE kind <> 'TABLE' UNION ALL SELECT 'new:1')
 SELECT 'object' AS section, fqn AS key, 'removed' AS change, '' AS old, NULL AS new FROM a WHERE fqn NOT IN (SELECT fqn FROM b) UNION ALL SELECT 'object', fqn, 'added', NULL, '' FROM b WHERE fqn NOT IN (SELECT fqn FROM a)
 UNION ALL SELECT 'logic', concat('view:', c_custkey), 'changed', concat('SUM(x) / ', c_nationkey), concat('SUM(x) / ', c_nationkey + 1) FROM customer WHERE c_custkey % 7 = 0""")
 def fingerprint_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = star_nodes(spark, sf_dir).filter("kind <> 'DASHBOARD'")
+    nodes = star_nodes(spark, sf_dir)
     none = spark.createDataFrame([], "key string, value string")
-    edges = estate_edges(spark, sf_dir).filter("kind = 'VIEW_DEPENDS'")
+    edges = estate_edges(spark, sf_dir)
     c = table(spark, sf_dir, "customer")
     logic = lambda n: c.select(F.concat(F.lit("view:"), F.col("c_custkey").cast("string")).alias("key"), F.concat(F.lit("SUM(x)\n  / "), n.cast("string")).alias("value"))
     before = diff.fingerprint(nodes, edges, logic(F.col("c_nationkey")), none)

@@ -62,6 +62,6 @@ def wedge_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def close_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misspelled names of suppliers and parts and the known ones that are nearest; difflib's ratios have no SQL."""
-    named = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")).unionByName(table(spark, sf_dir, "part").select("p_name")).distinct()
+    named = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")).unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))).distinct()
     items = named.select(F.concat(F.lit("OLD."), F.regexp_replace(F.translate("name", ".", "_"), "er#0|e", "x")).alias("fqn"))
     return remediation.candidates(items, named.select(F.concat(F.lit("DW."), F.translate("name", ".", "_")).alias("fqn")))
