@@ -142,10 +142,10 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT concat('V_', s_nationkey) AS v, concat('MART.W_', s_nationkey) AS w, concat('DW.N_', s_nationkey) AS t, s_suppkey AS id, s_acctbal < 0 AS owes FROM supplier)
-SELECT v AS target_table, concat(CASE WHEN owes THEN 'D_' ELSE 'C_' END, id) AS target_column, t AS source_table, concat('C_', id) AS source_column, CASE WHEN owes THEN 0.9 ELSE 0.95 END AS confidence, CAST(NULL AS VARCHAR) AS reason FROM s
-UNION ALL SELECT w, concat('C_', id), v, concat('C_', id), 0.95, NULL FROM s WHERE NOT owes
-UNION ALL SELECT DISTINCT v, 'KIND', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.0, 'no source column: a literal or a constant' FROM s
-UNION ALL SELECT DISTINCT v, 'TOTAL', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.0, 'no source column: a literal or a constant' FROM s
-UNION ALL SELECT DISTINCT w, 'ONE', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.0, 'no source column: a literal or a constant' FROM s""")
+SELECT v AS target_table, concat(CASE WHEN owes THEN 'D_' ELSE 'C_' END, id) AS target_column, t AS source_table, concat('C_', id) AS source_column, CASE WHEN owes THEN 0.9::DOUBLE ELSE 0.95::DOUBLE END AS confidence, CAST(NULL AS VARCHAR) AS reason FROM s
+UNION ALL SELECT w, concat('C_', id), v, concat('C_', id), 0.95::DOUBLE, NULL FROM s WHERE NOT owes
+UNION ALL SELECT DISTINCT v, 'KIND', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.0::DOUBLE, 'no source column: a literal or a constant' FROM s
+UNION ALL SELECT DISTINCT v, 'TOTAL', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.0::DOUBLE, 'no source column: a literal or a constant' FROM s
+UNION ALL SELECT DISTINCT w, 'ONE', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.0::DOUBLE, 'no source column: a literal or a constant' FROM s""")
 def estate_column_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estate_lineage.of_estate(_definitions(spark, sf_dir)).drop("transform")
