@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import analytics, assurance, facts, lineage, marts, remediation, stages  # noqa: F401  each registers its queries
+from .plans import analytics, assurance, etl, facts, lineage, marts, remediation, stages  # noqa: F401  each registers its queries
 from .plans.registry import ORACLE, QUERIES  # noqa: F401
