@@ -59,6 +59,53 @@ def epsilon_missing(a: DataFrame, b: DataFrame, keys: list[str], t: Tolerances =
     return left.join(right, on, "left_anti").select(*[F.col(f"l_{c}").alias(c) for c in a.columns])
 
 
+def near_missing(a: DataFrame, b: DataFrame, t: Tolerances = Tolerances()) -> DataFrame:
+    """Rows of a for which b has no row with all columns within tolerance, without any key; nulls equal nulls.
+
+    Columns are those that both have and no mask hides; with none of them nothing is missing if b has rows. Numeric and
+    temporal ones with a tolerance put rows into cells, and only near cells are compared, by a join on equal cells. With
+    one such column a cell is its least and largest value alone, so that no pairs arise however many rows share a cell;
+    with more, rows of neighbouring cells of the first two columns are compared, each distinct row of b once. NaN and
+    infinite values are near nothing.
+    """
+    kinds = {f.name: f.dataType for f in a.schema.fields}
+    theirs = {c.lower(): c for c in b.columns}
+    names = compared_columns(a, b, t.masked)
+    temporal = lambda c: isinstance(kinds[c], (T.TimestampType, T.TimestampNTZType))
+    width = {c: float(t.temporal_seconds if temporal(c) else t.numeric_epsilon) for c in names if temporal(c) or isinstance(kinds[c], T.NumericType)}
+    loose = [c for c in names if width.get(c, 0.0) > 0]
+    exact = [c for c in names if c not in loose]
+    number = lambda x, c: F.unix_micros(x.cast("timestamp")) / 1_000_000 if temporal(c) else x
+    keep = {c: f"l{i}" for i, c in enumerate(a.columns)}
+    left = a.select(*[F.col(c).alias(keep[c]) for c in a.columns], *[_comparable(c, kinds[c], t).alias(f"x{i}") for i, c in enumerate(exact)], *[number(F.col(c), c).alias(f"v{i}") for i, c in enumerate(loose)])
+    right = b.select(*[F.col(theirs[c.lower()]).cast(kinds[c]).alias(c) for c in names]).select(*[_comparable(c, kinds[c], t).alias(f"y{i}") for i, c in enumerate(exact)], *[number(F.col(c), c).alias(f"w{i}") for i, c in enumerate(loose)]).distinct()
+    finite = lambda x: x.isNull() | (F.abs(x.cast("double")) < float("inf"))
+    for i in range(len(loose)):
+        right = right.filter(finite(F.col(f"w{i}")))
+    on = [F.col(f"x{i}").eqNullSafe(F.col(f"y{i}")) for i in range(len(exact))]
+    probed = loose[:2]
+    # One column: cells half as wide as the tolerance, so that all of a cell is near to all of it. Else pairs are compared.
+    part, span = (2, 3) if len(loose) == 1 else (1, 2)
+    cell = lambda x, c: F.rint(x.cast("double") * part / width[c])
+    near = lambda x, y, c: F.abs(x - y) <= width[c]
+    if len(loose) == 1:
+        right = right.groupBy(*[f"y{i}" for i in range(len(exact))], cell(F.col("w0"), loose[0]).alias("d0")).agg(F.min("w0").alias("low"), F.max("w0").alias("high"))
+    else:
+        right = right.withColumns({f"d{i}": cell(F.col(f"w{i}"), c) for i, c in enumerate(probed)}) if probed else right
+    for i, c in enumerate(probed):
+        left = left.withColumn(f"c{i}", cell(F.col(f"v{i}"), c))
+        around = F.array(*[F.col(f"d{i}") + float(s) for s in range(-span, span + 1)])
+        right = right.withColumn(f"d{i}", F.explode(F.array_distinct(around)))  # a null has one cell, its own
+        on.append(F.col(f"c{i}").eqNullSafe(F.col(f"d{i}")))
+    if len(loose) == 1:
+        on.append(F.col("v0").isNull() | near(F.col("v0"), F.col("low"), loose[0]) | near(F.col("v0"), F.col("high"), loose[0]))
+    else:
+        on += [near(F.col(f"v{i}"), F.col(f"w{i}"), c) | (F.col(f"v{i}").isNull() & F.col(f"w{i}").isNull()) for i, c in enumerate(loose)]
+    if not names:
+        left, right, on = left.withColumn("c0", F.lit(1)), right.select(F.lit(1).alias("d0")).distinct(), [F.col("c0") == F.col("d0")]
+    return left.join(right, on, "left_anti").select(*[F.col(keep[c]).alias(c) for c in a.columns])
+
+
 def except_both(a: DataFrame, b: DataFrame, t: Tolerances = Tolerances(), decimals: int = 2) -> DataFrame:
     """One row: distinct rows only in a, only in b, and the larger of the two; texts and doubles made comparable."""
     columns = compared_columns(a, b, t.masked)

@@ -41,6 +41,63 @@ def blast_radius(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     return closure(edges, roots).filter("node <> root").groupBy("root").agg(F.count("*").alias("reached"), F.max("hops").cast("long").alias("depth"))
 
 
+def _gathered(edges: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each node (own: node, weight, itself) has below it, from nodes without successors upward, and edges that remain.
+
+    Rows are (node, weight, below, shared, sketch): below sums the weights on all ways down, so that a node counts twice
+    where two ways lead to it; shared says that one may. sketch joins the sketches `itself` of a node and of those below.
+    Edges on or before a cycle remain.
+    """
+    ways = edges.groupBy(F.col("dst").alias("node")).agg((F.count("*") > 1).alias("many"))
+    own = cut(own.join(ways, "node", "left").withColumn("many", F.coalesce("many", F.lit(False))))
+    fresh = cut(own.join(edges.select(F.col("src").alias("node")), "node", "left_anti").select("node", "weight", "many", F.lit(0).cast("long").alias("below"), F.lit(False).alias("shared"), F.col("itself").alias("sketch")))
+    left = cut(edges.select("src", "dst", F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("twice"), F.lit(None).cast("binary").alias("s")))
+    found, rounds = fresh, 0
+    while not fresh.isEmpty() and not left.isEmpty():
+        rounds += 1
+        told = fresh.select(F.col("node").alias("dst"), (F.col("below") + F.col("weight")).alias("_n"), (F.col("shared") | F.col("many")).alias("_twice"), F.col("sketch").alias("_s"))
+        known = cut(left.join(told, "dst", "left").select("src", "dst", F.coalesce("n", "_n").alias("n"), F.coalesce("twice", "_twice").alias("twice"), F.coalesce("s", "_s").alias("s")))
+        ready = known.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("all"), F.count("n").alias("known"), F.sum("n").alias("below"), F.bool_or("twice").alias("shared"), F.hll_union_agg("s").alias("s")).filter("known = all").join(own, "node")
+        fresh = cut(ready.select("node", "weight", "many", "below", "shared", F.hll_union("s", "itself").alias("sketch")))
+        rest = cut(known.join(fresh.select(F.col("node").alias("src")), "src", "left_anti"))
+        drop(left, known)
+        left, found = rest, found.unionByName(fresh)
+        if rounds % 16 == 0:
+            found = cut(found)
+    return found, left
+
+
+def reach_sizes(edges: DataFrame, lg_k: int | None = None) -> DataFrame:
+    """(root, reached): how many other nodes each node with successors reaches, without telling which.
+
+    Sizes go up from the nodes without successors, a row a node, strong components as one node: where no two ways lead to
+    a node they add up, and only nodes with such ones below them are told by closure(). With lg_k (4 to 21) these are
+    estimates instead, from HLL sketches of 2^lg_k cells with a relative standard error of about 1 / sqrt(2^lg_k), and
+    no pairs arise. Edges without an end take no part.
+    """
+    steps = cut(edges.select("src", "dst").filter("src is not null and dst is not null and src <> dst").distinct())
+    nodes = steps.select(F.col("src").alias("node")).union(steps.select("dst")).distinct()
+    ids = F.hll_sketch_agg("node", lg_k) if lg_k else F.lit(None).cast("binary")
+    members = nodes.withColumn("at", F.col("node"))
+    sized = lambda m: m.groupBy("at").agg(F.count("*").alias("weight"), ids.alias("itself")).withColumnRenamed("at", "node")
+    found, left = _gathered(steps, sized(members))
+    if not left.isEmpty():
+        within = cut(cycle_members(left.select("src", "dst")))
+        members = cut(nodes.join(within, "node", "left").select("node", F.coalesce("component", "node").alias("at")))
+        for end in ("src", "dst"):
+            steps = steps.join(members.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("at", end)
+        steps = cut(steps.filter("src <> dst").distinct())
+        found, _ = _gathered(steps, sized(members))
+    if lg_k:
+        sizes = found.select("node", "weight", F.when(F.col("shared"), F.greatest(F.hll_sketch_estimate("sketch") - F.col("weight"), F.lit(1))).otherwise(F.col("below")).alias("below"))
+    else:
+        found = cut(found)
+        shared = found.filter("shared").select(F.col("node").alias("root"))
+        told = closure(steps, shared).join(found.select("node", F.col("weight").alias("w")), "node").groupBy(F.col("root").alias("node")).agg(F.sum("w").alias("told")) if not shared.isEmpty() else shared.select(F.col("root").alias("node"), F.lit(0).cast("long").alias("told"))
+        sizes = found.join(told, "node", "left").select("node", "weight", F.coalesce("told", "below").alias("below"))
+    return members.join(sizes.withColumnRenamed("node", "at"), "at").select(F.col("node").alias("root"), (F.col("below") + F.col("weight") - 1).cast("long").alias("reached")).filter("reached > 0")
+
+
 def blast_parents(edges: DataFrame, root: str) -> DataFrame:
     """(node, hops, via): what a change of root reaches; via is the smallest node that reaches it in the least hops."""
     steps = edges.select("src", "dst").distinct()

@@ -28,6 +28,15 @@ def epsilon_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.epsilon_missing(a, b, ["o_orderkey", "o_custkey"])
 
 
+@query("""WITH a AS (SELECT o_orderpriority, o_totalprice FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT lower(o_orderpriority) AS p, o_totalprice + 0.004 AS v FROM orders WHERE o_orderkey % 3 = 0)
+SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE lower(a.o_orderpriority) = b.p AND abs(a.o_totalprice - b.v) <= 0.5)""")
+def near_missing_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of every other order for which those of every third have none of the same priority within 0.5; no keys."""
+    o = _orders(spark, sf_dir)
+    a, b = o.filter("o_orderkey % 2 = 0").select("o_orderpriority", "o_totalprice"), o.filter("o_orderkey % 3 = 0").select(F.lower("o_orderpriority").alias("o_orderpriority"), (F.col("o_totalprice") + F.lit(0.004)).alias("o_totalprice"))
+    return diff.near_missing(a, b, diff.Tolerances(numeric_epsilon=0.5))
+
+
 @query("""WITH a AS (SELECT lower(c_name) AS n, c_nationkey FROM customer WHERE c_acctbal > 0), b AS (SELECT lower(upper(c_name)) AS n, c_nationkey FROM customer WHERE c_acctbal < 9000),
 x AS (SELECT COUNT(*) AS only_source FROM (SELECT * FROM a EXCEPT SELECT * FROM b)), y AS (SELECT COUNT(*) AS only_target FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) SELECT only_source, only_target, greatest(only_source, only_target) AS mismatched FROM x CROSS JOIN y""")
 def except_diff_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,21 @@ def blast_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {EDGES}, {CLOSURE}, sizes AS (SELECT COUNT(DISTINCT node) AS v FROM reach GROUP BY root), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM sizes)
 SELECT MAX(CASE WHEN i = CAST(floor(n * 0.5) AS BIGINT) THEN v END) AS p50, MAX(CASE WHEN i = CAST(floor(n * 0.9) AS BIGINT) THEN v END) AS p90, MAX(v) AS largest, ROUND(CAST(SUM(v) AS DOUBLE) / COUNT(*), 4) AS mean FROM o""")
 def closure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.index_percentiles(graph.blast_radius(star_edges(spark, sf_dir)), "reached")
+    return graph.index_percentiles(graph.reach_sizes(star_edges(spark, sf_dir)), "reached")
+
+
+def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ownership graph, with suppliers below their nation and below one of the regions."""
+    s = table(spark, sf_dir, "supplier")
+    below = lambda up: s.select(up.alias("src"), _node("supplier", "s_suppkey").alias("dst"))
+    home = below(_node("nation", "s_nationkey"))
+    return star_edges(spark, sf_dir).select("src", "dst").unionByName(home).unionByName(below(F.concat(F.lit("region:"), (F.col("s_suppkey") % 5).cast("string"))))
+
+
+@query(f"""WITH RECURSIVE {EDGES.replace("edges AS", "star AS")}, edges AS (SELECT * FROM star UNION ALL SELECT concat('nation:', s_nationkey), concat('supplier:', s_suppkey) FROM supplier UNION ALL SELECT concat('region:', s_suppkey % 5), concat('supplier:', s_suppkey) FROM supplier),
+{CLOSURE} SELECT root, COUNT(DISTINCT node) AS reached FROM reach GROUP BY root""")
+def reach_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reach_sizes(supply_edges(spark, sf_dir))
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
