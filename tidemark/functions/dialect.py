@@ -138,8 +138,9 @@ REWRITES = [
     (r"\bNVL\s*\(", "coalesce("),
     (r"\bISNULL\s*\((?=[^()]*(?:\([^()]*\)[^()]*)*,)", "coalesce("),
     (r"\bIIF\s*\(", "if("),
-    (r"\bDATEDIFF\s*\(\s*DAY\s*,\s*([^,()]+),\s*([^,()]+)\)", r"datediff(\2, \1)"),
-    (r"\bDATEDIFF\s*\(\s*MONTH\s*,\s*([^,()]+),\s*([^,()]+)\)", r"((year(\2) * 12 + month(\2)) - (year(\1) * 12 + month(\1)))"),
+    (r"\bDATEDIFF\s*\(\s*DAY\s*,\s*([^,()]+(?:\(\))?\s*),\s*([^,()]+(?:\(\))?\s*)\)", r"datediff(\2, \1)"),
+    (r"\bDATEDIFF\s*\(\s*MONTH\s*,\s*([^,()]+(?:\(\))?\s*),\s*([^,()]+(?:\(\))?\s*)\)", r"((year(\2) * 12 + month(\2)) - (year(\1) * 12 + month(\1)))"),
+    (r"\bDATEDIFF\s*\(\s*YEAR\s*,\s*([^,()]+(?:\(\))?\s*),\s*([^,()]+(?:\(\))?\s*)\)", r"(year(\2) - year(\1))"),
     (r"\bDATEADD\s*\(\s*DAY\s*,\s*([^,()]+),\s*([^,()]+)\)", r"date_add(\2, \1)"),
     (r"\bDATEADD\s*\(\s*MONTH\s*,\s*([^,()]+),\s*([^,()]+)\)", r"add_months(\2, \1)"),
     (r"\bWITH\s*\(\s*NOLOCK\s*\)", ""),

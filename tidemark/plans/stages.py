@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import computed
 from ..functions.dialect import money
 from ..operators import stages
+from ..sources import estate
 from .registry import query, table
 
 
@@ -73,3 +75,13 @@ def surrogate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     existing = table(spark, sf_dir, "orders").filter("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
     return stages.insert_new(table(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_custkey"), existing, ["c_custkey"])
+
+
+@query("""WITH a AS (SELECT *, CASE WHEN l_quantity > 25 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS rate, l_quantity * l_extendedprice AS net FROM lineitem), b AS (SELECT *, net * (1 + rate) AS gross FROM a)
+SELECT l_orderkey, l_linenumber, rate, net, gross, CASE WHEN gross > 100000 THEN 'large' ELSE concat('small ', l_linenumber) END AS label FROM b""")
+def computed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the columns that a table's definition computes, which name each other in no order."""
+    ddl = "CREATE TABLE DW.LINES (label AS (CASE WHEN GROSS > 100000 THEN 'large' ELSE concat('small ', l_linenumber) END), gross AS ([net] * (1 + rate)), net AS (l_quantity * l_extendedprice), rate AS (CASE WHEN l_quantity > 25 THEN 0.5D ELSE 0.25D END))"
+    columns = estate.tables(spark.createDataFrame([("lines.sql", ddl)], "path string, text string"))
+    rows = computed.with_computed(table(spark, sf_dir, "lineitem"), computed.definitions_of(columns, "DW.LINES"))
+    return rows.select("l_orderkey", "l_linenumber", "rate", "net", "gross", "label")

@@ -123,9 +123,10 @@ def tables(texts: DataFrame) -> DataFrame:
     parts = found.select("path", fqn(name).alias("fqn"), F.posexplode(_split_items(after)).alias("ordinal", "c"))
     c = F.trim(F.regexp_replace("c", r"\s+", " "))
     rows = parts.withColumn("c", c).filter(~F.col("c").rlike(r"(?i)^(CONSTRAINT|PRIMARY KEY|FOREIGN KEY|UNIQUE|CHECK|INDEX)\b") & (F.col("c") != ""))
-    computed = F.regexp_extract("c", r"(?is)^\S+\s+AS\s*\((.*)\)", 1)
-    kind = F.upper(F.regexp_extract("c", r"^\S+\s+(\w+(?:\s*\([^)]*\))?)", 1))
-    return rows.select("path", "fqn", "ordinal", F.regexp_replace(F.regexp_extract("c", r"^(\S+)", 1), r"[\[\]\"]", "").alias("name"), F.when(computed == "", kind).alias("data_type"), (~F.col("c").rlike(r"(?i)NOT NULL|PRIMARY KEY")).alias("nullable"), F.col("c").rlike(r"(?i)PRIMARY KEY").alias("pk"), F.nullif(computed, F.lit("")).alias("computed"))
+    called = r"(?:\[[^\]]*\]|\"[^\"]*\"|\S+)"  # a name in brackets or quotes may have spaces
+    computed = F.regexp_extract("c", rf"(?is)^{called}\s+AS\s*\((.*)\)", 1)
+    kind = F.upper(F.regexp_extract("c", rf"^{called}\s+(\w+(?:\s*\([^)]*\))?)", 1))
+    return rows.select("path", "fqn", "ordinal", F.regexp_replace(F.regexp_extract("c", rf"^({called})", 1), r"[\[\]\"]", "").alias("name"), F.when(computed == "", kind).alias("data_type"), (~F.col("c").rlike(r"(?i)NOT NULL|PRIMARY KEY")).alias("nullable"), F.col("c").rlike(r"(?i)PRIMARY KEY").alias("pk"), F.nullif(computed, F.lit("")).alias("computed"))
 
 
 #: Schemas and tables of the database systems themselves, and endings of file names.
