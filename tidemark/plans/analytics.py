@@ -208,6 +208,12 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return velocity.sessions(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("began"), "user_id", "n")
 
 
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events), r AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g)
+SELECT user_id, event_id, COUNT(*) OVER w AS n, CAST(SUM(CAST(value AS DECIMAL(18,4))) OVER w AS DOUBLE) AS total FROM r WINDOW w AS (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""")
+def last_24_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return velocity.last_events(table(spark, sf_dir, "events"), idle_seconds=6 * 3600)
+
+
 @query("""SELECT c_custkey AS id, concat('DW.', n_name) AS fqn FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def named_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
