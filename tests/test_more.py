@@ -155,6 +155,12 @@ def test_questions(spark):
     assert said == {1: (False, "impact"), 2: (False, "vague"), 3: (False, "vague"), 4: (True, "vague"), 5: (False, "vague")}
 
 
+def test_ways_of_asking(spark):
+    texts = {"what feeds DW.X": "lineage", "Which views read it": "lineage", "what depends on DW.X": "impact", "What should we migrate first, downstream": "wedge", "most depended on tables": "hot", "the riskiest one": "complex", "dead code?": "orphan", "hello": "vague"}
+    asked = spark.createDataFrame(list(texts.items()), "text string, want string")
+    assert asked.filter(retrieval.intent(F.col("text"))["intent"] != F.col("want")).isEmpty()
+
+
 def test_sliding_windows_and_sessions(spark):
     at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
     events = spark.createDataFrame([(1, at(0), 1.0), (1, at(0, 20), 2.0), (1, at(2), 4.0)], "user_id int, ts timestamp_ntz, value double")

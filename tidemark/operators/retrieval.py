@@ -65,7 +65,14 @@ ORACLE = _oracle()
 
 #: Questions that aren't answered, and words that tell an intent with its confidence, in this order.
 REFUSED = ("ceo.*favorite", "password", "private key", "pii", "encryption key", "secret", "unicorn_fact", "predict.*revenue", "highest paid", "hr schema", "snowflake.*private")
-INTENTS = (("impact", ("what breaks", "impact", "blast radius", "downstream", "breaks if"), 0.95), ("lineage", ("lineage", "upstream", "where does", "comes from"), 0.9), ("orphan", ("orphan", "unused", "dead code", "never read"), 0.9), ("hot", ("hot", "most depended", "fan-in"), 0.9), ("complex", ("complex", "riskiest", "highest complexity"), 0.9), ("cycle", ("circular", "cycle"), 0.9), ("wedge", ("migrate first", "wedge", "start with"), 0.85))
+INTENTS = (
+    ("wedge", ("recommend", "wedge", "migrate first", "should we migrate"), 0.85),
+    ("impact", ("what breaks", "impact", "blast radius", "downstream", "if i drop", "if i change", "depends on", "what depends"), 0.9),
+    ("lineage", ("feeds", "upstream", "lineage", "what feeds", "which tables does", "what does", "which views", "which dashboards"), 0.9),
+    ("orphan", ("orphan", "unused", "dead code"), 0.9),
+    ("hot", ("hot", "most depended"), 0.9),
+    ("complex", ("complex", "riskiest"), 0.9),
+)
 
 
 def refused(question: Column) -> Column:
