@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import remediation
+from ..operators import overrides, remediation
 from .registry import query, table
 
 SCHEMAS = "CASE s_nationkey % 5 WHEN 0 THEN 'ERP' WHEN 1 THEN 'DW_AUDIT' WHEN 2 THEN 'BI' ELSE 'DW' END"
@@ -65,3 +65,27 @@ def close_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")).unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))).distinct()
     items = named.select(F.concat(F.lit("OLD."), F.regexp_replace(F.translate("name", ".", "_"), "er#0|e", "x")).alias("fqn"))
     return remediation.candidates(items, named.select(F.concat(F.lit("DW."), F.translate("name", ".", "_")).alias("fqn")))
+
+
+#: Decisions over customers' names: a third move to another name, some are stubs; their order is that of a shuffled key.
+_MOVED = "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat('C', (c_custkey * 7 + c_nationkey) % 1000) END"
+_DECIDED = f"SELECT concat('C', c_custkey % 1000) AS subject, CASE WHEN c_custkey % 5 = 0 THEN 'stub' ELSE 'alias' END AS kind, {_MOVED} AS target, c_custkey * 37 % 10007 * 1000000 + c_custkey AS seq FROM customer WHERE c_custkey % 3 = 0"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT subject, kind, coalesce(target, subject) AS t, row_number() OVER (ORDER BY seq) AS pos FROM ({_DECIDED})),
+made AS (SELECT fqn, MIN(made) AS made FROM (SELECT concat('C', c_custkey % 1000) AS fqn, 0 AS made FROM customer WHERE c_acctbal > 0 UNION ALL SELECT t, pos FROM o WHERE kind = 'stub') GROUP BY fqn),
+good AS (SELECT o.* FROM o JOIN made ON made.fqn = o.t WHERE kind = 'stub' OR made < pos), m AS (SELECT pos, subject AS f, t FROM good WHERE subject <> t),
+nx AS (SELECT a.pos, a.t, MIN(b.pos) AS n FROM m a LEFT JOIN m b ON b.f = a.t AND b.pos > a.pos GROUP BY a.pos, a.t),
+e AS (SELECT DISTINCT concat('C', o_custkey % 1000) AS src, o_orderpriority AS dst, o_orderstatus = 'O' AS u FROM orders),
+s AS (SELECT x.src, MIN(m.pos) AS n FROM (SELECT DISTINCT src FROM e) x LEFT JOIN m ON m.f = x.src GROUP BY x.src),
+w AS (SELECT src, src AS name, 0 AS since, n FROM s UNION ALL SELECT w.src, nx.t, nx.pos, nx.n FROM w JOIN nx ON nx.pos = w.n),
+f AS (SELECT src, arg_max(name, since) AS final, bool_or(since > 0 OR EXISTS (SELECT 1 FROM good g WHERE (g.kind = 'stub' OR g.subject = g.t AND g.kind = 'alias') AND g.t = w.name AND g.pos >= w.since AND (w.n IS NULL OR g.pos < w.n))) AS touched FROM w GROUP BY src)
+SELECT final AS src, dst, CAST(MAX(CASE WHEN u AND NOT touched THEN 0.5 ELSE 1.0 END) AS DOUBLE) AS confidence, MIN(CASE WHEN u AND NOT touched THEN 1 ELSE 0 END) = 1 AS unresolved FROM e JOIN f USING (src) GROUP BY final, dst""")
+def override_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' edges after decisions on customers' names, one after the other: names move on, back, and into stubs."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    decided = spark.sql(_DECIDED.replace("customer", "{customer}"), customer=customers).withColumn("sources", F.lit(None).cast("array<string>"))
+    nodes = customers.filter("c_acctbal > 0").select(F.concat(F.lit("C"), F.col("c_custkey") % 1000).alias("fqn"), F.lit("TABLE").alias("kind")).distinct()
+    loose = F.col("o_orderstatus") == "O"
+    edges = orders.select(F.concat(F.lit("C"), F.col("o_custkey") % 1000).alias("src"), F.col("o_orderpriority").alias("dst"), F.lit("OWNS").alias("kind"), F.when(loose, 0.5).otherwise(1.0).alias("confidence"), loose.alias("unresolved"))
+    return overrides.replay(nodes, edges, decided).edges.select("src", "dst", "confidence", "unresolved")
