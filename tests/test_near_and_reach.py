@@ -55,6 +55,56 @@ def test_near_rows_need_no_pairs(spark):
     assert found.count() == 0
 
 
+def served(xs, ys, near_by):
+    """How many of xs can have a y of their own, by augmenting paths."""
+    owner = {}
+
+    def place(i, seen):
+        for j, y in enumerate(ys):
+            if j not in seen and near_by(xs[i], y):
+                seen.add(j)
+                if j not in owner or place(owner[j], seen):
+                    owner[j] = i
+                    return True
+        return False
+
+    return sum(place(i, set()) for i in range(len(xs)))
+
+
+@pytest.mark.parametrize("schema,eps", [("s string, v double", 0.125), ("v double", 0.125), ("s string, v decimal(9,2)", 0.01), ("s string, n long", 2), ("s string", 0.5)])
+def test_matching_once_serves_as_many_as_can_be(spark, schema, eps):
+    from decimal import Decimal
+
+    random.seed(len(schema))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    kinds = [c.split()[1] for c in schema.split(", ")]
+    made = {"string": lambda: random.choice(["a", "A", "b", None]), "double": lambda: random.choice([None, float("inf"), float("nan")]) if random.random() < 0.1 else random.randrange(60) / 16, "decimal(9,2)": lambda: Decimal(random.randrange(40)).scaleb(-2), "long": lambda: random.randrange(60)}
+    sides = [[tuple(made[k]() for k in kinds) for _ in range(n)] for n in (120, 90)]
+    by = lambda p, q: all((x is None) == (y is None) and (x is None or (x.lower() == y.lower() if isinstance(x, str) else abs(x - y) <= (Decimal(str(eps)) if isinstance(x, Decimal) else eps))) for x, y in zip(p, q))
+    a, b = (spark.createDataFrame(rows, schema) for rows in sides)
+    got = diff.unmatched_once(a, b, diff.Tolerances(numeric_epsilon=eps)).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["missing"] for r in got) == len(sides[0]) - served(*sides, by)
+    # Rows that are told have been there so often, and the others can be served all together.
+    left, out = [], {str(tuple(r)[:-1]): r["missing"] for r in got}
+    for row in sides[0]:
+        key = str(tuple(x.lower() if isinstance(x, str) else x for x in row))
+        if out.get(key, 0):
+            out[key] -= 1
+        else:
+            left.append(row)
+    assert not any(out.values()) and served(left, sides[1], by) == len(left)
+
+
+def test_matching_once_of_times_and_nothing(spark):
+    a = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS at UNION ALL SELECT timestamp'2024-01-01 00:00:00' UNION ALL SELECT timestamp'2024-01-01 00:00:09'")
+    b = spark.sql("SELECT timestamp'2024-01-01 00:00:01' AS at")
+    assert sorted(r["missing"] for r in diff.unmatched_once(a, b).collect()) == [1, 1]
+    assert diff.unmatched_once(a.limit(0), b).count() == 0 and sum(r["missing"] for r in diff.unmatched_once(a, b.limit(0)).collect()) == 3
+    with pytest.raises(ValueError):
+        diff.unmatched_once(spark.sql("SELECT 1 AS x, 2 AS y"), spark.sql("SELECT 1 AS x, 2 AS y"))
+
+
 def reached(pairs):
     ahead = {}
     for s, d in pairs:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scratch import cut
+
 
 @dataclass(frozen=True)
 class Tolerances:
@@ -106,6 +109,113 @@ def near_missing(a: DataFrame, b: DataFrame, t: Tolerances = Tolerances()) -> Da
     return left.join(right, on, "left_anti").select(*[F.col(keep[c]).alias(c) for c in a.columns])
 
 
+def _ranged(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows sorted over range partitions, with the partition as `_part`; distinct ones spread whatever their keys."""
+    return cut(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def _running(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """rows with the sum of value up to each, within its keys, in the order; no key's rows go to one task."""
+    placed = _ranged(rows, keys, order)
+    here = F.sum(value).over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    parts = placed.groupBy("_part", *keys).agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_{k}") for k in keys], before.alias("_before"))
+    same = [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]]
+    return placed.withColumn("_here", here).join(offsets, same).withColumn(out, F.col("_here") + F.col("_before")).drop("_part", "_p", "_here", "_before", *[f"_{k}" for k in keys])
+
+
+def unmatched_once(a: DataFrame, b: DataFrame, t: Tolerances = Tolerances()) -> DataFrame:
+    """Distinct rows of a, as compared, with the number `missing` of them that find no near row of b of their own.
+
+    Each row of b serves one row of a, and as many as possible are served: from the least value up, each takes the least
+    free one that is near. Columns are those that both have and no mask hides; all must be equal (nulls too) but one
+    numeric or temporal one with a tolerance, whose value, null for null, may be less or more by it: limits are values
+    minus and plus the tolerance, exact for decimals. More than one such column is a ValueError: no order of rows tells
+    their matching. NaN and infinite values are near nothing.
+
+    How many of b's rows, in order, are used after a value is min(max(used, those too small) + rows, those not too
+    large). Such steps make one such step together, so that each range of values is first summed up to one step, then
+    gone through from where the ones before it end; neither a key nor a value is a task of its own.
+    """
+    kinds = {f.name: f.dataType for f in a.schema.fields}
+    theirs = {c.lower(): c for c in b.columns}
+    names = compared_columns(a, b, t.masked)
+    temporal = lambda c: isinstance(kinds[c], (T.TimestampType, T.TimestampNTZType))
+    width = {c: t.temporal_seconds if temporal(c) else t.numeric_epsilon for c in names if temporal(c) or isinstance(kinds[c], T.NumericType)}
+    loose = [c for c in names if width.get(c, 0) > 0]
+    if len(loose) > 1:
+        raise ValueError(f"more than one column has a tolerance: {', '.join(loose)}")
+    exact = [c for c in names if c not in loose]
+    keys = [f"k{i}" for i in range(len(exact))]
+
+    def side(df: DataFrame, column, n: str) -> DataFrame:
+        held = df.select(*[column(c).alias(c) for c in names]) if names else df.select(F.lit(1).alias("one"))
+        made = held.select(*[_comparable(c, kinds[c], t).alias(k) for c, k in zip(exact, keys)], (F.col(loose[0]) if loose else F.lit(None).cast("double")).alias("v"))
+        return made.groupBy(*keys, "v").agg(F.count("*").alias(n))
+
+    mine, other = side(a, F.col, "n"), side(b, lambda c: F.col(theirs[c.lower()]).cast(kinds[c]), "m")
+    told = lambda df: df.select(*[F.col(k).alias(c) for c, k in zip(exact, keys)], *[F.col("v").alias(c) for c in loose], F.col("missing").cast("long").alias("missing")).filter("missing > 0")
+    finite = F.lit(True) if not loose or not isinstance(kinds[loose[0]], (T.DoubleType, T.FloatType)) else F.abs("v") < float("inf")
+    # Equal values alone: rows without a number to be near to, and with none that is finite.
+    same = [mine[k].eqNullSafe(other[k]) for k in [*keys, "v"]]
+    nulls = mine.join(other, same, "left").filter(mine["v"].isNull()).select(*[mine[k] for k in [*keys, "v"]], F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0)).alias("missing"))
+    if not loose:
+        return told(nulls)
+    odd = mine.filter(~finite).withColumn("missing", F.col("n"))
+    c = loose[0]
+    if temporal(c):
+        moved = lambda sign: F.timestamp_micros(F.unix_micros(F.col("v").cast("timestamp")) + F.lit(int(sign * width[c] * 1_000_000)))
+        value = F.col("v").cast("timestamp")
+    elif isinstance(kinds[c], T.DecimalType):
+        wide = f"decimal(38,{max(kinds[c].scale, 18 - min(kinds[c].precision - kinds[c].scale, 18))})"
+        moved = lambda sign: (F.col("v").cast(wide) + F.lit(sign * Decimal(str(width[c]))).cast(wide)).cast(wide)
+        value = F.col("v").cast(wide)
+    else:
+        moved = lambda sign: F.col("v").cast("double") + F.lit(float(sign * width[c]))
+        value = F.col("v").cast("double")
+    mine = cut(mine.filter(F.col("v").isNotNull() & finite))
+    limit = lambda sign, turn: mine.select(*keys, "v", moved(sign).alias("at"), F.lit(turn).alias("turn"), F.lit(0).cast("long").alias("m"))
+    free = other.filter(F.col("v").isNotNull() & finite).select(*keys, F.lit(None).cast(kinds[c]).alias("v"), value.alias("at"), F.lit(1).alias("turn"), "m")
+    counted = _running(limit(-1, 0).unionByName(limit(1, 2)).unionByName(free), keys, ["at", "turn", "v"], "m", "upto").filter("turn <> 1")
+    bounds = counted.groupBy(*keys, "v").agg(F.max(F.when(F.col("turn") == 0, F.col("upto"))).alias("low"), F.max(F.when(F.col("turn") == 2, F.col("upto"))).alias("high"))
+    on = [mine[k].eqNullSafe(bounds[k]) for k in [*keys, "v"]]
+    steps = _ranged(mine.join(bounds, on).select(*[mine[k] for k in [*keys, "v"]], "n", "low", "high"), keys, ["v"])
+    # Of each range and key one step: low, n and high of min(max(used, low) + n, high).
+    steps = steps.withColumn("key", F.struct(*keys) if keys else F.lit(1)).withColumn("key", F.to_json(F.struct("key"), {"ignoreNullFields": "false"}))
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, own in rows.sort_values("v").groupby("key", sort=False):
+            low, n, high = 0, 0, 2**62
+            for x, c, y in zip(own["low"], own["n"], own["high"]):
+                # min(max(min(max(u, low) + n, high), x) + c, y): the lower limit rises where x binds, within the upper one.
+                high = min(max(high, x) + c, y)
+                low, n = max(low, x - n), n + c
+            out.append((int(rows["_part"].iloc[0]), key, low, n, high))
+        return pd.DataFrame(out, columns=["_part", "key", "low", "n", "high"])
+
+    narrow = steps.select("_part", "key", F.col("v"), "n", "low", "high")
+    parts = cut(narrow.groupBy("_part").applyInPandas(whole, "_part int, key string, low long, n long, high long"))
+    used = lambda u, s: F.least(F.greatest(u, s["low"]) + s["n"], s["high"])
+    before = F.array_sort(F.collect_list(F.struct("_part", "low", "n", "high")).over(Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    starts = parts.select(F.col("_part").alias("_p"), F.col("key").alias("_k"), F.aggregate(before, F.lit(0).cast("long"), used).alias("used"))
+    begun = steps.join(starts, (F.col("_part") == F.col("_p")) & (F.col("key") == F.col("_k"))).drop("_p", "_k")
+
+    def through(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("v")
+        missing, at = [], {}
+        for key, n, x, y, start in zip(rows["key"], rows["n"], rows["low"], rows["high"], rows["used"]):
+            begin = max(at.get(key, start), x)
+            at[key] = min(begin + n, y)
+            missing.append(n - (at[key] - begin))
+        return rows[[*keys, "v"]].assign(missing=missing)
+
+    schema = T.StructType([*[begun.schema[k] for k in keys], T.StructField("v", kinds[c]), T.StructField("missing", T.LongType())])
+    found = begun.select("_part", "key", *keys, "v", "n", "low", "high", "used").groupBy("_part").applyInPandas(through, schema)
+    return told(found.unionByName(nulls).unionByName(odd.select(*keys, "v", "missing")))
+
+
 def except_both(a: DataFrame, b: DataFrame, t: Tolerances = Tolerances(), decimals: int = 2) -> DataFrame:
     """One row: distinct rows only in a, only in b, and the larger of the two; texts and doubles made comparable."""
     columns = compared_columns(a, b, t.masked)

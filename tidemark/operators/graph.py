@@ -179,21 +179,25 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """(node, level): the longest way to a node from any without predecessors; null for nodes on or behind a cycle."""
+    """(node, level): the longest way to a node from any without predecessors; null for nodes on or behind a cycle.
+
+    Nodes wait with the number of their predecessors that have no level yet. Each round takes off what the last layer's
+    edges lead to, and writes the nodes that still wait and those that come free as one table; edges are read only.
+    """
     steps = cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    nodes = cut(steps.select(F.col("src").alias("node")).union(steps.select("dst")).distinct())
-    waiting, level = steps, 0
-    layer = cut(nodes.join(steps.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
-    done = layer
+    waits = steps.select(F.col("src").alias("node"), F.lit(0).cast("long").alias("n")).union(steps.select("dst", F.lit(1).cast("long")))
+    state, level = cut(waits.groupBy("node").agg(F.sum("n").alias("n"))), 0
+    layer, waiting = state.filter("n = 0").select("node"), state.filter("n > 0")
+    done = layer.withColumn("level", F.lit(0).cast("long"))
     while not layer.isEmpty():
         level += 1
-        freed = waiting.join(layer.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        waiting = cut(waiting.join(layer.select(F.col("node").alias("src")), "src", "left_anti"))
-        layer = cut(freed.join(waiting.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level).cast("long")))
-        done = done.unionByName(layer)
+        taken = steps.join(layer.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("taken"))
+        state = cut(waiting.join(taken, "node", "left").select("node", (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n")))
+        layer, waiting = state.filter("n = 0").select("node"), state.filter("n > 0")
+        done = done.unionByName(layer.withColumn("level", F.lit(level).cast("long")))
         if level % 16 == 0:
             done = cut(done)
-    return nodes.join(done, "node", "left").select("node", "level")
+    return done.unionByName(waiting.select("node", F.lit(None).cast("long").alias("level")))
 
 
 def topological_order(edges: DataFrame, ordinals: DataFrame) -> DataFrame:

@@ -37,6 +37,18 @@ def near_missing_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.near_missing(a, b, diff.Tolerances(numeric_epsilon=0.5))
 
 
+@query("""WITH RECURSIVE a AS (SELECT lower(o_orderpriority) AS p, o_totalprice AS v, COUNT(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT lower(o_orderpriority) AS p, o_totalprice AS w FROM orders WHERE o_orderkey % 3 = 0),
+s AS (SELECT p, v, n, (SELECT COUNT(*) FROM b WHERE b.p = a.p AND w < v::DOUBLE - 25) AS low, (SELECT COUNT(*) FROM b WHERE b.p = a.p AND w <= v::DOUBLE + 25) AS high, row_number() OVER (PARTITION BY p ORDER BY v) AS i FROM a),
+r AS (SELECT p, v, i, n, least(low + n, high) AS used, n - (least(low + n, high) - low) AS missing FROM s WHERE i = 1
+UNION ALL SELECT s.p, s.v, s.i, s.n, least(greatest(r.used, s.low) + s.n, s.high), s.n - (least(greatest(r.used, s.low) + s.n, s.high) - greatest(r.used, s.low)) FROM r JOIN s ON s.p = r.p AND s.i = r.i + 1)
+SELECT p AS o_orderpriority, v AS o_totalprice, CAST(missing AS BIGINT) AS missing FROM r WHERE missing > 0""")
+def unmatched_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of every other order that get no price of every third of the same priority, within 25, for themselves."""
+    o = _orders(spark, sf_dir).select("o_orderkey", "o_orderpriority", "o_totalprice")
+    a, b = o.filter("o_orderkey % 2 = 0").drop("o_orderkey"), o.filter("o_orderkey % 3 = 0").drop("o_orderkey")
+    return diff.unmatched_once(a, b, diff.Tolerances(numeric_epsilon=25.0))
+
+
 @query("""WITH a AS (SELECT lower(c_name) AS n, c_nationkey FROM customer WHERE c_acctbal > 0), b AS (SELECT lower(upper(c_name)) AS n, c_nationkey FROM customer WHERE c_acctbal < 9000),
 x AS (SELECT COUNT(*) AS only_source FROM (SELECT * FROM a EXCEPT SELECT * FROM b)), y AS (SELECT COUNT(*) AS only_target FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) SELECT only_source, only_target, greatest(only_source, only_target) AS mismatched FROM x CROSS JOIN y""")
 def except_diff_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
