@@ -6,7 +6,10 @@ import base64
 import hashlib
 import io
 import json
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -527,6 +530,25 @@ def test_jpeg_round_trip_and_features(spark):
             jpeg.coefficients([image])
 
 
+def test_jpeg_of_a_very_long_text_in_bounded_memory():
+    code = """
+import resource, sys, tracemalloc
+from tidemark.llm import jpeg
+data = (bytes(range(256)) * 7 + b"some words of plain text, and more of them. " * 90)[: 64 * 80] * 5000
+tracemalloc.start()
+file = jpeg.store([data, data[:64]])
+stored = tracemalloc.get_traced_memory()[1]
+image = jpeg.parse(file[0])
+assert jpeg.payload(image, jpeg.coefficients([image])[0]) == data
+assert jpeg.payload(jpeg.parse(file[1]), jpeg.coefficients([jpeg.parse(file[1])])[0]) == data[:64]
+print(len(data), stored, tracemalloc.get_traced_memory()[1])
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert out.returncode == 0, out.stderr
+    n, stored, read = map(int, out.stdout.split())
+    assert n > 25_000_000 and stored < 5 * n and read < 9 * n
+
+
 def test_jpeg_of_another_layout():
     """Zero runs, several components with subsampling, no restart markers: written by hand, read in lockstep."""
     table_dc = (bytes([0, 2, 3, 1, 1, 1] + [0] * 10), bytes([0, 1, 2, 3, 4, 5, 6, 7]))

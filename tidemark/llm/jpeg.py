@@ -64,14 +64,14 @@ def _words() -> tuple[np.ndarray, np.ndarray]:
 WORD, BITS = _words()
 
 
-def _scans(payloads: np.ndarray, grids: list[tuple[int, int]]) -> list[bytes]:
-    """The scan of each image, from 64 bytes a block; grids: blocks with bytes, and blocks in all.
+def _scans(payloads: np.ndarray, grids: list[tuple[int, int, int, bool]]) -> list[bytes]:
+    """The scan of each image or part of one, from 64 bytes a block; grids: blocks with bytes, blocks in all, the number of
+    the first one in its image, and whether the image ends with them.
 
     Each block is an interval of its own: its words, ones up to a whole byte, zeros after bytes of 255, and a restart
     marker, but for an image's last block.
     """
-    full = np.array([n for n, _ in grids])
-    every = np.array([n for _, n in grids])
+    full, every, first, ending = (np.array(c) for c in zip(*grids))
     last = np.cumsum(every)
     total = int(last[-1])
     filled = np.ones(total, bool)
@@ -85,42 +85,51 @@ def _scans(payloads: np.ndarray, grids: list[tuple[int, int]]) -> list[bytes]:
     spare = -used % 8
     bits[:, 64], word[:, 64] = spare, (1 << spare) - 1
     flat = bits.ravel()
-    ends = np.cumsum(flat, dtype=np.int32)  # CHUNK bytes, or one text, have fewer than 2**31 bits
+    ends = np.cumsum(flat, dtype=np.int32)  # CHUNK bytes have fewer than 2**31 bits
     shift = np.repeat(ends, flat) - np.arange(1, int(ends[-1]) + 1, dtype=np.int32)
     stream = np.packbits((np.repeat(word.ravel(), flat) >> shift.astype(np.uint8)).astype(np.uint8) & 1)
     block_end = np.cumsum((used + 7) // 8)
     stuffed = np.concatenate([[0], np.cumsum(stream == 255)])
     marker = np.ones(total, np.int64)
-    marker[last - 1] = 0
+    marker[last[ending] - 1] = 0
     shown = np.cumsum(marker)
     block = np.repeat(np.arange(total), (used + 7) // 8)
     place = np.arange(len(stream)) + stuffed[:-1] + 2 * (shown - marker)[block]
     out = np.zeros(len(stream) + int(stuffed[-1]) + 2 * int(shown[-1]), np.uint8)
     out[place] = stream
     after = block_end + stuffed[block_end] + 2 * (shown - marker)
-    nth = np.arange(total) - np.repeat(last - every, every)
+    nth = np.arange(total) - np.repeat(last - every - first, every)
     has = marker == 1
     out[after[has]] = 0xFF
     out[after[has] + 1] = 0xD0 + nth[has] % 8
-    raw, cuts = out.tobytes(), [0, *after[last - 1].tolist()]
+    raw, cuts = out.tobytes(), [0, *(after + 2 * marker)[last - 1].tolist()]
     return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def store(payloads: list[bytes]) -> list[bytes]:
-    """A grey baseline JPEG of each payload (a positive multiple of 64 bytes), all made together."""
+    """A grey baseline JPEG of each payload (a positive multiple of 64 bytes), made together in slices of CHUNK bytes."""
     grids = []
     for p in payloads:
         n = len(p) // 64
         across = min(n, max(ACROSS, -(-n // 8191)))  # sides are below 65,536 pixels
         grids.append((n, across, -(-n // across)))
-    scans = _scans(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 64), [(n, a * d) for n, a, d in grids]) if payloads else []
+    parts, scans = [], [[] for _ in payloads]
+    for i, (n, across, down) in enumerate(grids):
+        for at in range(0, across * down, CHUNK // 64):
+            size = min(CHUNK // 64, across * down - at)
+            parts.append((i, max(0, min(n - at, size)), size, at, at + size == across * down))
+    for a, b in runs_of([64 * part[2] for part in parts], CHUNK):
+        some = parts[a:b]
+        held = b"".join(memoryview(payloads[i])[64 * at : 64 * (at + n)] for i, n, _, at, _ in some)
+        for (i, *_), scan in zip(some, _scans(np.frombuffer(held, np.uint8).reshape(-1, 64), [part[1:] for part in some])):
+            scans[i].append(scan)
     files = []
     for p, (_, across, down), scan in zip(payloads, grids, scans):
         head = b"\xff\xd8" + _segment(0xFE, NOTE + str(len(p)).encode()) + _segment(0xDB, b"\x00" + b"\x01" * 64)
         head += _segment(0xC0, bytes([8]) + (down * 8).to_bytes(2) + (across * 8).to_bytes(2) + bytes([1, 1, 0x11, 0]))
         head += _segment(0xC4, b"\x00" + b"".join(HUFFMAN)) + _segment(0xC4, b"\x10" + b"".join(HUFFMAN))
         head += _segment(0xDD, (1).to_bytes(2)) + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0]))
-        files.append(head + scan + b"\xff\xd9")
+        files.append(b"".join([head, *scan, b"\xff\xd9"]))
     return files
 
 
@@ -210,8 +219,8 @@ def _parse(data: bytes) -> Image:
     kept = np.ones(int(ends[stop]), bool)
     kept[ff[(after == 0) & (ff < ends[stop])] + 1] = False
     kept[ends[:stop]] = kept[ends[:stop] + 1] = False
-    upto = np.concatenate([[0], np.cumsum(kept)])
-    sizes = np.diff(upto[ends[: stop + 1]], prepend=0)
+    gone = np.flatnonzero(~kept)
+    sizes = np.diff(ends[: stop + 1] - np.searchsorted(gone, ends[: stop + 1]), prepend=0)
     return Image(*frame, quant, tables, every, rest[: len(kept)][kept], sizes, note)
 
 
@@ -240,81 +249,97 @@ def _lookup(table: tuple[bytes, bytes], dc: bool) -> tuple[np.ndarray, ...]:
 def coefficients(images: list[Image]) -> list[list[np.ndarray]]:
     """The quantised coefficients (blocks x 64, zigzag order) of each component of each image.
 
-    Images with equal tables and sampling are decoded together: every restart interval is a lane with its own bit
-    position, and all lanes read their next symbol in the same numpy steps.
+    Images with equal tables and sampling are decoded together, some CHUNK bytes of scans at a time, also of one image
+    with restart markers; an interval is never split.
     """
-    out: list[list[np.ndarray]] = [[] for _ in images]
-    alike: dict[tuple, list[int]] = defaultdict(list)
-    for i, image in enumerate(images):
-        alike[image.tables, tuple(c[1:3] for c in image.components)].append(i)
-    for (tables, sampling), own in alike.items():
-        single = len(sampling) == 1
-        order = [0] if single else [c for c, (h, v) in enumerate(sampling) for _ in range(h * v)]
-        units, owner = [], []
-        for i in own:
-            m = images[i]
-            wide, high = (1, 1) if single else (max(h for h, _ in sampling), max(v for _, v in sampling))
-            total = -(-m.width // (8 * wide)) * -(-m.height // (8 * high))
-            each = m.every or total
-            if len(m.sizes) != -(-total // each):
-                raise JpegError("restart markers are missing")
-            units += [each] * (len(m.sizes) - 1) + [total - each * (len(m.sizes) - 1)]
-            owner.append((i, len(m.sizes)))
-        size = np.concatenate([images[i].sizes for i in own])
-        stop = np.cumsum(size) * 8
-        bit = stop - size * 8
-        data = np.concatenate([*(images[i].scan for i in own), np.full(8, 255, np.uint8)]).astype(np.uint32)
-        ahead = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]  # 24 bits from each byte
-        units = np.array(units)
-        first = np.cumsum(units) - units
-        found = [np.zeros((int(units.sum()) * order.count(c), 64), np.int16) for c in range(len(sampling))]
-        looked = [tuple(_lookup(t, k == 0) for k, t in enumerate(pair)) for pair in tables]
-        predicted = np.zeros((len(sampling), len(size)), np.int64)
-
-        def read(lane: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-            """The next symbol of each lane: zeros to skip and the coefficient."""
-            at = bit[lane]
-            got = (ahead[np.minimum(at >> 3, len(ahead) - 1)] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
-            skip, value, used = (t[got] for t in table)
-            bit[lane] = at + used
-            if not used.all():
-                raise JpegError("no such Huffman code")
-            for k in np.flatnonzero(skip == _LONG):  # rare: large coefficients under long codes
-                n, raw, b = int(value[k]) & 15, 0, int(at[k] + used[k])
-                for j in range(b, b + n):
-                    raw = raw << 1 | int(data[min(j >> 3, len(data) - 1)]) >> (7 - (j & 7)) & 1
-                skip[k], value[k] = int(value[k]) >> 4, raw if raw >> (n - 1) else raw - (1 << n) + 1
-                bit[lane[k]] = b + n
-            return skip, value
-
-        for unit in range(int(units.max(initial=0))):
-            live = np.flatnonzero(units > unit)
-            for k, c in enumerate(order):
-                row = (first[live] + unit) * order.count(c) + k - order.index(c)
-                predicted[c, live] += read(live, looked[c][0])[1]
-                found[c][row, 0] = predicted[c, live]
-                lane, place = live, np.ones(len(live), np.int64)
-                while len(lane):
-                    skip, value = read(lane, looked[c][1])
-                    place += skip
-                    most = place.max()
-                    if most < 63:
-                        found[c][row, place] = value
-                        place += 1
-                        continue
-                    if ((place > 63) & (place < _END)).any():
-                        raise JpegError("a run passes the end of its block")
-                    on = place < 64
-                    found[c][row[on], place[on]] = value[on]
-                    on = place < 63
-                    lane, row, place = lane[on], row[on], place[on] + 1
-        if (bit > stop).any():
-            raise JpegError("a scan is cut off")
-        at = 0
-        for i, n in owner:
-            count = int(units[at : at + n].sum())
-            out[i] = [f[int(first[at]) * order.count(c) : (int(first[at]) + count) * order.count(c)] for c, f in enumerate(found)]
-            at += n
+    out: list[list[list[np.ndarray]]] = [[[] for _ in image.components] for image in images]
+    alike: dict[tuple, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+    for i, m in enumerate(images):
+        single = len(m.components) == 1
+        wide, high = (1, 1) if single else (max(c[1] for c in m.components), max(c[2] for c in m.components))
+        total = -(-m.width // (8 * wide)) * -(-m.height // (8 * high))
+        each = m.every or total
+        if len(m.sizes) != -(-total // each):
+            raise JpegError("restart markers are missing")
+        units = np.full(len(m.sizes), each)
+        units[-1] = total - each * (len(m.sizes) - 1)
+        upto = np.cumsum(m.sizes)
+        begin = 0
+        while begin < len(units):
+            at = int(upto[begin] - m.sizes[begin])
+            end = max(begin + 1, int(np.searchsorted(upto, at + CHUNK, "right")))
+            alike[m.tables, tuple(c[1:3] for c in m.components)].append((i, units[begin:end], m.sizes[begin:end], m.scan[at : int(upto[end - 1])]))
+            begin = end
+    for (tables, sampling), pieces in alike.items():
+        for a, b in runs_of([len(scan) for *_, scan in pieces], CHUNK):
+            for (i, *_), found in zip(pieces[a:b], _decoded(tables, sampling, [piece[1:] for piece in pieces[a:b]])):
+                for held, blocks in zip(out[i], found):
+                    held.append(blocks)
+    return [[held[0] if len(held) == 1 else np.concatenate(held) for held in image] for image in out]
+
+
+def _decoded(tables: tuple, sampling: tuple, pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[list[np.ndarray]]:
+    """The coefficients of each component of pieces of scans: blocks of each interval, their bytes, and the scan itself.
+
+    Every restart interval is a lane with its own bit position, and all lanes read their next symbol in the same numpy
+    steps.
+    """
+    order = [0] if len(sampling) == 1 else [c for c, (h, v) in enumerate(sampling) for _ in range(h * v)]
+    units = np.concatenate([u for u, _, _ in pieces])
+    size = np.concatenate([n for _, n, _ in pieces])
+    stop = np.cumsum(size) * 8
+    bit = stop - size * 8
+    data = np.concatenate([*(scan for *_, scan in pieces), np.full(8, 255, np.uint8)]).astype(np.uint32)
+    ahead = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]  # 24 bits from each byte
+    first = np.cumsum(units) - units
+    found = [np.zeros((int(units.sum()) * order.count(c), 64), np.int16) for c in range(len(sampling))]
+    looked = [tuple(_lookup(t, k == 0) for k, t in enumerate(pair)) for pair in tables]
+    predicted = np.zeros((len(sampling), len(size)), np.int64)
+
+    def read(lane: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The next symbol of each lane: zeros to skip and the coefficient."""
+        at = bit[lane]
+        got = (ahead[np.minimum(at >> 3, len(ahead) - 1)] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
+        skip, value, used = (t[got] for t in table)
+        bit[lane] = at + used
+        if not used.all():
+            raise JpegError("no such Huffman code")
+        for k in np.flatnonzero(skip == _LONG):  # rare: large coefficients under long codes
+            n, raw, b = int(value[k]) & 15, 0, int(at[k] + used[k])
+            for j in range(b, b + n):
+                raw = raw << 1 | int(data[min(j >> 3, len(data) - 1)]) >> (7 - (j & 7)) & 1
+            skip[k], value[k] = int(value[k]) >> 4, raw if raw >> (n - 1) else raw - (1 << n) + 1
+            bit[lane[k]] = b + n
+        return skip, value
+
+    for unit in range(int(units.max(initial=0))):
+        live = np.flatnonzero(units > unit)
+        for k, c in enumerate(order):
+            row = (first[live] + unit) * order.count(c) + k - order.index(c)
+            predicted[c, live] += read(live, looked[c][0])[1]
+            found[c][row, 0] = predicted[c, live]
+            lane, place = live, np.ones(len(live), np.int64)
+            while len(lane):
+                skip, value = read(lane, looked[c][1])
+                place += skip
+                most = place.max()
+                if most < 63:
+                    found[c][row, place] = value
+                    place += 1
+                    continue
+                if ((place > 63) & (place < _END)).any():
+                    raise JpegError("a run passes the end of its block")
+                on = place < 64
+                found[c][row[on], place[on]] = value[on]
+                on = place < 63
+                lane, row, place = lane[on], row[on], place[on] + 1
+    if (bit > stop).any():
+        raise JpegError("a scan is cut off")
+    out, at = [], 0
+    for own, *_ in pieces:
+        begin, count = int(first[at]), int(own.sum())
+        out.append([f[begin * order.count(c) : (begin + count) * order.count(c)] for c, f in enumerate(found)])
+        at += len(own)
     return out
 
 
