@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dialect
 from tidemark.operators import column_lineage, ledger, portfolio, remediation, retrieval
-from tidemark.sources import dataflow, sinks
+from tidemark.sources import dataflow, estate, sinks
 from tidemark.streaming import velocity
 
 DSX = """BEGIN DSJOB
@@ -69,6 +69,18 @@ def test_datastage_in_xml(spark):
     assert [tuple(r) for r in dataflow.reject_targets(texts).collect()] == [("LOAD_A", "DW.BAD", "REJECT_ROWS")]
 
 
+def test_datastage_in_the_graph(spark):
+    ddl = "CREATE TABLE DW.SRC (A INT); CREATE TABLE DW.TGT (A INT); CREATE TABLE DW.BAD (A INT);"
+    other = '<DSExport><Job Identifier="next_job"><Record Identifier="S1"><Property Name="sql_query">INSERT INTO DW.TGT SELECT A FROM DW.GONE</Property></Record></Job></DSExport>'
+    files = spark.createDataFrame([("a/SRC_TO_X.dsx", XML_DSX), ("b/jobs.xml", other), ("t.sql", ddl), ("c/PLAIN_TO_FILE.dsx", "BEGIN DSJOB\nEND"), ("d/empty.xml", ""), ("e/none.dsx", None)], "path string, text string")
+    nodes, edges, lost = estate.graph(files)
+    kinds = {r["fqn"]: r["kind"] for r in nodes.collect()}
+    assert {n for n, k in kinds.items() if k == "ETL_JOB"} >= {"LOAD_A", "CUT", "NEXT_JOB", "PLAIN_TO_FILE"} and not {"SRC_TO_X", "JOBS"} & set(kinds)
+    got = {(r["src"], r["dst"], r["kind"], r["unresolved"]) for r in edges.collect()}
+    assert got >= {("DW.SRC", "LOAD_A", "ETL_READS", False), ("LOAD_A", "DW.TGT", "ETL_WRITES", False), ("LOAD_A", "DW.BAD", "ETL_WRITES", False), ("DW.GONE", "NEXT_JOB", "ETL_READS", True), ("NEXT_JOB", "DW.TGT", "ETL_WRITES", False)}
+    assert "DW.GONE" in {r["fqn"] for r in lost.collect()}
+
+
 def test_inefficient_jobs(spark):
     stages = spark.createDataFrame([(f"s{i}", "T") for i in range(9)] + [("alone", "U")], "name string, type string")
     links = spark.createDataFrame([(f"s{i}", f"s{i + 1}") for i in range(8)] + [(f"x{i}", "s0") for i in range(5)], "source string, target string")

@@ -75,7 +75,7 @@ def informatica_links(texts: DataFrame) -> DataFrame:
     return c.groupBy("path", "source", "target").agg(F.array_sort(F.collect_set("f")).alias("fields")).select("path", F.concat("source", F.lit(" -> "), "target").alias("link_name"), "source", "target", "fields")
 
 
-def _jobs(texts: DataFrame) -> DataFrame:
+def exported_jobs(texts: DataFrame) -> DataFrame:
     """(path, job, body) of DataStage exports in XML; a job that is cut off ends where the next one begins or the file."""
     parts = texts.filter(F.col("text").rlike(r"<Job\s")).select("path", F.explode(F.split("text", r"(?=<Job\s)")).alias("body")).filter(F.col("body").startswith("<Job"))
     body = F.split("body", "</Job>")[0]
@@ -84,7 +84,7 @@ def _jobs(texts: DataFrame) -> DataFrame:
 
 def datastage_records_xml(texts: DataFrame) -> DataFrame:
     """(path, job, stage, table_name, sql_query, write_mode) of whole <Record> elements; one that is cut off has no row."""
-    records = _jobs(texts).select("path", "job", F.explode(F.split("body", r"(?=<Record\s)")).alias("r")).filter(F.col("r").startswith("<Record") & F.col("r").contains("</Record>"))
+    records = exported_jobs(texts).select("path", "job", F.explode(F.split("body", r"(?=<Record\s)")).alias("r")).filter(F.col("r").startswith("<Record") & F.col("r").contains("</Record>"))
 
     def of(name: str):
         said = F.regexp_extract(F.split("r", "</Record>")[0], rf'(?s)<Property\s+Name="{name}"\s*>(.*?)</Property>', 1)
@@ -108,7 +108,7 @@ def datastage_refs(records: DataFrame) -> DataFrame:
 def reject_targets(texts: DataFrame) -> DataFrame:
     """(job, table_name, route): the nearest tables that links with REJECT in their route lead to, stage by stage."""
     tables = datastage_records_xml(texts).filter("table_name is not null").groupBy("job", F.col("stage").alias("at")).agg(F.min("table_name").alias("table_name"))
-    t = _jobs(texts).select("job", F.explode(F.regexp_extract_all("body", F.lit(r"<Link(\s[^>]*)/>"), F.lit(1))).alias("t"))
+    t = exported_jobs(texts).select("job", F.explode(F.regexp_extract_all("body", F.lit(r"<Link(\s[^>]*)/>"), F.lit(1))).alias("t"))
     links = cut(t.select("job", attribute(F.col("t"), "SourceStage").alias("source"), attribute(F.col("t"), "TargetStage").alias("target"), F.upper(F.coalesce(attribute(F.col("t"), "Route"), F.lit(""))).alias("route")))
     tables = cut(tables)
     frontier = cut(links.filter(F.col("route").contains("REJECT")).select("job", "route", F.col("target").alias("root"), F.col("target").alias("at")).distinct())

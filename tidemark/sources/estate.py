@@ -349,6 +349,11 @@ def strongest(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
 
 
+def jobs_in_xml() -> Column:
+    """Whether a file is a DataStage export in XML: its jobs have names of their own, and records that say what they do."""
+    return F.lower("path").rlike(r"\.(dsx|xml)$") & F.col("text").rlike(r"<Job\s") & F.col("text").rlike(r"<Record\s")
+
+
 def etl_edges(texts: DataFrame) -> DataFrame:
     """(src, dst, kind, confidence): ETL_READS from tables to jobs, ETL_WRITES from jobs to tables."""
     job = F.upper(stem(F.col("path")))
@@ -356,7 +361,7 @@ def etl_edges(texts: DataFrame) -> DataFrame:
     said = etl_statements(etl).withColumn("statement", plain_sql(F.col("statement")))
     wrote = writes(F.col("statement"))
     said = said.select(job.alias("job"), F.array_except(references(F.col("statement")), wrote).alias("reads"), wrote.alias("writes"))
-    ends = etl_endpoints(texts).join(etl_statements(etl).select("path").distinct(), "path", "left_anti")
+    ends = etl_endpoints(texts).join(etl_statements(etl).select("path").distinct(), "path", "left_anti").join(texts.filter(jobs_in_xml()).select("path"), "path", "left_anti")
     named = informatica_endpoints(etl)
     read = said.select(F.explode("reads").alias("src"), F.col("job").alias("dst")).unionByName(ends.filter("source <> ''").select(F.col("source").alias("src"), F.col("job").alias("dst"))).unionByName(named.filter("role = 'source'").select(F.col("fqn").alias("src"), job.alias("dst")))
     wrote_ = said.select(F.col("job").alias("src"), F.explode("writes").alias("dst")).unionByName(ends.filter("target <> ''").select(F.col("job").alias("src"), F.col("target").alias("dst"))).unionByName(named.filter("role = 'target'").select(job.alias("src"), F.col("fqn").alias("dst")))
@@ -402,12 +407,20 @@ def graph(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     that are no node (fqn, seen_from).
 
     Views, procedures, ETL files, training scripts, schedules, dashboards and orchestrations give edges, always from
-    producer to consumer; tables are also those that statements in ETL files create. What a view reads is told by its
+    producer to consumer; tables are also those that statements in ETL files create. A DataStage export in XML gives a
+    node for each of its jobs, and edges by its records' statements and tables and by the ways of its rejects. What a view reads is told by its
     parse tree, by patterns only where its dialect is not understood. A name that several readers give is one node, of
     the first kind in the order TABLE, VIEW, PROCEDURE, ETL_JOB, ROUTINE, SCHEDULE, DASHBOARD. Objects of the database
     systems, DUAL and files are none. Files of other kinds give nothing; no files give empty tables.
     """
     from ..operators.estate_lineage import references as parsed
+    from . import dataflow
+
+    exports = texts.filter(jobs_in_xml())
+    refs = dataflow.datastage_refs(dataflow.datastage_records_xml(exports)).select("job", "fqn", "role")
+    refs = cut(refs.unionByName(dataflow.reject_targets(exports).select("job", F.col("table_name").alias("fqn"), F.lit("write").alias("role"))).filter(F.col("job").isNotNull() & (F.col("job") != "")).filter(is_object(F.col("fqn"))).distinct())
+    is_read = F.col("role") == "read"
+    staged = refs.select(F.when(is_read, F.col("fqn")).otherwise(F.col("job")).alias("src"), F.when(is_read, F.col("job")).otherwise(F.col("fqn")).alias("dst"), F.when(is_read, "ETL_READS").otherwise("ETL_WRITES").alias("kind"), F.lit(1.0).alias("confidence"))
 
     sql = texts.filter(F.lower("path").endswith(".sql"))
     v, p, s, d = views(sql), procedures(sql), schedules(texts), dashboards(texts)
@@ -418,7 +431,8 @@ def graph(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     jobs = orchestration(texts.filter(F.lower("path").endswith(".json") & F.col("text").contains('"DependsOn"')))
     etl = etl_edges(texts)
     kinds = ["TABLE", "VIEW", "PROCEDURE", "ETL_JOB", "ROUTINE", "SCHEDULE", "DASHBOARD"]
-    job_names = dialect_of(texts).filter(F.col("dialect").isin("ssis", "informatica", "datastage", "talend")).select(F.upper(stem(F.col("path"))).alias("fqn"))
+    job_names = dialect_of(texts.filter(~F.coalesce(jobs_in_xml(), F.lit(False)))).filter(F.col("dialect").isin("ssis", "informatica", "datastage", "talend")).select(F.upper(stem(F.col("path"))).alias("fqn"))
+    job_names = job_names.unionByName(dataflow.exported_jobs(exports).select(F.col("job").alias("fqn")))
     parts = [tables(sql).select("fqn").unionByName(made), v.select("fqn"), p.select("fqn"), job_names, scripts.select("fqn"), s.select(F.col("name").alias("fqn")).unionByName(jobs.select(F.upper("job").alias("fqn"))), d.select(F.col("name").alias("fqn"))]
     nodes = None
     for i, part in enumerate(parts):
@@ -431,7 +445,7 @@ def graph(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shown = d.filter("source <> ''").select(F.col("source").alias("src"), F.col("name").alias("dst"), F.lit("DASHBOARD_RENDERS").alias("kind"), F.lit(1.0).alias("confidence"))
     learnt = scripts.select(F.explode("reads").alias("src"), F.col("fqn").alias("dst"), F.lit("ETL_READS").alias("kind"), F.lit(0.9).alias("confidence")).unionByName(scripts.select(F.col("fqn").alias("src"), F.explode("writes").alias("dst"), F.lit("ETL_WRITES").alias("kind"), F.lit(0.9).alias("confidence")))
     found = edges(v, p)
-    for more in (etl, declared_edges(jobs, texts).filter(is_object(F.col("src")) & is_object(F.col("dst"))), needs, shown, learnt, dynamic):
+    for more in (etl, staged, declared_edges(jobs, texts).filter(is_object(F.col("src")) & is_object(F.col("dst"))), needs, shown, learnt, dynamic):
         found = found.unionByName(more)
     nodes = cut(nodes)
     found = cut(strongest(resolve(found, nodes)))
