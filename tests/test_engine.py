@@ -188,6 +188,23 @@ def test_candidates_of_whole_tables_against_difflib(spark):
     assert sorted(got - want) == sorted(want - got) == [] and len(got) > 300
 
 
+def test_candidates_of_numbered_names(spark):
+    """Names that differ in a digit only, all within the cutoff: each has its nearest without all pairs."""
+    import time
+    from difflib import SequenceMatcher
+
+    names = [f"SUPPLIER#{i:09d}" for i in range(3000)] + ["N" * 70 + str(i) for i in range(5)]
+    wanted = [n.replace("ER#0", "X") for n in names]
+    as_rows = lambda ns, schema: spark.createDataFrame([(f"{schema}.{n}",) for n in ns], "fqn string")
+    began = time.time()
+    got = {(r["fqn"], r["candidate"], r["ratio"]) for r in remediation.near_candidates(as_rows(wanted, "OLD"), as_rows(names, "DW")).collect()}
+    assert time.time() - began < 90
+    assert len(got) == 3 * len(wanted)
+    for w in (*wanted[:3000:499], wanted[-1]):
+        near = sorted(((SequenceMatcher(None, n, w).ratio(), n) for n in names), reverse=True)[:3]
+        assert {(c, r) for f, c, r in got if f == f"OLD.{w}"} == {(f"DW.{n}", r) for r, n in near}
+
+
 def test_wedge_fills_and_costs(spark):
     quadrant = spark.createDataFrame([("a", 9, 1), ("b", 8, 3)], "fqn string, value int, risk int")
     names = spark.createDataFrame([(c,) for c in "abcdefghijklmn"], "fqn string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import cut
-from .diff import similarity
+from .names import nearest, ranged
 
 #: Near names: least ratio, and how many count.
 CUTOFF, NEAR = 0.75, 3
@@ -34,55 +34,6 @@ def exact_candidates(items: DataFrame, known: DataFrame) -> DataFrame:
     return i.join(k, "leaf").filter(F.upper("candidate") != F.upper("fqn")).select("fqn", "candidate")
 
 
-#: Leaf names of so many letters at most are compared by letters, longer ones by pairs of letters.
-SHORT = 5
-
-
-def _exploded(names: DataFrame, column: str, short: bool) -> DataFrame:
-    """(column, token): the letters of short names, or all names' pairs of letters; repeated ones are numbered."""
-    name = F.col(column)
-    letters = F.filter(F.split(name, ""), lambda c: c != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2)))
-    parts = letters if short else pairs
-    numbered = F.transform(parts, lambda p, i: F.concat(p, F.lit(" "), F.size(F.filter(F.slice(parts, 1, i + 1), lambda q: q == p)).cast("string")))
-    return names.filter(F.length(name) <= (SHORT if short else 2**31 - 1)).select(column, F.explode(numbered).alias("token"))
-
-
-def _shared(length: Column, least: float, letters: Column) -> Column:
-    """How many tokens a name of that length shares at least with every name at that ratio.
-
-    The other name has at least least / (2 - least) of its letters, so that both have `total` or more. Of these M * 2 =
-    least * total match; each gap between matching blocks has an unmatched letter, so that of the pairs of letters
-    M - gaps - 1 match, too.
-    """
-    total = length * (2 / (2 - least))
-    pairs = F.ceil(total * (0.5 - 1.5 * (1 - least)) - 1 - 1e-9)
-    return F.greatest(F.lit(1), F.when(letters, F.ceil(total * (least / 2) - 1e-9)).otherwise(pairs)).cast("int")
-
-
-def _prefixes(names: DataFrame, column: str, rarity: DataFrame, least: float, short: bool) -> DataFrame:
-    """(column, token): of each name its rarest tokens, so many that of names at that ratio one is common to both."""
-    length = F.length(column)
-    ranked = _exploded(names, column, short).join(rarity, "token").groupBy(column).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    few = F.size("t") - _shared(length, least, F.lit(short)) + 1
-    return ranked.select(column, F.explode(F.slice("t", F.lit(1), F.greatest(few, F.lit(1)))).alias("x")).select(column, "x.token")
-
-
-def _alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, ratio) of names a and b with at least that ratio.
-
-    Names of at most SHORT letters are compared with each other by letters, all others by pairs of letters, rarest
-    first: two names are compared only if they have one of their rarest tokens in common.
-    """
-    found = None
-    for short in (True, False):
-        rarity = _exploded(left, "a", short).select("token").unionByName(_exploded(right, "b", short).select("token")).groupBy("token").agg(F.count("*").alias("n"))
-        near = _prefixes(left, "a", rarity, least, short).join(_prefixes(right, "b", rarity, least, short), "token").select("a", "b")
-        found = near if found is None else found.unionByName(near)
-    fits = F.least(F.length("a"), F.length("b")) * 2 >= least * (F.length("a") + F.length("b")) - 1e-9
-    return found.filter(fits).distinct().withColumn("ratio", similarity(F.col("b"), F.col("a"))).filter(F.col("ratio") >= least)
-
-
 #: Ratios at which near names are looked for, the highest first: who has NEAR names there needs no lower one.
 STEPS = (0.94, 0.85, CUTOFF)
 
@@ -94,10 +45,12 @@ def near_candidates(items: DataFrame, known: DataFrame) -> DataFrame:
     ratio, where few are compared, and at a lower one only for those that have less than NEAR.
     """
     i = items.select("fqn", leaf(F.col("fqn")).alias("a")).filter("a <> ''").distinct()
-    k = cut(known.filter("fqn is not null").groupBy(leaf(F.col("fqn")).alias("b"), F.upper("fqn").alias("upper")).agg(F.min("fqn").alias("candidate")).filter("b <> ''"))
-    right, out = k.select("b").distinct(), None
+    k = known.filter("fqn is not null").groupBy(leaf(F.col("fqn")).alias("b"), F.upper("fqn").alias("upper")).agg(F.min("fqn").alias("candidate")).filter("b <> ''")
+    # One of a leaf name's objects may be the item itself, so the two smallest will do, and one leaf name over NEAR.
+    k = cut(k.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("candidate"))).filter("n <= 2").drop("n"))
+    right, out = ranged(k.select("b").distinct()), None
     for least in STEPS:
-        pairs = _alike(i.select("a").distinct(), right, least)
+        pairs = nearest(i.select("a").distinct(), right, least, NEAR + 1)
         found = cut(i.join(pairs, "a").join(k, "b").filter(F.col("upper") != F.upper("fqn")).groupBy("fqn", "b", "ratio").agg(F.min("candidate").alias("candidate")))
         done = found.groupBy("fqn").agg(F.count("*").alias("n")).filter(F.col("n") >= NEAR).select("fqn")
         rows = found if least == STEPS[-1] else found.join(done, "fqn", "left_semi")
