@@ -178,3 +178,19 @@ def test_sliding_windows_and_sessions(spark):
     events = spark.createDataFrame([(1, at(0), 1.0), (1, at(0, 20), 2.0), (1, at(2), 4.0)], "user_id int, ts timestamp_ntz, value double")
     assert {r["n"] for r in velocity.sliding(events, "3 hours", "1 hour").collect()} == {1, 2, 3}
     assert sorted(r["n"] for r in velocity.sessions(events).collect()) == [1, 2]
+
+
+def test_vocabulary_without_counting_every_pair(spark, monkeypatch):
+    """The chosen terms are those of full counts, whether hash values collide or not, and rare pairs aren't counted."""
+    import collections
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnop"[: rng.choice((3, 16))]) * 2 for _ in range(40)) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    count = collections.Counter(w for t in texts if t for ws in [t.split()] for w in [*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))])
+    ranked = sorted(count, key=lambda w: (-count[w], w))
+    for cells in (1 << 20, 7):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        for features in (5, 14, 40, 10_000):
+            assert [r["term"] for r in retrieval.vocabulary(docs, features).orderBy("t").collect()] == ranked[:features]

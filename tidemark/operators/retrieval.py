@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut
+
 LEAST_SCORE, TOP, FEATURES = 0.05, 10, 5_000
 #: Words that say nothing; a parameter of all functions. The most frequent of English.
 STOP_WORDS = tuple(
@@ -18,12 +20,45 @@ STOP_WORDS = tuple(
 )
 
 
+#: Pairs of words are first counted by so many hash values.
+CELLS = 1 << 20
+
+
+def _words(text_col: str, stop: tuple[str, ...]) -> Column:
+    return F.filter(F.split(F.lower(text_col), "[^a-z]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*stop))
+
+
+def _pairs(words: str) -> Column:
+    most = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), most), F.slice(words, F.lit(2), most), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def occurrences(df: DataFrame, id_col: str, text_col: str = "text", stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(id, term): words of two ASCII letters and more in lower case, without stop words, and pairs of neighbours."""
+    return df.select(F.col(id_col).alias("id"), _words(text_col, stop).alias("words")).select("id", F.explode(F.concat("words", _pairs("words"))).alias("term"))
+
+
 def terms(df: DataFrame, id_col: str, text_col: str = "text", stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(id, term, tf): words of two ASCII letters and more in lower case, without stop words, and pairs of neighbours."""
-    words = F.filter(F.split(F.lower(text_col), "[^a-z]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*stop))
-    held = df.select(F.col(id_col).alias("id"), words.alias("words"))
-    pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return held.select("id", F.explode(F.concat("words", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf) of occurrences()."""
+    return occurrences(df, id_col, text_col, stop).groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
+def vocabulary(docs: DataFrame, features: int, text_col: str = "text", stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(term, t): the `features` most frequent terms (ties: by term), numbered from 0.
+
+    Words are counted outright. A pair is only counted if all pairs of its hash value together occur as often as the last
+    word that would be chosen, for else `features` words come before it.
+    """
+    held = docs.select(_words(text_col, stop).alias("words"))
+    words = cut(held.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("times")))
+    last = words.orderBy(F.desc("times"), "term").limit(features).agg(F.count("*").alias("n"), F.min("times").alias("least")).first()
+    pairs = held.select(F.explode(_pairs("words")).alias("term")).withColumn("cell", F.pmod(F.xxhash64("term"), F.lit(CELLS)).cast("int"))
+    if last["n"] == features:
+        often = pairs.groupBy("cell").agg(F.count("*").alias("times")).filter(F.col("times") >= last["least"]).select("cell")
+        pairs = pairs.join(F.broadcast(often), "cell", "left_semi")  # CELLS rows at most
+    times = words.unionByName(pairs.groupBy("term").agg(F.count("*").alias("times")))
+    chosen = times.orderBy(F.desc("times"), "term").limit(features)
+    return cut(chosen.select("term", (F.row_number().over(Window.orderBy(F.desc("times"), "term")) - 1).alias("t")))
 
 
 def tfidf_topk(queries: DataFrame, query_id: str, docs: DataFrame, doc_id: str, k: int = TOP, least: float = LEAST_SCORE, features: int = FEATURES) -> DataFrame:
@@ -32,17 +67,19 @@ def tfidf_topk(queries: DataFrame, query_id: str, docs: DataFrame, doc_id: str,
     Terms are the `features` most frequent of the documents (ties: by term), weights tf * (ln((1 + n) / (1 + df)) + 1).
     Only terms of queries are multiplied; other terms of a document count in its norm alone.
     """
-    d = terms(docs, doc_id)
+    known = F.broadcast(vocabulary(docs, features))  # `features` rows at most
+    # Only numbers of chosen terms are dealt out, once, by document; all below stays where its document is.
+    d = occurrences(docs, doc_id).join(known, "term").select("id", "t").repartition("id").groupBy("id", "t").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n"))
-    chosen = d.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("times")).orderBy(F.desc("times"), "term").limit(features)
-    idf = F.broadcast(chosen.crossJoin(n).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))  # `features` rows at most
-    weighted = d.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    q = terms(queries, query_id).join(idf, "term").select(F.col("id").alias("q"), "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    idf = cut(d.groupBy("t").agg(F.count("*").alias("df")).crossJoin(n).select("t", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    weighted = d.join(F.broadcast(idf), "t").withColumn("w", F.col("tf") * F.col("idf"))
+    asked = occurrences(queries, query_id).join(known, "term").groupBy("id", "t").agg(F.count("*").alias("tf"))
+    q = asked.join(F.broadcast(idf), "t").select(F.col("id").alias("q"), "t", (F.col("tf") * F.col("idf")).alias("qw"))
     normed = q.withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("q"))))
     # One row a document: its norm and its weights of at most `features` terms.
-    held = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"), F.collect_list(F.struct("term", "w")).alias("ws"))
+    held = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"), F.collect_list(F.struct("t", "w")).alias("ws"))
     flat = held.select("id", "dn", F.explode("ws").alias("x")).select("id", "dn", "x.*")
-    dots = flat.join(normed, "term").groupBy("q", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.any_value("dn").alias("dn"), F.any_value("qn").alias("qn"))
+    dots = flat.join(normed, "t").groupBy("q", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.any_value("dn").alias("dn"), F.any_value("qn").alias("qn"))
     scored = dots.select("q", "id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score")).filter(F.col("score") > least)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("id").alias("doc_id"), "score", "rank")
