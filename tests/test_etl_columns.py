@@ -7,7 +7,7 @@ import pytest
 from tidemark.functions.scratch import cut
 from tidemark.operators import ports
 from tidemark.sources import ssis
-from tidemark.sources.elements import ERROR, elements
+from tidemark.sources.elements import ERROR, elements, nearest
 
 
 def texts(spark, *files):
@@ -167,3 +167,49 @@ def test_wires_in_circles_and_twice(spark):
     got = ports.port_lineage(p, w)
     assert rows(got, "target_column", "source_column", "transform", "first", "hops", "confidence") == [("a", "a", None, "a + b", 4, 0.9)]
     assert ports.port_lineage(p.limit(0), w.limit(0)).count() == 0
+
+
+PORTS = "path string, mapping string, port string, owner string, field string, end string, expression string"
+WIRES = "path string, mapping string, src string, dst string, name string"
+
+
+def test_ways_longer_than_the_steps_between_shuffles(spark):
+    n = 3 * ports.STEPS + 2
+    p = spark.createDataFrame([("f", "m", f"p{i}.a", f"p{i}", "a", "source" if i == 0 else "target" if i == n else None, f"a + {i}" if i in (3, 5) else None) for i in range(n + 1)], PORTS)
+    w = spark.createDataFrame([("f", "m", f"p{i}.a", f"p{i + 1}.a", "a") for i in range(n)] + [("f", "m", "p1.a", "x.a", "a"), ("f", "m", "x.a", "y.a", "a"), ("f", "m", "y.a", "x.a", "a"), ("g", "m", "s.a", "s.a", None)], WIRES)
+    got = ports.port_lineage(p, w)
+    assert rows(got, "path", "target_column", "source_table", "transform", "first", "hops", "reason") == [("f", "a", "p0", "(p0.a + 3) + 5", "a + 3", n + 1, None), ("g", "a", None, "s.a", None, None, "constant")]
+
+
+def test_circles_behind_columns_of_several_ways(spark):
+    # The circle is reached at x.a by two ways of the same length, one of which passes a column on, and left at y.a.
+    p = spark.createDataFrame([("f", "m", "s.a", "s", "a", "source", None), ("f", "m", "v.a", "v", "a", None, "a + 1"), ("f", "m", "u.a", "u", "a", None, None), ("f", "m", "x.a", "x", "a", None, None), ("f", "m", "y.a", "y", "a", None, None), ("f", "m", "t.a", "t", "a", "target", None)], PORTS)
+    w = spark.createDataFrame([("f", "m", a, b, "a") for a, b in [("s.a", "u.a"), ("s.a", "v.a"), ("u.a", "x.a"), ("v.a", "x.a"), ("x.a", "y.a"), ("y.a", "x.a"), ("y.a", "t.a")]], WIRES)
+    got = ports.port_lineage(p, w)
+    assert rows(got, "target_column", "source_column", "transform", "first", "hops", "confidence", "reason") == [("a", "a", None, "a + 1", 5, 0.9, None)]
+
+
+def _stages(spark):
+    """Records that each stage so far has written for others, by its id."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    none = spark._jvm.java.util.ArrayList
+    stages = sc.statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_ports_and_wires_are_shuffled_once(spark):
+    m = spark.range(200).selectExpr("concat('m', id) as mapping")
+    p = spark.createDataFrame([("f", "s.a", "s", "a", "source", None), ("f", "x.a", "x", "a", None, "a + 1"), ("f", "y.a", "y", "a", None, "a * 2"), ("f", "t.a", "t", "a", "target", None)], PORTS.replace("mapping string, ", ""))
+    w = spark.createDataFrame([("f", "s.a", "x.a", "a"), ("f", "x.a", "y.a", "a"), ("f", "y.a", "t.a", None)], WIRES.replace("mapping string, ", ""))
+    p, w = cut(p.crossJoin(m)), cut(w.crossJoin(m))
+    before = max(_stages(spark))
+    got = [tuple(r) for r in ports.port_lineage(p, w).select("transform", "first", "hops").collect()]
+    assert got == [("(s.a + 1) * 2", "a + 1", 4)] * 200
+    # The rows themselves, and a few of emptiness tests.
+    assert 200 * 7 <= sum(n for i, n in _stages(spark).items() if i > before) < 200 * 7 + 100
+
+
+def test_nearest_elements_around(spark):
+    got = elements(texts(spark, "<a><b><c/><a><c/></a></b></a>")).filter("tag = 'c'").select("nr", nearest("a").alias("a"), nearest("a", "b").alias("ab"), nearest("z").alias("z"))
+    assert rows(got, "nr", "a", "ab", "z") == [(2, 0, 1, None), (4, 3, 3, None)]

@@ -11,6 +11,9 @@ from ..sources import ssis
 from ..sources.elements import elements
 from .registry import query, table
 
+#: Customers to a task that makes files of them, for a table may lie in one piece.
+PER_TASK = 8192
+
 _MAPPING = """<POWERMART><FOLDER NAME="F"><SOURCE NAME="CUSTOMER"><SOURCEFIELD NAME="C_NAME"/><SOURCEFIELD NAME="C_SEGMENT"/></SOURCE>
 <TARGET NAME="DIM_CUSTOMER"><TARGETFIELD NAME="SEGMENT"/><TARGETFIELD NAME="LABEL"/><TARGETFIELD NAME="NATION"/></TARGET><MAPPING NAME="m_%s">
 <TRANSFORMATION NAME="EXP" TYPE="Expression"><TRANSFORMFIELD NAME="IN_NAME" PORTTYPE="INPUT"/><TRANSFORMFIELD NAME="IN_SEGMENT" PORTTYPE="INPUT"/>
@@ -27,9 +30,11 @@ UNION ALL SELECT mapping, 'LABEL', s, e, f, 5, 0.9, NULL FROM c, (VALUES ('C_NAM
 UNION ALL SELECT mapping, 'NATION', NULL, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_nationkey AS VARCHAR) END, NULL, NULL, 0.0, CASE WHEN c_custkey % 3 = 0 THEN 'constant' ELSE 'unconnected' END FROM c""")
 def mapping_port_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer as a mapping in XML: a column passed on, one made by two expressions, one constant or unconnected."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    customers = customers.repartition(1 + customers.count() // PER_TASK, "c_custkey")
     wired = F.when(F.col("c_custkey") % 3 == 0, '<CONNECTOR FROMINSTANCE="EXP" FROMFIELD="O_NATION" TOINSTANCE="DIM_CUSTOMER" TOFIELD="NATION"/>').otherwise("")
     text = F.format_string(_MAPPING, F.col("c_custkey").cast("string"), "c_mktsegment", F.col("c_nationkey").cast("string"), F.col("c_nationkey").cast("string"), wired)
-    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), text.alias("text"))
+    files = customers.select(F.col("c_custkey").cast("string").alias("path"), text.alias("text"))
     found = ports.port_lineage(*ports.informatica_ports(cut(elements(files))))
     return found.select("mapping", "target_column", "source_column", "transform", "first", "hops", "confidence", "reason")
 
